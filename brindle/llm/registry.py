@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.simhash import op4_simhash
 from brindle.llm.suffix import op9_decontamination
+from brindle.llm.warc import OP6_SQL, op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
+    "op6_warc": op6_warc,
     "op9_decontamination": op9_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": OP6_SQL,
+}
