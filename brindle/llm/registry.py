@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.bpe import op5_bpe
+from brindle.llm.canonical import op2_fingerprints
 from brindle.llm.simhash import op4_simhash
 from brindle.llm.suffix import op9_decontamination
 from brindle.llm.warc import OP6_SQL, op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fingerprints": op2_fingerprints,
     "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
     "op6_warc": op6_warc,
