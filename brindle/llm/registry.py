@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from brindle.llm.bpe import op5_bpe
 from brindle.llm.canonical import op2_fingerprints
 from brindle.llm.licences import op8_licences
+from brindle.llm.quality import op7_quality
 from brindle.llm.simhash import op4_simhash
 from brindle.llm.suffix import op9_decontamination
 from brindle.llm.warc import OP6_SQL, op6_warc
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
     "op6_warc": op6_warc,
+    "op7_quality": op7_quality,
     "op8_licences": op8_licences,
     "op9_decontamination": op9_decontamination,
 }
