@@ -13,9 +13,11 @@ from brindle.llm.quality import op7_quality
 from brindle.llm.simhash import op4_simhash
 from brindle.llm.suffix import op9_decontamination
 from brindle.llm.warc import OP6_SQL, op6_warc
+from brindle.llm.winnow import op3_line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
+    "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
     "op6_warc": op6_warc,
