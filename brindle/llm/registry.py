@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.bpe import op5_bpe
 from brindle.llm.canonical import op2_fingerprints
+from brindle.llm.edits import op10_token_counts
 from brindle.llm.licences import op8_licences
 from brindle.llm.quality import op7_quality
 from brindle.llm.simhash import op4_simhash
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_licences": op8_licences,
     "op9_decontamination": op9_decontamination,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": OP6_SQL,
