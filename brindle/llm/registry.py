@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from brindle.llm.bpe import op5_bpe
 from brindle.llm.canonical import op2_fingerprints
 from brindle.llm.edits import op10_token_counts
+from brindle.llm.kneser_ney import op1_lm_score
 from brindle.llm.licences import op8_licences
 from brindle.llm.quality import op7_quality
 from brindle.llm.simhash import op4_simhash
@@ -17,6 +18,7 @@ from brindle.llm.warc import OP6_SQL, op6_warc
 from brindle.llm.winnow import op3_line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_fingerprints": op2_fingerprints,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
