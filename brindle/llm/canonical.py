@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import documents, partitions, texts, written
+from brindle.llm.shared import documents, partitions, small_or_none, texts, written
 
 
 def canonical(text: str) -> str:
@@ -54,10 +54,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     one group; an empty table gives no rows; a null doc_id is a group_id only if its group has no other.
     """
     prints = written(digests(docs), "digests")
-    buckets = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n"))
+    buckets = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")), "buckets")
     repeated = buckets.where("n > 1").select("fingerprint")
+    chosen = prints.join(F.broadcast(repeated) if small_or_none(repeated) else repeated, "fingerprint", "left_semi")
     spelled = "fingerprint string, canonical string"
-    candidates = docs.select("doc_id", "text").join(prints.join(repeated, "fingerprint").select("doc_id", "fingerprint").distinct(), "doc_id").select("fingerprint", "text")
+    candidates = docs.select("doc_id", "text").join(chosen.select("doc_id", "fingerprint").distinct(), "doc_id").select("fingerprint", "text")
     compared = candidates.mapInArrow(_canonical_rows, spelled).groupBy("fingerprint").agg(F.min("canonical").alias("low"), F.max("canonical").alias("high"))
     mixed = compared.where("low <> high").select("fingerprint")
     if mixed.isEmpty():
