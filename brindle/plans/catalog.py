@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from brindle.plans import records, relations  # noqa: F401
+from brindle.plans.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "agg7_inventory_audit"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
