@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,26 @@ def query(sql: str | None = None):
     return register
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """This package on the Python workers' path (on a cluster: --py-files or an image)."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = [x for x in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if home not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, *paths])
+    return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path that all executors see; removed when the application ends."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,7 +52,7 @@ def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A binding in SQL that both engines run: it derives an operator's input columns from the tables."""
     for name in TABLES:
         sql = sql.replace("{" + name + "}", f"parquet.`{sf_dir}/{name}.parquet`")
-    return spark.sql(sql)
+    return shipped(spark).sql(sql)
 
 
 def plain(sql: str) -> str:

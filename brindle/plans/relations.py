@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import sellers, urls
 from brindle.operators import matching, ordered
-from brindle.plans.base import L, bound, listings, plain, query, table
+from brindle.plans.base import L, bound, listings, plain, query, scratch, table
 from brindle.plans.records import BUCKET, C, KEYS, U, assessed, identity_keys
 
 n_if = lambda e: F.count_if(F.expr(e))
@@ -367,7 +367,7 @@ def win12_best_key_class(spark, sf):
 @query()
 def h1_sequential_keepers(spark, sf):
     """Greedy keepers in the order of rows: a listing is kept if no listing kept before it has one of its keys."""
-    spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
     keys = identity_keys(listings(spark, sf)).select("pos", "key")
     return matching.keepers(keys, matching.key_components(keys))
 
