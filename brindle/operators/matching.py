@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -71,21 +72,35 @@ def attribute_overlap(df: DataFrame, on: list[str], identity: list[str], valid:
 def keepers(keys: DataFrame, components: DataFrame) -> DataFrame:
     """(pos, kept): in the order of `pos` a row is kept if it shares no key with a row kept before it.
 
-    `keys`: pos, key; `components`: pos, component. Only rows of a component depend on each other; a component is
-    folded by one task, so components must be small (of identity keys they are: one listing's copies).
+    `keys`: pos, key; `components`: pos, component. Only rows of a component depend on each other, so partitions are
+    dealt by component and folded in one pass; what is held is the keys of one component (one listing's copies).
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        out = []
-        for pos, own in pdf.groupby("pos")["key"]:
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        component, pos, own, taken = None, None, [], set()
+
+        def decided() -> tuple[int, bool]:
             keep = taken.isdisjoint(own)
             if keep:
                 taken.update(own)
-            out.append((pos, keep))
-        return pd.DataFrame(out, columns=["pos", "kept"])
-
-    return keys.join(components, "pos").groupBy("component").applyInPandas(fold, "pos long, kept boolean")
+            return pos, keep
+
+        for batch in batches:
+            out = []
+            for c, p, k in zip(batch["component"].tolist(), batch["pos"].tolist(), batch["key"].tolist()):
+                if (c, p) != (component, pos):
+                    if pos is not None:
+                        out.append(decided())
+                    if c != component:
+                        taken = set()
+                    component, pos, own = c, p, []
+                own.append(k)
+            yield pd.DataFrame(out, columns=["pos", "kept"])
+        if pos is not None:
+            yield pd.DataFrame([decided()], columns=["pos", "kept"])
+
+    rows = keys.join(components, "pos").select("component", "pos", "key")
+    return rows.repartition("component").sortWithinPartitions("component", "pos").mapInPandas(fold, "pos long, kept boolean")
 
 
 def key_components(keys: DataFrame, most_rounds: int = 30) -> DataFrame:
