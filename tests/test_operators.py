@@ -130,3 +130,23 @@ def test_state_table_ignores_a_batch_it_has_seen(spark, tmp_path):
 def test_retention_keeps_undated_rows(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": [1, 2, 3], "at": pd.to_datetime(["2024-01-01", None, "2024-02-01"])}))
     assert {r["k"] for r in state.retained(df, "at", F.lit("2024-01-15").cast("timestamp")).collect()} == {2, 3}
+
+
+def test_settings_are_tolerant():
+    from brindle.functions.config import Settings
+
+    found = Settings.of({"LISTINGS_RADIUS_KM": " 900 ", "LISTINGS_KINDS": "House, boat", "LISTINGS_DRY_RUN": "YES", "LISTINGS_MAX_AGE_DAYS": "x", "LISTINGS_UNKNOWN_PLACES": "?"})
+    assert (found.radius_km, found.kinds, found.dry_run, found.max_age_days, found.unknown_places) == (500, ("house",), True, 7, "exclude")
+
+
+def test_captured_pages_of_several_formats(spark, tmp_path):
+    from brindle.sources import readers
+
+    rows = spark.createDataFrame([("x", 1, 1, None, 200, 'a "b"\nc'), ("x", 2, 1, None, 404, None)], readers.CAPTURE)
+    rows.write.parquet(f"{tmp_path}/p")
+    rows.write.json(f"{tmp_path}/j")
+    rows.write.orc(f"{tmp_path}/o")
+    places = {"first": (f"{tmp_path}/j", "json"), "second": (f"{tmp_path}/p", "parquet"), "third": (f"{tmp_path}/o", "orc")}
+    found = readers.united(spark, places, ["second", "third", "first"])
+    assert sorted((r["rank"], r["source"], r["page"], r["body"]) for r in found.where("page = 1").collect()) == [(0, "second", 1, 'a "b"\nc'), (1, "third", 1, 'a "b"\nc'), (2, "first", 1, 'a "b"\nc')]
+    assert readers.united(spark, places, []).count() == 0
