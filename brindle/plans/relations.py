@@ -83,7 +83,7 @@ def agg9_agg16_frequencies(spark, sf):
     return table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct("text")).alias("n_repeats"), F.sum("n_chars").alias("n_chars"))
 
 
-_TRIES = "SELECT event_id, ts, user_id % 5 AS source, CAST(ts AS DATE) AS cycle, event_type <> 'error' AS success, value FROM {events}"
+_TRIES = "SELECT event_id, ts, user_id % 5 AS source, CAST(CAST(ts AS DATE) AS STRING) AS cycle, event_type <> 'error' AS success, value FROM {events}"
 T = f"WITH t AS ({plain(_TRIES)}) "
 
 
