@@ -20,169 +20,149 @@ from brindle.llm.shared import chunks, documents, small_or_none, texts, written
 LINE_WORDS, RUN_WORDS = 16, 50
 #: So many runs are sent to all tasks; more are joined by a shuffle.
 BROADCAST_RUNS = 500_000
-#: Words in a block of a document whose symbols others ask for.
-BLOCK = 64
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32())]))
 _RUNS_DDL = "array<struct<start:int,n_words:int>>"
 
 
-def minima(h: np.ndarray, first: np.ndarray, line: int = LINE_WORDS, run: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(places, line hashes) of the lines that are the least of some window of run - line + 1 lines of their text.
+def windows(h: np.ndarray, first: np.ndarray, line: int = LINE_WORDS, run: int = RUN_WORDS) -> tuple[np.ndarray, ...]:
+    """(start, gram, begin, least, span): the windows of `run` words of each text by their first word, and hashes of their words; windows in a
+    row with the same least line are a span: the index of its first window, the line's hash, a hash of all the span's words.
 
-    Two texts that share `run` words share a whole window of lines and so its least one. Of
-    equal lines the last counts; windows that cross texts are left out.
+    The least line of a window depends on the window's words only (of equal lines the last counts), so equal windows
+    lie in spans of equal lines. Windows that cross texts are left out.
     """
-    window, lines = run - line + 1, words.grams(h, line)
-    if len(lines) < window:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    size, lines = run - line + 1, words.grams(h, line)
+    if len(lines) < size:
+        none = np.empty(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none, none.astype(np.uint64), none.astype(np.uint64)
     places = np.arange(len(lines), dtype=np.uint64)
     bits = np.uint64(max(1, len(lines)).bit_length())
     top = (np.uint64(1) << bits) - np.uint64(1)
     least = (lines >> bits << bits) | (top - places)
     span = 1
-    while span * 2 <= window:
+    while span * 2 <= size:
         least = np.minimum(least[: len(least) - span], least[span:])
         span *= 2
-    if span < window:
-        least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
+    if span < size:
+        least = np.minimum(least[: len(least) - (size - span)], least[size - span :])
     end = np.repeat(first[1:], np.diff(first))[: len(least)]
-    inside = np.arange(len(least)) + run <= end
-    chosen = np.unique(top - (least[inside] & top)).astype(np.int64)
-    return chosen, lines[chosen]
+    start = np.flatnonzero(np.arange(len(least)) + run <= end)
+    chosen = (top - (least[start] & top)).astype(np.int64)
+    gram = lines[start]
+    for k in [*range(line, run - line, line), run - line]:
+        gram = gram * _BASE + lines[start + k]
+    gram = words.mixed(gram)
+    begin = np.flatnonzero(np.diff(chosen, prepend=-1))
+    last = np.append(begin[1:], len(start))[: len(begin)] - 1
+    # less than `run` windows: the first and the last have all the words
+    return start, gram, begin, lines[chosen[begin]], words.mixed((gram[begin] * _BASE + gram[last]) * _BASE + (last - begin).astype(np.uint64))
 
 
-def _telling(places: np.ndarray, lines: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
-    """Which of the selected lines to keep: of one word said over and over (equal lines at adjacent places) the first, the
-    last and every window-th; all others."""
-    if not len(places):
-        return np.zeros(0, dtype=bool)
-    same = (places[1:] == places[:-1] + 1) & (lines[1:] == lines[:-1]) & (doc[1:] == doc[:-1])
-    starts = np.concatenate(([True], ~same))
-    nth = np.arange(len(places)) - np.maximum.accumulate(np.where(starts, np.arange(len(places)), 0))
-    return (nth % window == 0) | np.append(~same, True)
+def _texts_of(at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.searchsorted(first, at, side="right") - 1
 
 
 def fingerprints(docs: DataFrame, line: int = LINE_WORDS, run: int = RUN_WORDS) -> DataFrame:
-    """(doc_id, place, line): the selected lines of every document."""
+    """(doc_id, line, span): the spans of every document, each once however often the document says it."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column(0).to_numpy(zero_copy_only=False), texts(batch.column(1))
             for lo, hi in chunks(rows):
                 found = words.split(rows[lo:hi], words.SPACED)
-                places, lines = minima(found.hashes(), found.first, line, run)
-                doc = np.searchsorted(found.first, places, side="right") - 1
-                by = np.flatnonzero(_telling(places, lines, doc, run - line + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][doc[by]].astype(np.int64)), pa.array((places[by] - found.first[doc[by]]).astype(np.int32)), pa.array(lines[by].view(np.int64))], ["doc_id", "place", "line"]
-                )
+                start, _, begin, least, span = windows(found.hashes(), found.first, line, run)
+                doc = _texts_of(start[begin], found.first)
+                by = np.lexsort((span, least, doc))
+                doc, least, span = doc[by], least[by], span[by]
+                new = np.ones(len(by), dtype=bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1]) | (span[1:] != span[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc[new]].astype(np.int64)), pa.array(least[new].view(np.int64)), pa.array(span[new].view(np.int64))], ["doc_id", "line", "span"])
 
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return known.mapInArrow(made, "doc_id long, place int, line long")
+    return _known(docs).mapInArrow(made, "doc_id long, line long, span long")
 
 
-def matched_places(prints: DataFrame) -> DataFrame:
-    """(doc_id, place, of, at): each later occurrence of a line with its first, by (doc_id, place), in another document.
+def _known(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
-    The firsts are a table of their own, so that the join's sides are plain exchanges, of which a frequent line's can be split.
-    """
-    first = prints.groupBy("line").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("n")).where("n > 1").selectExpr("line", "f.doc_id as of", "f.place as at")
-    first = written(first, "firsts")
-    return prints.join(first.hint("shuffle_merge"), "line").where("doc_id <> of").select("doc_id", "place", "of", "at")
 
+def _asked(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, text, keys) of the documents in `keys` (doc_id, keys)."""
+    rows = _known(docs)
+    if small_or_none(keys):  # then only the texts concerned are dealt out
+        rows = rows.join(F.broadcast(keys.select("doc_id")), "doc_id", "left_semi")
+    return rows.join(keys, "doc_id").select("doc_id", "text", "keys")
 
-def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(of, block, symbols): 32-bit symbols of BLOCK words from block * BLOCK on, for the blocks in `wanted` (of, blocks)."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("of"), "text")
-    # the ids are broadcast only if their number is known to be small
-    joined = rows.join(F.broadcast(wanted) if small_or_none(wanted, 200_000) else wanted, "of").select("of", "text", "blocks")
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, ids, blocks = texts(batch.column(1)), batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for lo, hi in chunks(rows):
-                found = words.split(rows[lo:hi], words.SPACED)
-                symbol = (found.hashes() >> np.uint64(32)).astype(np.uint32)
-                out: list[list] = [[], [], []]
-                for i in range(hi - lo):
-                    own = symbol[found.first[i] : found.first[i + 1]]
-                    for b in blocks[lo + i]:
-                        for values, value in zip(out, (ids[lo + i], b, own[b * BLOCK : (b + 1) * BLOCK].tobytes())):
-                            values.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["of", "block", "symbols"])
+def _salted(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Keys that differ between the texts of a batch."""
+    return keys ^ words.mixed(rows.astype(np.uint64) + np.uint64(1))
 
-    return joined.mapInArrow(made, "of long, block int, symbols binary")
 
+def _asked_chunks(batch: pa.RecordBatch, line: int, run: int) -> Iterator[tuple]:
+    """(first row, row after the last, words, windows, salted keys) of a few texts at a time."""
+    rows, lists = texts(batch.column(1)), batch.column(2)
+    for lo, hi in chunks(rows):
+        found, part = words.split(rows[lo:hi], words.SPACED), lists.slice(lo, hi - lo)
+        keys = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        of = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
+        yield lo, hi, found, windows(found.hashes(), found.first, line, run), _salted(of, keys)
 
-def extended(own: np.ndarray, places: np.ndarray, at: np.ndarray, theirs: np.ndarray, reach: int, run: int) -> list[tuple[int, int]]:
-    """(start, end) of the maximal equal stretches of `run` or more symbols, up to `reach` around the given matches.
 
-    `theirs`: the other text's symbols, 2 ** 32 and more where they are not known.
-    """
-    found, by = [], np.lexsort((places, places - at))
-    places, shift = places[by], (places - at)[by]
-    far = np.ones(len(by), dtype=bool)
-    far[1:] = (shift[1:] != shift[:-1]) | (places[1:] > places[:-1] + 2 * reach)
-    heads = np.flatnonzero(far)
-    for s, first, last in zip(shift[heads].tolist(), places[heads].tolist(), places[np.append(heads[1:], len(by)) - 1].tolist()):
-        begin, end = max(0, s, first - reach), min(len(own), len(theirs) + s, last + reach)
-        same = own[begin:end] == theirs[begin - s : end - s]
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
-        found += [(begin + i, begin + j) for i, j in zip(edges[0::2].tolist(), edges[1::2].tolist()) if j - i >= run]
-    return found
+def open_windows(docs: DataFrame, spans: DataFrame, line: int = LINE_WORDS, run: int = RUN_WORDS) -> DataFrame:
+    """(doc_id, line, gram): the windows of the spans (of, span) of `spans`, from the document `of`."""
+    wanted = written(spans.groupBy(F.col("of").alias("doc_id")).agg(F.collect_list("span").alias("keys")), "wanted")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi, found, (start, gram, begin, least, span), keys in _asked_chunks(batch, line, run):
+                each = np.diff(np.append(begin, len(start)))
+                here = np.flatnonzero(np.repeat(np.isin(_salted(_texts_of(start[begin], found.first), span), keys), each))
+                doc = _texts_of(start[here], found.first)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc].astype(np.int64)), pa.array(np.repeat(least, each)[here].view(np.int64)), pa.array(gram[here].view(np.int64))], ["doc_id", "line", "gram"])
+
+    return _asked(docs, wanted).mapInArrow(made, "doc_id long, line long, gram long")
 
 
 def repeated_runs(docs: DataFrame, line: int = LINE_WORDS, run: int = RUN_WORDS) -> DataFrame:
     """(doc_id, runs): for documents with runs of at least `run` words that an earlier document has, those runs.
 
-    Lines are matched with their first occurrence by an aggregate and an equi-join, which adaptive
-    execution splits where a line is in very many documents. Around the matches, blocks of the first document's
-    words are asked for (each block once, however many ask), and runs extended over them both ways to the last equal word
-    (over 2 * run + line words at most beyond the last line whose first occurrence is in that document).
+    A window of `run` words goes if any earlier document has it. Spans that an earlier document has whole go by an aggregate and an
+    equi-join, which adaptive execution splits where a span is in very many documents. Where the same line stands in
+    different spans, the first document of each is asked for its windows, and these are compared in the same way; later
+    documents of the span lose it whole. So every occurrence is compared with every different surrounding of its line.
     """
     prints = written(fingerprints(docs, line, run), "lines")
-    pairs = written(matched_places(prints), "pairs")
-    reach = 2 * run + line
-    touched = pairs.select("doc_id", "of", F.explode(F.expr(f"sequence(int(greatest(at - {reach}, 0) / {BLOCK}), int((at + {reach + line}) / {BLOCK}))")).alias("block")).distinct()
-    touched = written(touched, "touched")
-    wanted = written(touched.groupBy("of").agg(F.collect_set("block").alias("blocks")), "wanted")
-    lent = touched.join(_blocks(docs, wanted).hint("shuffle_merge"), ["of", "block"]).groupBy("doc_id").agg(F.collect_list(F.struct("of", "block", "symbols")).alias("lent"))
-    asked = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("place", "of", "at")).alias("asked"))
-    later = written(asked.join(lent, "doc_id"), "later")
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    if small_or_none(later):  # then only the texts concerned are dealt out
-        rows = rows.join(F.broadcast(later.select("doc_id")), "doc_id", "left_semi")
+    spans = written(prints.groupBy("line", "span").agg(F.min("doc_id").alias("of"), F.count("*").alias("n")), "spans")
+    later = prints.join(spans.where("n > 1").select("line", "span", "of").hint("shuffle_merge"), ["line", "span"]).where("doc_id > of").select("doc_id", F.col("span").alias("key"))
+    several = written(spans.groupBy("line").agg(F.count("*").alias("n"), F.min("of").alias("a"), F.max("of").alias("b")).where("n > 1 and a < b").select("line"), "several")
+    grams = written(open_windows(docs, spans.join(several.hint("shuffle_merge"), "line", "left_semi"), line, run), "grams")
+    firsts = written(grams.groupBy("line", "gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("line", "gram", "a"), "firsts")
+    parts = grams.join(firsts.hint("shuffle_merge"), ["line", "gram"]).where("doc_id > a").select("doc_id", F.col("gram").alias("key"))
+    gone = written(later.union(parts).groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "gone")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column(0), texts(batch.column(1))
-            out = []
-            for i, row in enumerate(rows):
-                found = words.split([row], words.SPACED)
-                own = (found.hashes() >> np.uint64(32)).astype(np.int64)
-                asked_, lent_ = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                out.append(_merged([r for of in {a["of"] for a in asked_} for r in _against(own, of, asked_, lent_, line, run)]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([[{"start": s, "n_words": e - s} for s, e in r] for r in out], _RUNS)], ["doc_id", "runs"])
-
-    return rows.join(later, "doc_id").select("doc_id", "text", "asked", "lent").mapInArrow(made, f"doc_id long, runs {_RUNS_DDL}").where("size(runs) > 0").groupBy("doc_id").agg(F.max("runs").alias("runs"))
-
-
-def _against(own: np.ndarray, of: int, asked: list[dict], lent: list[dict], line: int, run: int) -> list[tuple[int, int]]:
-    blocks = {b["block"]: np.frombuffer(b["symbols"], dtype=np.uint32) for b in lent if b["of"] == of}
-    theirs = np.full((max(blocks, default=-1) + 1) * BLOCK, 1 << 32, dtype=np.int64)
-    for b, symbols in blocks.items():
-        theirs[b * BLOCK : b * BLOCK + len(symbols)] = symbols
-    mine = [a for a in asked if a["of"] == of]
-    return extended(own, np.array([a["place"] for a in mine]), np.array([a["at"] for a in mine]), theirs, 2 * run + 2 * line + BLOCK, run)
-
-
-def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(runs):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
+            out: list[list[dict]] = []
+            for lo, hi, found, (start, gram, begin, _, span), keys in _asked_chunks(batch, line, run):
+                doc = _texts_of(start, found.first)
+                hit = np.repeat(np.isin(_salted(doc[begin], span), keys), np.diff(np.append(begin, len(start))))
+                hit |= np.isin(_salted(doc, gram), keys)
+                out += _marked(start[hit], run, found.first)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _RUNS)], ["doc_id", "runs"])
+
+    return _asked(docs, gone).mapInArrow(made, f"doc_id long, runs {_RUNS_DDL}").where("size(runs) > 0").groupBy("doc_id").agg(F.max("runs").alias("runs"))
+
+
+def _marked(start: np.ndarray, run: int, first: np.ndarray) -> list[list[dict]]:
+    """For each text, the runs that the windows from `start` on make together."""
+    n = int(first[-1]) + 1
+    mark = np.cumsum(np.bincount(start, minlength=n) - np.bincount(start + run, minlength=n)) > 0
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], mark[a:b].view(np.int8), [0])))).tolist()
+        out.append([{"start": s, "n_words": e - s} for s, e in zip(edges[0::2], edges[1::2])])
     return out
 
 

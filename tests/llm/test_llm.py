@@ -217,6 +217,23 @@ def test_passages_across_lines_and_short_ones(spark):
     assert got == {1: rows[0][1], 2: "x y z tail", 3: rows[2][1], 4: ""}
 
 
+def test_runs_behind_a_shorter_first_owner_and_other_places(spark):
+    rng = random.Random(11)
+    own = lambda n: " ".join(f"u{rng.getrandbits(40)}" for _ in range(n))
+    rows = []
+    for k in range(40):  # A has a piece of the passage (once short, once whole), later documents have more of it
+        passage = [f"q{k}x{i}" for i in range(rng.choice([60, 90, 400]))]
+        cut = rng.randint(16, 45)
+        at = rng.randint(0, len(passage) - cut)
+        short = " ".join(passage[at : at + cut])
+        whole = " ".join(passage)
+        a = f"{own(30)} {short} {own(30)}" + (f" {whole} {own(20)}" if k % 4 == 0 else "")
+        rows += [(10 * k, a), (10 * k + 1, f"{own(40)} {whole} {own(9)}"), (10 * k + 2, f"{own(5)} {whole} {own(60)}"), (10 * k + 3, f"{own(9)} {' '.join(passage[3:])} {own(8)} {short}")]
+    got = marked(winnow.repeated_runs(prepared(spark).createDataFrame(rows, "doc_id long, text string")))
+    want = {i: set(np.flatnonzero(m)) for i, m in brute_runs(rows).items() if m.any()}
+    assert got == want and all(10 * k + 2 in want for k in range(40))
+
+
 def test_passages_odd_inputs(spark, odd, empty):
     assert winnow.deduplicated(empty).count() == 0
     got = winnow.deduplicated(odd).collect()
