@@ -1,7 +1,8 @@
-"""SimHash near-duplicates by multi-index hashing."""
+"""SimHash near-duplicates by multi-index hashing, and near-duplicates by exact similarity of shingle sets."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
@@ -12,8 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm import words
 from brindle.llm.components import components
-from brindle.llm.shared import small_or_none, texts, written
+from brindle.llm.shared import chunks, small_or_none, texts, written
 
 SEED = 42
 _STEP = 1 << 15
@@ -128,50 +130,126 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     return prints.join(labels, names).select("doc_id", *names, "component_id")
 
 
-#: For similarity 0.8: pairs of Jaccard similarity 0.8 over five-word shingles differ in 19 of 128 bits in the mean, and with
-#: probability 0.93 (0.98 at 0.85, over 0.99 at 0.9) in at most one bit of some 16-bit segment.
-WIDE = Scheme(shingle=5, segments=(16,) * 8, radius=1, distance=32)
+#: Words of a shingle in the search for near-duplicates by exact similarity.
+NEAR_SHINGLE = 5
+#: Shingles that this many of an eighth of the documents have count as frequent, the most frequent FREQUENT of them at most. Which
+#: ones do changes how many candidates there are, never which documents are found similar.
+OFTEN, FREQUENT = 3, 200_000
+
+
+def shingles(rows: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the different shingles of each text, ascending; a text of fewer words is one shingle, one of no words has none."""
+    found = words.split(rows, words.SPACED)
+    n, value = np.diff(found.first), words.grams(found.hashes(), shingle)
+    row = found.doc()[: len(value)]
+    inside = np.arange(len(value)) + shingle <= found.first[1:][row]
+    short = np.flatnonzero((n > 0) & (n < shingle))
+    whole = [xxhash.xxh64_intdigest(b" ".join(map(found.word, range(found.first[i], found.first[i + 1]))), SEED) for i in short]
+    row, value = np.concatenate([row[inside], short]), np.concatenate([value[inside], np.array(whole, dtype=np.uint64)])
+    by = np.lexsort((value, row))
+    row, value = row[by], value[by]
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return row[new], value[new]
+
+
+def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
+    """The shingle set of each row's text (column 1)."""
+    rows = texts(batch.column(1))
+    for lo, hi in chunks(rows):
+        row, value = shingles(rows[lo:hi], shingle)
+        yield from np.split(value, np.searchsorted(row, np.arange(1, hi - lo)))
+
+
+def frequent_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Frequent shingles of a sample of the documents, the less frequent first; at most FREQUENT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = texts(batch.column(1))
+            for lo, hi in chunks(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(rows[lo:hi], shingle)[1].view(np.int64))], ["value"])
+
+    seen = docs.where("pmod(xxhash64(doc_id), 8) = 0").select("doc_id", "text").mapInArrow(run, "value long")
+    often = seen.groupBy("value").count().where(f"count >= {OFTEN}").orderBy(F.desc("count"), "value").limit(FREQUENT)
+    return often.toArrow().column("value").to_numpy()[::-1].astype(np.int64).view(np.uint64)
+
+
+def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, the digest d0, d1 of the text's shingle set, its size, and the rarest of its shingles, so many that no
+    set of at least this similarity is without one of them (frequent shingles are last, the order is the same for all texts)."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))  # at most FREQUENT numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = np.argsort(shared.value)
+        known = shared.value[by]
+        for batch in batches:
+            digests, sizes, rarest = [], [], []
+            for own in _sets(batch, shingle):
+                digests.append(xxhash.xxh3_128_digest(own.tobytes(), SEED))
+                sizes.append(len(own))
+                rank = np.zeros(len(own), dtype=np.int64)
+                if len(known) and len(own):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, by[at] + 1, 0)
+                length = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
+                rarest.append(own[np.argsort(rank, kind="stable")[:length]].view(np.int64))
+            numbers = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pa.array(numbers[:, 0].copy()), pa.array(numbers[:, 1].copy()), pa.array(sizes, pa.int32()), pa.array(rarest, pa.list_(pa.int64()))], ["doc_id", "d0", "d1", "size", "rarest"]
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d0 long, d1 long, size int, rarest array<long>")
+
+
+def candidates(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes, among them all of at least the similarity. `sets`: node, size, rarest.
+
+    The first shingle in the order that two similar sets share is in the larger one's `rarest` and, because of the overlap
+    they need, nearer to the smaller one's beginning still; beyond its place enough shingles must be left in both.
+    """
+    rows = sets.select("node", "size", F.posexplode("rarest").alias("pos", "value"))
+    side = lambda x: rows.select("value", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("pos").alias(f"pos_{x}"))
+    near = side("b").where(f"pos_b <= size_b - {2 * similarity / (1 + similarity)} * size_b + 1e-6")
+    joined = side("a").join(near.hint("shuffle_merge"), "value").where("size_b < size_a or (size_b = size_a and b < a)").where(f"size_b >= {similarity} * size_a - 1e-6")
+    return joined.where(f"{1 + similarity} * least(size_a - pos_a, size_b - pos_b) >= {similarity} * (size_a + size_b) - 1e-6").select("a", "b").distinct()
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(node, size, shingles): the different shingles of each text of `rows` (node, text), as ascending 64-bit hashes."""
+    """(node, size, shingles): the different shingles of each text of `rows` (node, text), as 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for text in texts(batch.column(1)):
-                found = text.lower().split()
-                joined = [b" ".join(found[i : i + shingle]) for i in range(max(1, len(found) - shingle + 1))] if found else []
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in joined], dtype=np.uint64)).view(np.int64))
+            sets = [s.view(np.int64) for s in _sets(batch, shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["node", "size", "shingles"])
 
     return rows.select("node", "text").mapInArrow(run, "node long, size int, shingles array<long>")
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, scheme: Scheme, similarity: float) -> DataFrame:
-    """The links of `nodes` of which the texts' Jaccard similarity over shingles is at least `similarity`."""
-    pairs = written(links(nodes.select("node", *scheme.columns), scheme), "pairs")
+def similar_links(docs: DataFrame, nodes: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs of `nodes` of which the texts' Jaccard similarity over shingles is at least `similarity`."""
+    pairs = written(candidates(sets, similarity), "pairs")
     ids = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least"), "node"), "ends")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("least"), "text").join(F.broadcast(ids) if small_or_none(ids) else ids, "least")
-    sets = written(shingle_sets(rows.select("node", "text"), scheme.shingle).dropDuplicates(["node"]), "sets")
+    sets = written(shingle_sets(rows.select("node", "text"), shingle).dropDuplicates(["node"]), "sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("shingles").alias(f"shingles_{x}")) for x in ("a", "b"))
-    # sizes first: sets of very different sizes cannot be similar
-    sized = pairs.join(left.drop("shingles_a"), "a").join(right.drop("shingles_b"), "b").where(f"least(size_a, size_b) >= {similarity} * greatest(size_a, size_b)").select("a", "b")
-    both = sized.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("shingles_a", "shingles_b")))
+    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("shingles_a", "shingles_b")))
     return both.where(f"shared >= {similarity} * (size_a + size_b - shared)").select("a", "b")
 
 
-def deduplicated(docs: DataFrame, scheme: Scheme = WIDE, similarity: float = 0.8) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = 0.8) -> DataFrame:
     """`docs` with one document of each near-duplicate group: that with the smallest doc_id.
 
-    Documents with equal fingerprints are one group; others are linked if their fingerprints are near and the
-    exact similarity of their shingles is at least `similarity`. Rows with null doc_ids stay; of repeated rows of the document
+    Documents with equal sets of shingles are one node; others are linked if the exact Jaccard similarity of their sets is at
+    least `similarity`, and no such link is missed. Rows with null doc_ids stay; of repeated rows of the document
     that stays one is kept; texts without words are equal to each other; an empty table gives no rows.
     """
-    names = scheme.columns
-    prints = written(fingerprints(docs.where("doc_id is not null"), scheme), "fingerprints")
+    names = ["d0", "d1"]
+    prints = written(prefixes(docs.where("doc_id is not null"), shingle, similarity), "sets")
     nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("node", F.expr(f"xxhash64({', '.join(names)})")), "nodes")
-    roots = components(similar_links(docs, nodes, scheme, similarity)).join(nodes.select("node", "least"), "node")
+    sets = prints.join(nodes, names).where("doc_id = least").select("node", "size", "rarest")
+    roots = components(similar_links(docs, nodes, sets, shingle, similarity)).join(nodes.select("node", "least"), "node")
+    prints = prints.select("doc_id", *names)
     stays = roots.groupBy("root").agg(F.min("least").alias("stays"))
     later = roots.join(stays, "root").where("least <> stays").select("node")
     # whole nodes that go, and of the others all but the smallest

@@ -315,6 +315,13 @@ def test_near_duplicate_removal_equals_brute_force(spark, table):
     assert left == {int(table.doc_id[r]) for r in set(roots)}
 
 
+def test_different_texts_that_one_repeated_word_dominates_stay(spark):
+    rng = random.Random(4)
+    rows = [(i, "go " * 300 + " ".join(f"w{rng.getrandbits(40)}" for _ in range(200))) for i in range(4)]
+    left = simhash.deduplicated(prepared(spark).createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == [0, 1, 2, 3]
+
+
 # --- 5, 10: tokens ---------------------------------------------------------------------------------------------------
 
 
