@@ -322,6 +322,22 @@ def test_different_texts_that_one_repeated_word_dominates_stay(spark):
     assert sorted(r.doc_id for r in left.collect()) == [0, 1, 2, 3]
 
 
+def test_every_pair_of_the_similarity_is_found(spark):
+    rng = random.Random(6)
+    made = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    rows = []
+    for k in range(400):  # each pair 0.80 to 0.82, as near to the limit as may be
+        base, n = made(300), 32
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[n:] + made(n)))]
+    block = made(30)
+    rest = made(150)
+    rows += [(900, " ".join(rest + block)), (901, " ".join(rest + block * 12))]
+    left = {r.doc_id for r in simhash.deduplicated(prepared(spark).createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(len(w) - 4)} for i, t in rows}
+    assert left == {i for i in sets if i % 2 == 0 or 5 * len(sets[i] & sets[i - 1]) < 4 * len(sets[i] | sets[i - 1])}
+    assert 901 not in left and len(left) == 401
+
+
 # --- 5, 10: tokens ---------------------------------------------------------------------------------------------------
 
 
