@@ -476,6 +476,12 @@ def test_quality_on_labelled_rows_of_another_size(spark):
     assert (~got.keep[bad]).mean() > 0.9 and got.keep[~bad].mean() > 0.97
 
 
+def test_white_space_counts_alike_at_every_length():
+    for layout in ("\tword\r\n", "a\xa0b ", "a b\n"):
+        short, long = (quality.metadata_features(layout * n, "en", "s")[8] for n in (100, 10_000))
+        assert short == pytest.approx(long)
+
+
 def test_quality_odd_inputs(spark, odd, empty):
     labels = spark.createDataFrame([(2, 1, 0), (4, 0, 1), (5, None, 0), (999, 1, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.kept(empty, labels).count() == 0
