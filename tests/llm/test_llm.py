@@ -326,7 +326,7 @@ def test_every_pair_of_the_similarity_is_found(spark):
     rng = random.Random(6)
     made = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
     rows = []
-    for k in range(400):  # each pair 0.80 to 0.82, as near to the limit as may be
+    for k in range(400):  # each pair 0.805, near to the limit
         base, n = made(300), 32
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[n:] + made(n)))]
     block = made(30)
