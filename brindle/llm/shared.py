@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in one Arrow batch; keeps a Python worker's memory small whatever the texts' mean length.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch at most; keeps a Python worker's memory small whatever the texts' mean length.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 #: Bytes of text that the vectorised operators look at together.
 CHUNK_BYTES = 2 << 20
 
@@ -50,6 +50,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def prepared(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, and this package on the workers' path (on a cluster: --py-files or an image)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = [x for x in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if x]
     if home not in paths:
@@ -84,7 +85,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_or_none(ids: DataFrame, most: int = 1_000_000) -> bool:
+def small_or_none(ids: DataFrame, most: int = 250_000) -> bool:
     """Whether `ids` has at most `most` rows: only then may it be broadcast."""
     return ids.limit(most + 1).count() <= most
 
