@@ -18,8 +18,10 @@ from brindle.llm.shared import chunks, documents, small_or_none, texts, written
 
 #: Words of a line, and the fewest words that a repeated run must have to go.
 LINE_WORDS, RUN_WORDS = 16, 50
-#: So many runs are sent to all tasks; more are joined by a shuffle.
-BROADCAST_RUNS = 500_000
+#: So many 64-bit keys are sent to all tasks; more are joined by a shuffle.
+BROADCAST_KEYS = 250_000
+#: The key that says that a document repeats itself.
+OWN = np.uint64(0)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32())]))
 _RUNS_DDL = "array<struct<start:int,n_words:int>>"
@@ -63,21 +65,41 @@ def _texts_of(at: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.searchsorted(first, at, side="right") - 1
 
 
+def own_repeats(start: np.ndarray, gram: np.ndarray, doc: np.ndarray, run: int) -> np.ndarray:
+    """Which windows the same text has before, without overlap."""
+    by = np.lexsort((gram, doc))  # stable: equal windows of a text stay in order
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (doc[by][1:] != doc[by][:-1]) | (gram[by][1:] != gram[by][:-1])
+    first = start[by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    out = np.zeros(len(by), dtype=bool)
+    out[by] = start[by] - first >= run
+    return out
+
+
 def fingerprints(docs: DataFrame, line: int = LINE_WORDS, run: int = RUN_WORDS) -> DataFrame:
-    """(doc_id, line, span): the spans of every document, each once however often the document says it."""
+    """(doc_id, line, span): the spans of every document, each once however often the document says it; nulls where it
+    repeats a whole window."""
+
+    names = ["doc_id", "line", "span"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column(0).to_numpy(zero_copy_only=False), texts(batch.column(1))
             for lo, hi in chunks(rows):
                 found = words.split(rows[lo:hi], words.SPACED)
-                start, _, begin, least, span = windows(found.hashes(), found.first, line, run)
+                start, gram, begin, least, span = windows(found.hashes(), found.first, line, run)
                 doc = _texts_of(start[begin], found.first)
                 by = np.lexsort((span, least, doc))
                 doc, least, span = doc[by], least[by], span[by]
+                again = (doc[1:] == doc[:-1]) & (least[1:] == least[:-1])
                 new = np.ones(len(by), dtype=bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1]) | (span[1:] != span[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc[new]].astype(np.int64)), pa.array(least[new].view(np.int64)), pa.array(span[new].view(np.int64))], ["doc_id", "line", "span"])
+                new[1:] = ~again | (span[1:] != span[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc[new]].astype(np.int64)), pa.array(least[new].view(np.int64)), pa.array(span[new].view(np.int64))], names)
+                owner = _texts_of(start, found.first)
+                near = np.flatnonzero(np.isin(owner, doc[1:][again]))  # equal windows have equal lines
+                themselves = np.unique(owner[near][own_repeats(start[near], gram[near], owner[near], run)])
+                none = pa.nulls(len(themselves), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][themselves].astype(np.int64)), none, none], names)
 
     return _known(docs).mapInArrow(made, "doc_id long, line long, span long")
 
@@ -125,8 +147,8 @@ def open_windows(docs: DataFrame, spans: DataFrame, line: int = LINE_WORDS, run:
     return _asked(docs, wanted).mapInArrow(made, "doc_id long, line long, gram long")
 
 
-def repeated_runs(docs: DataFrame, line: int = LINE_WORDS, run: int = RUN_WORDS) -> DataFrame:
-    """(doc_id, runs): for documents with runs of at least `run` words that an earlier document has, those runs.
+def keys_to_delete(docs: DataFrame, line: int = LINE_WORDS, run: int = RUN_WORDS) -> DataFrame:
+    """(doc_id, keys): for documents with runs of at least `run` words that are said before, the hashes of the spans and windows that go.
 
     A window of `run` words goes if any earlier document has it. Spans that an earlier document has whole go by an aggregate and an
     equi-join, which adaptive execution splits where a span is in very many documents. Where the same line stands in
@@ -134,25 +156,14 @@ def repeated_runs(docs: DataFrame, line: int = LINE_WORDS, run: int = RUN_WORDS)
     documents of the span lose it whole. So every occurrence is compared with every different surrounding of its line.
     """
     prints = written(fingerprints(docs, line, run), "lines")
-    spans = written(prints.groupBy("line", "span").agg(F.min("doc_id").alias("of"), F.count("*").alias("n")), "spans")
+    spans = written(prints.where("line is not null").groupBy("line", "span").agg(F.min("doc_id").alias("of"), F.count("*").alias("n")), "spans")
     later = prints.join(spans.where("n > 1").select("line", "span", "of").hint("shuffle_merge"), ["line", "span"]).where("doc_id > of").select("doc_id", F.col("span").alias("key"))
     several = written(spans.groupBy("line").agg(F.count("*").alias("n"), F.min("of").alias("a"), F.max("of").alias("b")).where("n > 1 and a < b").select("line"), "several")
     grams = written(open_windows(docs, spans.join(several.hint("shuffle_merge"), "line", "left_semi"), line, run), "grams")
     firsts = written(grams.groupBy("line", "gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("line", "gram", "a"), "firsts")
     parts = grams.join(firsts.hint("shuffle_merge"), ["line", "gram"]).where("doc_id > a").select("doc_id", F.col("gram").alias("key"))
-    gone = written(later.union(parts).groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "gone")
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[dict]] = []
-            for lo, hi, found, (start, gram, begin, _, span), keys in _asked_chunks(batch, line, run):
-                doc = _texts_of(start, found.first)
-                hit = np.repeat(np.isin(_salted(doc[begin], span), keys), np.diff(np.append(begin, len(start))))
-                hit |= np.isin(_salted(doc, gram), keys)
-                out += _marked(start[hit], run, found.first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _RUNS)], ["doc_id", "runs"])
-
-    return _asked(docs, gone).mapInArrow(made, f"doc_id long, runs {_RUNS_DDL}").where("size(runs) > 0").groupBy("doc_id").agg(F.max("runs").alias("runs"))
+    own = prints.where("line is null").select("doc_id", F.lit(int(OWN)).cast("bigint").alias("key"))
+    return written(later.union(parts).union(own).groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "gone")
 
 
 def _marked(start: np.ndarray, run: int, first: np.ndarray) -> list[list[dict]]:
@@ -178,31 +189,51 @@ def without(text: bytes, runs: list[dict]) -> bytes:
 
 
 def deduplicated(docs: DataFrame, line: int = LINE_WORDS, run: int = RUN_WORDS) -> DataFrame:
-    """`docs` with later repeated runs deleted from their texts, and __runs, what was deleted.
+    """`docs` with later repeated runs deleted from their texts, and __runs, what was deleted (null or empty: nothing).
 
-    Words are compared lower-cased. The first document that has a run, by doc_id, keeps it; a document's own repeats
-    and runs of fewer words stay. All rows stay, if need be with an empty text. Null texts stay null, a
-    row with a null doc_id is left as it is, rows with equal doc_ids are taken for the same document; an empty table gives no rows.
+    Words are compared lower-cased. The first document that has a run, by doc_id, keeps it, at its first place there; runs
+    of fewer words stay. All rows stay, if need be with an empty text. Null texts stay null, a
+    row with a null doc_id is left as it is; rows with equal doc_ids keep what they share with each other, and
+    each loses only what stands in its own text; an empty table gives no rows.
     """
-    runs = written(repeated_runs(docs, line, run), "runs").select(F.col("doc_id").alias("__of"), F.col("runs").alias("__runs"))
+    gone = keys_to_delete(docs, line, run).select(F.col("doc_id").alias("__of"), F.col("keys").alias("__keys"))
     names = docs.columns
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("text")
-            if batch.column("__runs").null_count < len(batch):
-                found = batch.column("__runs").to_pylist()
-                column = pa.array([without(t.as_py().encode(), r).decode() if r and t.is_valid else t.as_py() for t, r in zip(column, found)], pa.string())
-            yield pa.RecordBatch.from_arrays([*(column if n == "text" else batch.column(n) for n in names), batch.column("__runs")], [*names, "__runs"])
+            column, lists = batch.column("text"), batch.column("__keys")
+            asked = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+            runs: list[list[dict] | None] = [None] * len(batch)
+            if len(asked):
+                changed = column.cast(pa.string()).to_pylist()
+                part = pa.RecordBatch.from_arrays([pa.nulls(len(asked)), column.take(pa.array(asked)), lists.take(pa.array(asked))], ["doc_id", "text", "keys"])
+                for lo, hi, found, (start, gram, begin, _, span), keys in _asked_chunks(part, line, run):
+                    doc = _texts_of(start, found.first)
+                    hit = np.repeat(np.isin(_salted(doc[begin], span), keys), np.diff(np.append(begin, len(start))))
+                    hit |= np.isin(_salted(doc, gram), keys)
+                    each = np.arange(hi - lo)
+                    mine = np.flatnonzero(np.isin(doc, each[np.isin(_salted(each, np.full(hi - lo, OWN)), keys)]))
+                    hit[mine] |= own_repeats(start[mine], gram[mine], doc[mine], run)
+                    for i, marks in zip(asked[lo:hi].tolist(), _marked(start[hit], run, found.first)):
+                        runs[i] = marks
+                        if marks:
+                            changed[i] = without(changed[i].encode(), marks).decode()
+                column = pa.array(changed, pa.string())
+            yield pa.RecordBatch.from_arrays([*(column if n == "text" else batch.column(n) for n in names), pa.array(runs, _RUNS)], [*names, "__runs"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    total = runs.agg(F.sum(F.size("__runs") + 1)).first()[0] or 0
-    joined = docs.join(F.broadcast(runs) if total <= BROADCAST_RUNS else runs, docs["doc_id"] == runs["__of"], "left").select(*names, "__runs")
+    total = gone.agg(F.sum(F.size("__keys") + 2)).first()[0] or 0
+    joined = docs.join(F.broadcast(gone) if total <= BROADCAST_KEYS else gone, docs["doc_id"] == gone["__of"], "left").select(*names, "__keys")
     return joined.mapInArrow(made, f"{schema}, __runs {_RUNS_DDL}")
 
 
+def repeated_runs(docs: DataFrame, line: int = LINE_WORDS, run: int = RUN_WORDS) -> DataFrame:
+    """(doc_id, runs) of the rows of which something is deleted."""
+    return deduplicated(docs.select("doc_id", "text"), line, run).where("size(__runs) > 0").select("doc_id", F.col("__runs").alias("runs"))
+
+
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     found = deduplicated(documents(spark, sf_dir).select("doc_id", "text", F.length("text").cast("long").alias("n_chars")))
     return found.selectExpr(
-        "doc_id", "n_chars", "cast(length(text) as bigint) as n_kept", "cast(coalesce(size(__runs), 0) as bigint) as n_runs", "coalesce(aggregate(__runs, 0L, (s, r) -> s + r.n_words), 0L) as n_words_deleted", "sha2(text, 256) as text_sha256", "__runs as runs"
+        "doc_id", "n_chars", "cast(length(text) as bigint) as n_kept", "cast(greatest(coalesce(size(__runs), 0), 0) as bigint) as n_runs", "coalesce(aggregate(__runs, 0L, (s, r) -> s + r.n_words), 0L) as n_words_deleted", "sha2(text, 256) as text_sha256", "if(size(__runs) > 0, __runs, null) as runs"
     )
