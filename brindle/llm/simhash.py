@@ -176,8 +176,9 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, the digest d0, d1 of the text's shingle set, its size, and the rarest of its shingles, so many that no
-    set of at least this similarity is without one of them (frequent shingles are last, the order is the same for all texts)."""
+    """doc_id, content, the digest d0, d1 of the text's shingle set, its size, and the rarest of its shingles, so many that no
+    set of at least this similarity is without one of them (frequent shingles are last, the order is the same for all texts).
+    `docs`: doc_id, content (any number that is passed on) and text."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))  # at most FREQUENT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,23 +197,40 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 rarest.append(own[np.argsort(rank, kind="stable")[:length]].view(np.int64))
             numbers = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(numbers[:, 0].copy()), pa.array(numbers[:, 1].copy()), pa.array(sizes, pa.int32()), pa.array(rarest, pa.list_(pa.int64()))], ["doc_id", "d0", "d1", "size", "rarest"]
+                [*batch.columns[::2], pa.array(numbers[:, 0].copy()), pa.array(numbers[:, 1].copy()), pa.array(sizes, pa.int32()), pa.array(rarest, pa.list_(pa.int64()))], ["doc_id", "content", "d0", "d1", "size", "rarest"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d0 long, d1 long, size int, rarest array<long>")
+    return docs.select("doc_id", "text", "content").mapInArrow(run, "doc_id long, content long, d0 long, d1 long, size int, rarest array<long>")
 
 
-def candidates(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes, among them all of at least the similarity. `sets`: node, size, rarest.
+def _close(joined: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a the larger set) that share a shingle, at pos_a and pos_b in their orders, those that may be similar.
 
     The first shingle in the order that two similar sets share is in the larger one's `rarest` and, because of the overlap
     they need, nearer to the smaller one's beginning still; beyond its place enough shingles must be left in both.
     """
-    rows = sets.select("node", "size", F.posexplode("rarest").alias("pos", "value"))
-    side = lambda x: rows.select("value", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("pos").alias(f"pos_{x}"))
-    near = side("b").where(f"pos_b <= size_b - {2 * similarity / (1 + similarity)} * size_b + 1e-6")
-    joined = side("a").join(near.hint("shuffle_merge"), "value").where("size_b < size_a or (size_b = size_a and b < a)").where(f"size_b >= {similarity} * size_a - 1e-6")
-    return joined.where(f"{1 + similarity} * least(size_a - pos_a, size_b - pos_b) >= {similarity} * (size_a + size_b) - 1e-6").select("a", "b").distinct()
+    near = joined.where("size_b < size_a or (size_b = size_a and b < a)").where(f"size_b >= {similarity} * size_a - 1e-6").where(f"pos_b <= size_b - {2 * similarity / (1 + similarity)} * size_b + 1e-6")
+    return near.where(f"{1 + similarity} * least(size_a - pos_a, size_b - pos_b) >= {similarity} * (size_a + size_b) - 1e-6").select("a", "b").distinct()
+
+
+def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    return rows.select("value", F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("size", "pos", *more)))
+
+
+def hub_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each row with the first node that has the same shingle: as many as there are rows, however many share a shingle."""
+    hubs = rows.groupBy("value").agg(F.min(F.struct("node", "size", "pos")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("value", "hub.*")
+    hubs = written(hubs, "hubs").hint("shuffle_merge")
+    either = _side(rows, "a").join(_side(hubs, "b"), "value").unionByName(_side(hubs, "a").join(_side(rows, "b"), "value"))
+    return _close(either, similarity)
+
+
+def other_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of all rows with the same shingle but different `component`; a shingle of one component only makes none."""
+    live = rows.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
+    rows = written(rows.join(live.hint("shuffle_merge"), "value", "left_semi"), "live")
+    joined = _side(rows, "a", "component").join(_side(rows, "b", "component").hint("shuffle_merge"), "value").where("component_a <> component_b")
+    return _close(joined, similarity)
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -226,40 +244,61 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "node long, size int, shingles array<long>")
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs of `nodes` of which the texts' Jaccard similarity over shingles is at least `similarity`."""
-    pairs = written(candidates(sets, similarity), "pairs")
-    ids = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least"), "node"), "ends")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("least"), "text").join(F.broadcast(ids) if small_or_none(ids) else ids, "least")
+def similar_components(docs: DataFrame, nodes: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of all nodes linked by a Jaccard similarity of at least `similarity`.
+
+    First every node is compared with the first one of each shingle it is looked up by; in a group of near copies this links nearly all.
+    Only nodes that this leaves in different components are then compared with each other, so no link between components is missed.
+    """
+    rows = sets.select("node", "size", F.posexplode("rarest").alias("pos", "value"))
+    first = written(_similar(written(hub_pairs(rows, similarity), "pairs"), docs, nodes, shingle, similarity), "links")
+    roots = written(components(first), "roots")
+    marked = rows.join(roots, "node", "left").select("node", "size", "pos", "value", F.coalesce("root", "node").alias("component"))
+    rest = written(_similar(written(other_pairs(marked, similarity), "pairs"), docs, nodes, shingle, similarity), "links")
+    return components(first.union(rest))
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that are as similar as that, by their whole sets."""
+    ids = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least"), "node").select("node", "least.*"), "ends")
+    rows = _rows(docs).select("doc_id", "content", "text").join(F.broadcast(ids) if small_or_none(ids) else ids, ["doc_id", "content"])
     sets = written(shingle_sets(rows.select("node", "text"), shingle).dropDuplicates(["node"]), "sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("shingles").alias(f"shingles_{x}")) for x in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("shingles_a", "shingles_b")))
     return both.where(f"shared >= {similarity} * (size_a + size_b - shared)").select("a", "b")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, the text's hash and the text: what a row is known by, as ids may repeat."""
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
+
+
 def deduplicated(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = 0.8) -> DataFrame:
-    """`docs` with one document of each near-duplicate group: that with the smallest doc_id.
+    """`docs` with one row of each near-duplicate group: that with the smallest doc_id (of several, that of the smallest text hash).
 
-    Documents with equal sets of shingles are one node; others are linked if the exact Jaccard similarity of their sets is at
-    least `similarity`, and no such link is missed. Rows with null doc_ids stay; of repeated rows of the document
-    that stays one is kept; texts without words are equal to each other; an empty table gives no rows.
+    Rows with equal sets of shingles are one node; others are linked if the exact Jaccard similarity of their sets is at
+    least `similarity`, and no such link is missed. Rows with null doc_ids stay; rows of one doc_id with different texts are
+    judged each for itself, and of rows with the same text one is kept; texts without words are equal to each other; an
+    empty table gives no rows.
     """
     names = ["d0", "d1"]
-    prints = written(prefixes(docs.where("doc_id is not null"), shingle, similarity), "sets")
-    nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("node", F.expr(f"xxhash64({', '.join(names)})")), "nodes")
-    sets = prints.join(nodes, names).where("doc_id = least").select("node", "size", "rarest")
-    roots = components(similar_links(docs, nodes, sets, shingle, similarity)).join(nodes.select("node", "least"), "node")
-    prints = prints.select("doc_id", *names)
+    prints = written(prefixes(_rows(docs), shingle, similarity), "sets")
+    first = F.struct("doc_id", "content")
+    nodes = written(prints.groupBy(*names).agg(F.min(first).alias("least")).withColumn("node", F.expr(f"xxhash64({', '.join(names)})")), "nodes")
+    sets = prints.join(nodes, names).where(first == F.col("least")).select("node", "size", "rarest").dropDuplicates(["node"])
+    sets = written(sets, "rarest")
+    roots = similar_components(docs, nodes, sets, shingle, similarity).join(nodes.select("node", "least"), "node")
     stays = roots.groupBy("root").agg(F.min("least").alias("stays"))
     later = roots.join(stays, "root").where("least <> stays").select("node")
-    # whole nodes that go, and of the others all but the smallest
-    gone = prints.join(nodes, names).join(later.withColumn("late", F.lit(True)), "node", "left").where("late or doc_id <> least")
-    gone = written(gone.select("doc_id").distinct(), "gone")
-    left = docs.join(F.broadcast(gone) if small_or_none(gone) else gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = prints.groupBy("doc_id").count().where("count > 1")
-    if twice.isEmpty():
-        return left
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    # whole nodes that go, and of the others all but the first
+    gone = prints.join(nodes, names).join(later.withColumn("late", F.lit(True)), "node", "left").where(F.col("late") | (first != F.col("least")))
+    gone = written(gone.select("doc_id", "content").distinct(), "gone")
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__content": F.xxhash64("text")})
+    gone_keys = gone.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"))
+    left = keyed.join(F.broadcast(gone_keys) if small_or_none(gone) else gone_keys, ["__id", "__content"], "left_anti")
+    if not prints.groupBy("doc_id", "content").count().where("count > 1").isEmpty():
+        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["__id", "__content"]))
+    return left.select(*docs.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
