@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import words
-from brindle.llm.shared import chunks, documents, texts
+from brindle.llm.shared import chunks, documents, small_or_none, texts, written
 
 #: Bytes of training text in one shard, whatever the table's size (a longer text is a shard of its own).
 SHARD_BYTES = 4 << 20
-#: Bytes of benchmark text that go to the workers at once; a larger benchmark is searched in blocks.
+#: Bytes of benchmark text that are searched at once (one longer item is a block of its own); all that the driver holds of it.
 BLOCK_BYTES = 16 << 20
-_MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), ("item_pos", pa.int32()), ("doc_pos", pa.int32()), ("n_words", pa.int32())]))
-_MATCHES_DDL = "array<struct<item_id:bigint,item_pos:int,doc_pos:int,n_words:int>>"
+_MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("item_pos", pa.int32()), ("doc_pos", pa.int32()), ("n_words", pa.int32())]))
+_MATCHES_DDL = "array<struct<item_id:string,item_pos:int,doc_pos:int,n_words:int>>"
 
 
 def symbols(h: np.ndarray) -> np.ndarray:
@@ -30,10 +30,13 @@ def symbols(h: np.ndarray) -> np.ndarray:
 class Shard:
     """A suffix array over a sequence of symbols, ordered by the first `depth` or more symbols of each suffix."""
 
-    def __init__(self, sequence: np.ndarray, depth: int):
+    def __init__(self, sequence: np.ndarray, depth: int, order: np.ndarray | None = None):
         n = len(sequence)
         self.sequence = np.concatenate([sequence, np.zeros(1, dtype=np.uint64)])
         key = (self.sequence[:-1] << np.uint64(32)) | self.sequence[1:]
+        if order is not None:  # as it was stored
+            self.order, self.head = order, key[order]
+            return
         self.order = np.argsort(key)
         self.head = key[self.order]
         fresh = np.ones(n, dtype=bool)
@@ -95,7 +98,7 @@ class Shard:
 class Items:
     """A block of test items: every suffix of `window` words (or the whole item, where it is shorter)."""
 
-    ids: list[int]
+    ids: list[str]
     words: list[list[bytes]]
     item: np.ndarray
     place: np.ndarray
@@ -103,7 +106,7 @@ class Items:
     size: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str | None]], window: int) -> Items:
+    def of(cls, rows: list[tuple[str, str | None]], window: int) -> Items:
         found = words.split([(t or "").encode() for _, t in rows], words.ALNUM)
         symbol = symbols(found.hashes()) if len(found) else np.empty(0, dtype=np.uint64)
         item, place, size = [], [], []
@@ -118,24 +121,25 @@ class Items:
         return cls([r[0] for r in rows], [[found.word(k) for k in range(*found.first[i : i + 2])] for i in range(len(rows))], item, place, queries, size)
 
 
-def shard_matches(texts_: list[bytes], items: Items, window: int) -> tuple[np.ndarray, np.ndarray, words.Words]:
-    """Rows (text, item, item_pos, doc_pos, n_words) of the maximal verbatim matches, and words per text."""
-    found = words.split(texts_, words.ALNUM)
-    counts = np.diff(found.first)
+def sequence_of(found: words.Words) -> np.ndarray:
+    """The symbols of all texts, one gap after each."""
+    sequence = np.zeros(len(found) + len(found.first) - 1, dtype=np.uint64)
+    sequence[np.arange(len(found)) + found.doc()] = symbols(found.hashes())
+    return sequence
+
+
+def shard_matches(found: words.Words, shard: Shard, items: Items, window: int) -> np.ndarray:
+    """Rows (text, item, item_pos, doc_pos, n_words) of the maximal verbatim matches."""
     none = np.empty((0, 5), dtype=np.int64)
     if not len(found) or not len(items.item):
-        return none, counts, found
-    gap = np.arange(len(texts_) + 1)
-    base = found.first + gap  # one gap symbol after each text
-    sequence = np.zeros(len(found) + len(texts_), dtype=np.uint64)
-    doc = found.doc()
-    sequence[np.arange(len(found)) + doc] = symbols(found.hashes())
-    low, high = (shard := Shard(sequence, window)).find(items.queries, items.size)
+        return none
+    base = found.first + np.arange(len(found.first))
+    low, high = shard.find(items.queries, items.size)
     many = high - low
     if not many.sum():
-        return none, counts, found
+        return none
     query = np.repeat(np.arange(len(many)), many)
-    at = shard.order[np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(len(query))]
+    at = shard.order[np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(len(query))].astype(np.int64)
     item, place = items.item[query], items.place[query]
     # consecutive windows on one diagonal make one maximal match
     by = np.lexsort((at, at - place, item))
@@ -156,7 +160,7 @@ def shard_matches(texts_: list[bytes], items: Items, window: int) -> tuple[np.nd
                 if k - start >= need:
                     rows.append((t, i, q + start, p + start, k - start))
                 start = k + 1
-    return np.array(rows, dtype=np.int64).reshape(-1, 5), counts, found
+    return np.array(rows, dtype=np.int64).reshape(-1, 5)
 
 
 def covered(counts: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -169,50 +173,111 @@ def covered(counts: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.nd
     return hit[first[1:]] - hit[first[:-1]]
 
 
-def _pass(items: Items, window: int, earlier: bool):
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, the text's hash and the text: matches depend on these only, so equal rows share them."""
+    return docs.select("doc_id", F.xxhash64("text").alias("content"), "text")
+
+
+def indexed(docs: DataFrame, window: int) -> DataFrame:
+    """The training index, a row for each shard of about SHARD_BYTES: its rows (doc_id, content, n_words), their texts, and the
+    order of the suffixes of all their words, by as many words as a window has or more."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["rows", "texts", "suffixes"]
+
+    def flush(held: list[tuple[pa.Array, pa.Array, list[bytes]]]) -> pa.RecordBatch:
+        raw = [t for _, _, part in held for t in part]
+        found = words.split(raw, words.ALNUM)
+        order = Shard(sequence_of(found), window).order.astype("<i4")
+        ids, contents = (pa.concat_arrays([x[i] for x in held]) for i in (0, 1))
+        rows = pa.StructArray.from_arrays([ids, contents, pa.array(np.diff(found.first), pa.int64())], names=["doc_id", "content", "n_words"])
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.RecordBatch.from_arrays([one(rows), one(pa.array(raw, pa.binary())), pa.array([order.tobytes()], pa.binary())], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            kept = batch.schema.names[:-3] if earlier else batch.schema.names
-            rows = texts(batch.column("text"))
-            parts, counts = [], np.zeros(len(rows), dtype=np.int64)
-            if earlier:
-                held = batch.column(len(kept) + 2)
-                text = np.repeat(np.arange(len(rows)), np.diff(held.offsets.to_numpy()))
-                parts.append(np.column_stack([text, *(held.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))]))
-            for lo, hi in chunks(rows, SHARD_BYTES):
-                found, counts[lo:hi], _ = shard_matches(rows[lo:hi], items, window)
-                found[:, 0] += lo
-                found[:, 1] = np.array(items.ids, dtype=np.int64)[found[:, 1]] if len(found) else 0
-                parts.append(found)
-            every = np.concatenate(parts) if parts else np.empty((0, 5), dtype=np.int64)
-            every = every[np.lexsort((every[:, 1], every[:, 3], every[:, 0]))]
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(every[:, 0], minlength=len(rows)))))
-            fields = [pa.array(every[:, 1])] + [pa.array(every[:, k].astype(np.int32)) for k in (2, 3, 4)]
-            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_MATCHES.value_type)))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(kept))), pa.array(counts), pa.array(covered(counts, every[:, 0], every[:, 3], every[:, 4])), made], [*kept, "__n_words", "__n_hit", "__matches"]
-            )
+            raw = texts(batch.column(2))
+            for lo, hi in chunks(raw, SHARD_BYTES // 4):
+                more = sum(map(len, raw[lo:hi]))
+                if held and size + more > SHARD_BYTES:
+                    yield flush(held)
+                    held, size = [], 0
+                held.append((batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), raw[lo:hi]))
+                size += more
+        if held:
+            yield flush(held)
+
+    return _keyed(docs).mapInArrow(run, f"rows array<struct<doc_id:{kind},content:bigint,n_words:bigint>>, texts array<binary>, suffixes binary")
+
+
+def _searching(shared, window: int):
+    """The matches of a block of items in every shard, a row for each text that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
+        for batch in batches:
+            for k in range(len(batch)):
+                rows, raw = batch.column(0)[k].values, batch.column(1)[k].values.to_pylist()
+                order = np.frombuffer(batch.column(2)[k].as_buffer(), dtype="<i4")
+                found = words.split(raw, words.ALNUM)
+                every = shard_matches(found, Shard(sequence_of(found), window, order), items, window)
+                if not len(every):
+                    continue
+                every = every[np.argsort(every[:, 0], kind="stable")]
+                text, first = np.unique(every[:, 0], return_index=True)
+                owner = rows.take(pa.array(text))
+                fields = [pa.array([items.ids[i] for i in every[:, 1].tolist()], pa.string())] + [pa.array(every[:, c].astype(np.int32)) for c in (2, 3, 4)]
+                made = pa.ListArray.from_arrays(pa.array(np.append(first, len(every)), pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_MATCHES.value_type)))
+                yield pa.RecordBatch.from_arrays([owner.field("doc_id"), owner.field("content"), owner.field("n_words"), made], ["doc_id", "content", "n_words", "matches"])
 
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """The rows of `docs` with __n_words, __n_hit and __matches, the maximal verbatim matches with benchmark items.
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held, counts = batch.column("matches"), batch.column("n_words").to_numpy(zero_copy_only=False)
+        text = np.repeat(np.arange(len(batch)), np.diff(held.offsets.to_numpy()))
+        start, size = (held.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(covered(counts, text, start, size))], [*batch.schema.names, "n_hit"])
 
-    Every task builds suffix arrays over shards of its own rows and binary-searches every suffix of every item in
-    them; a match has `window` words or more (or all words of a shorter item) and is verified word by word.
-    No rows are shuffled. A benchmark of more than BLOCK_BYTES is searched in several passes, each adding to the
-    matches of the one before. Null and empty texts have no words and no matches; items without words match
-    nothing; repeated rows and items count each for themselves; empty tables give no rows or no matches.
-    """
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+def found_texts(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> tuple[DataFrame, DataFrame]:
+    """(index, hits): the training index, and (doc_id, content, n_words, matches, n_hit) of every different text with matches."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    index = written(indexed(docs, window), "suffixes")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    dealt = written(items.withColumn("block", F.expr(f"pmod(xxhash64(item_id, text), {blocks})")), "items")
+    columns = f"doc_id {kind}, content bigint, n_words bigint, matches {_MATCHES_DDL}"
+    hits = None
     for b in range(blocks):
-        part = benchmark.where(F.expr(f"pmod(hash(item_id, text), {blocks}) = {b}")) if blocks > 1 else benchmark
-        items = Items.of([(r[0], r[1]) for r in part.selectExpr("cast(item_id as bigint)", "text").collect()], window)
-        docs = docs.mapInArrow(_pass(items, window, b > 0), f"{schema}, __n_words bigint, __n_hit bigint, __matches {_MATCHES_DDL}")
-    return docs
+        rows = [(r[0], r[1]) for r in dealt.where(f"block = {b}").select("item_id", "text").collect()]  # about BLOCK_BYTES
+        shared = docs.sparkSession.sparkContext.broadcast(Items.of(rows, window))
+        each = index.mapInArrow(_searching(shared, window), columns).groupBy("doc_id", "content")  # equal texts have equal matches
+        part = written(each.agg(F.first("n_words").alias("n_words"), F.first("matches").alias("matches")), "hits")
+        shared.unpersist()
+        hits = part if hits is None else hits.union(part)
+    # an array from each block at most
+    merged = hits.groupBy("doc_id", "content").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("matches")))).alias("matches"))
+    return index, written(merged.mapInArrow(_covered, f"{columns}, n_hit bigint"), "covered")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """doc_id, __content (the text's hash), __n_words, __n_hit and __matches, the maximal verbatim matches with benchmark items, of every row of `docs`.
+
+    Suffix arrays over shards of the training texts are written once to the shared folder; every suffix of every item is
+    binary-searched in each of them, a block of items at a time, and a match of `window` words or more (or all words of a
+    shorter item) is verified word by word. Of the training texts nothing is shuffled, only what was found. Null and empty texts have no words
+    and no matches; items without words match nothing; item ids may be of any type and count as strings, a null one as the
+    empty string; repeated rows have the same matches each, repeated items add nothing; empty tables give no rows or no matches;
+    other columns are not read.
+    """
+    index, hits = found_texts(docs, benchmark, window)
+    every = index.select(F.explode("rows").alias("r")).select("r.*")
+    right = hits.select(F.col("doc_id").alias("__of"), F.col("content").alias("__text"), "matches", "n_hit")
+    joined = every.join(F.broadcast(right) if small_or_none(hits.select(F.explode("matches"))) else right, every["doc_id"].eqNullSafe(right["__of"]) & (every["content"] == right["__text"]), "left")
+    return joined.select("doc_id", F.col("content").alias("__content"), F.col("n_words").alias("__n_words"), F.coalesce("n_hit", F.lit(0)).alias("__n_hit"), F.coalesce("matches", F.expr(f"cast(array() as {_MATCHES_DDL})")).alias("__matches"))
 
 
 CONTAMINATED = "__n_hit > 0 and 20 * __n_hit >= __n_words"
@@ -220,12 +285,16 @@ CONTAMINATED = "__n_hit > 0 and 20 * __n_hit >= __n_words"
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """`docs` without those of which at least a twentieth of the words lie in verbatim matches."""
-    return matches(docs, benchmark, window).where(f"not ({CONTAMINATED})").select(*docs.columns)
+    _, hits = found_texts(docs, benchmark, window)
+    gone = hits.where("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("doc_id").alias("__of"), F.col("content").alias("__text"))
+    gone = F.broadcast(gone) if small_or_none(gone) else gone
+    keyed = docs.withColumn("__content", F.xxhash64("text"))
+    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__of"]) & (keyed["__content"] == gone["__text"]), "left_anti").select(*docs.columns)
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
     found = matches(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = "array_sort(array_distinct(transform(__matches, m -> cast(m.item_id as string))))"
+    ids = "array_sort(array_distinct(transform(__matches, m -> m.item_id)))"
     return found.selectExpr(
         "doc_id", "__n_words as n_words", "__n_hit as n_hit", f"cast(size({ids}) as bigint) as n_items", f"sha2(array_join({ids}, ','), 256) as items_sha256", f"{CONTAMINATED} as contaminated"
     )
