@@ -1,4 +1,4 @@
-"""Licence scans by a positional index over the templates' rare words."""
+"""Licence scans by a positional index over the licence texts' rare words."""
 
 from __future__ import annotations
 
@@ -9,66 +9,56 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from brindle.llm import words
+from brindle.llm.licence_texts import PARAGRAPHS, PHRASES
 from brindle.llm.shared import chunks, documents, texts
 
-#: Fixed values: (label, template, mandatory key phrases). The first three are whole phrases that must stand word for word.
-TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
-    ("mit", "under the mit license", ("under the mit license",)),
-    ("apache-2", "apache license version 2", ("apache license version 2",)),
-    ("cc-by-nc", "cc by nc", ("cc by nc",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge", "obtaining a copy of this software")),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("licensed under the apache license", "version 2 0")),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("gnu general public license",)),
-    ("lgpl", "under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
-    ("agpl", "under the terms of the gnu affero general public license", ("gnu affero general public license",)),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("for any purpose with or without fee is hereby granted",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial license", ("creative commons attribution noncommercial",)),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike license", ("creative commons attribution sharealike",)),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related rights", ("waived all copyright and related",)),
-    ("proprietary", "all rights reserved no part of this publication may be reproduced", ("no part of this publication may be reproduced",)),
-]
-BASE = 3
 #: Share of a template's IDF mass that must stand at the aligned places, besides its key phrases.
 LEAST_SCORE = 0.6
-#: A template is looked up by so many of its words of highest IDF; for a base phrase one is enough, as it must be there.
-RARE_WORDS = 3
+#: A template is looked up by so many of its words of highest IDF; in a licence text AGREEING of them at their relative positions
+#: will do, as copies differ here and there, in a base phrase all must stand.
+RARE_WORDS, AGREEING = 4, 2
 
 
 @dataclass
 class Index:
-    """word hash -> postings (template, position), and for each template its rare words."""
+    """word hash -> postings (template, position) of each template's rare words.
 
-    templates: list[tuple[str, str, tuple[str, ...]]] = field(default_factory=lambda: TEMPLATES)
+    `spread`: in how many of `n_docs` documents each word of the templates stands; without it, in how many templates.
+    """
+
+    templates: list[tuple[str, str, tuple[str, ...]]] = field(default_factory=lambda: PARAGRAPHS)
+    spread: dict[int, int] | None = None
+    n_docs: int = 0
 
     def __post_init__(self) -> None:
-        self.words = [t.split() for _, t, _ in self.templates]
+        self.words = [_split(t) for _, t, _ in self.templates]
         self.hashes = [_hashes(w) for w in self.words]
-        spread = Counter(x for w in self.words for x in set(w))
-        self.idf = {w: np.log((1 + len(self.words)) / n) for w, n in spread.items()}
-        self.mass = [sum(self.idf[w] for w in ws) for ws in self.words]
-        self.weights = [np.array([self.idf[w] for w in ws]) for ws in self.words]
-        self.phrases = [[self._places(ws, p.split()) for p in phrases] for ws, (_, _, phrases) in zip(self.words, self.templates)]
+        spread, n = self.spread, self.n_docs
+        if spread is None:
+            spread, n = Counter(x for h in self.hashes for x in set(h.tolist())), len(self.words)
+        self.weights = [np.array([np.log((1 + n) / (1 + spread.get(x, 0))) + 1e-6 for x in h.tolist()]) for h in self.hashes]
+        self.mass = [w.sum() for w in self.weights]
+        self.phrases = [[self._places(ws, _split(p)) for p in phrases] for ws, (_, _, phrases) in zip(self.words, self.templates)]
         postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, ws in enumerate(self.words):
-            first = sorted(range(len(ws)), key=lambda k: (-self.idf[ws[k]], k))[: 1 if t < BASE else RARE_WORDS]
+        self.need = []
+        for t, weights in enumerate(self.weights):
+            first = np.argsort(-weights, kind="stable")[:RARE_WORDS].tolist()
+            self.need.append(len(first) if t < PHRASES else min(AGREEING, len(first)))
             for k in first:
                 postings[int(self.hashes[t][k])].append((t, k))
         self.keys = np.array(sorted(postings), dtype=np.uint64)
         self.postings = [postings[int(k)] for k in self.keys]
 
     @staticmethod
-    def _places(template: list[str], phrase: list[str]) -> np.ndarray:
+    def _places(template: list[bytes], phrase: list[bytes]) -> np.ndarray:
         at = next(i for i in range(len(template)) if template[i : i + len(phrase)] == phrase)
         return np.arange(at, at + len(phrase))
 
     def candidates(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(template, starts, owners): where its rare words, at their relative positions, say that it could begin, and in which text."""
+        """(template, starts, owners): where enough of its rare words, each at its relative position, agree that it begins, and in which text."""
         place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         hits = np.flatnonzero(self.keys[place] == h)
         starts: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -77,11 +67,22 @@ class Index:
             for template, position in self.postings[key]:
                 starts[template].append(np.stack([at - position, doc[at]]))
         for template, found in starts.items():
-            yield template, *np.unique(np.concatenate(found, axis=1), axis=1)
+            if len(found) < self.need[template]:
+                continue
+            # a posting gives a start once, so a start's count is that of the rare words that stand right
+            both, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
+            kept = both[:, n >= self.need[template]]
+            if kept.shape[1]:
+                yield template, *kept
+
 
+def _split(text: str) -> list[bytes]:
+    found = words.split([text.encode()], words.ALNUM)
+    return [found.word(i) for i in range(len(found))]
 
-def _hashes(found: list[str]) -> np.ndarray:
-    return words.split([" ".join(found).encode()], words.ALNUM).hashes()
+
+def _hashes(found: list[bytes]) -> np.ndarray:
+    return words.split([b" ".join(found)], words.ALNUM).hashes()
 
 
 def scan(rows: list[bytes], index: Index) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
@@ -101,18 +102,41 @@ def scan(rows: list[bytes], index: Index) -> tuple[np.ndarray, list[list[tuple[i
         whole = np.all([same[:, p].all(axis=1) for p in index.phrases[template]], axis=0)
         for k in np.flatnonzero(whole & (score >= LEAST_SCORE)).tolist():
             must = {int(p) for places in index.phrases[template] for p in places}
-            if all(found.word(int(at[k, p])) == index.words[template][p].encode() for p in must):
+            if all(found.word(int(at[k, p])) == index.words[template][p] for p in must):
                 out[owner[k]].append((template, int(starts[k] - found.first[owner[k]]), min(1.0, float(score[k]))))
     return np.diff(found.first), out
 
 
+def document_frequencies(docs: DataFrame, templates: list[tuple[str, str, tuple[str, ...]]]) -> tuple[dict[int, int], int]:
+    """In how many of the rows of `docs` each word of the templates stands, by its hash, and the number of rows."""
+    known = np.unique(np.concatenate([_hashes(_split(t)) for _, t, _ in templates]))  # a few hundred
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(known), dtype=np.int64), 0
+        for batch in batches:
+            rows = texts(batch.column(0))
+            n += len(rows)
+            for lo, hi in chunks(rows):
+                found = words.split(rows[lo:hi], words.ALNUM)
+                h = found.hashes()
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = known[at] == h
+                total += np.bincount(np.unique(found.doc()[hit] * len(known) + at[hit]) % len(known), minlength=len(known))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(known) + 1)), pa.array(np.append(total, n))], ["word", "n"])
+
+    counts = {r["word"]: r["n"] for r in docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row a word
+    return {int(k): counts.get(i, 0) for i, k in enumerate(known.tolist())}, counts.get(len(known), 0)
+
+
 def scanned(docs: DataFrame, templates: list[tuple[str, str, tuple[str, ...]]] | None = None) -> DataFrame:
     """doc_id, n_words and finds (template, label, first_word, score) of every row of `docs`.
 
-    The index is a few hundred words and goes along with the tasks; no rows are shuffled. Null and empty texts
-    have no words and no finds; overlapping and repeated finds are all kept; other columns are ignored.
+    A first pass counts in how many documents the licences' words stand, the second looks the rarest up. The index is a few
+    hundred words and goes along with the tasks; no rows are shuffled. Null and empty texts have no words and no finds;
+    overlapping and repeated finds are all kept, repeated rows have theirs each; an empty table gives no rows; other columns are ignored.
     """
-    index = Index(templates or TEMPLATES)
+    templates = templates or PARAGRAPHS
+    index = Index(templates, *document_frequencies(docs, templates))
     kind = docs.schema["doc_id"].dataType.simpleString()
     entry = pa.struct([("template", pa.int32()), ("label", pa.string()), ("first_word", pa.int64()), ("score", pa.float64())])
 
@@ -130,7 +154,7 @@ def scanned(docs: DataFrame, templates: list[tuple[str, str, tuple[str, ...]]] |
 
 
 def op8_licences(spark, sf_dir: str) -> DataFrame:
-    base = f"filter(finds, f -> f.template < {BASE})"
+    base = f"filter(finds, f -> f.template < {PHRASES})"
     joined = lambda xs: f"array_join(array_sort(array_distinct(transform({xs}, f -> f.label))), ',')"
     return scanned(documents(spark, sf_dir)).selectExpr(
         "doc_id",
