@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from brindle.llm.bpe import PATTERN, Tokenizer, compiled, tokenizer_file
-from brindle.llm.shared import documents, texts
+from brindle.llm.bpe import Tokenizer, compiled, tokenizer_file
+from brindle.llm.shared import documents, texts, written
 
 #: Pre-tokens in a leaf; a leaf of more than GROWN times as many has the tree built anew.
 LEAF, GROWN = 64, 8
@@ -73,26 +72,24 @@ class CountTree:
 
 
 class CountedText:
-    """A text with its tree. Special tokens' strings are ordinary text here."""
+    """A text with its tree. A special token's string is a pre-token of one token, as the encoder has it."""
 
     def __init__(self, text: str, tokenizer: Tokenizer, sizes: list[int] | None = None, counts: list[int] | None = None):
         self.text, self.tokenizer, self.reencoded = text, tokenizer, 0
         if sizes is None or counts is None:
-            sizes, counts = self._counted(tokenizer.split(text))
+            sizes, counts = self._counted(text)
         self.tree = CountTree(sizes, counts)
 
-    def _counted(self, found: Iterable[str]) -> tuple[list[int], list[int]]:
-        found = list(found)
-        word, known = self.tokenizer.word, self.tokenizer._words
-        try:
-            return [len(w) for w in found], [len(known[w]) for w in found]
-        except KeyError:
-            return [len(w) for w in found], [len(word(w)) for w in found]
+    def _counted(self, text: str) -> tuple[list[int], list[int]]:
+        has_special = any(s in text for s in self.tokenizer.special)
+        found = [w for _, w in self.tokenizer.pieces(text)] if has_special else self.tokenizer.split(text)
+        return list(map(len, found)), self.tokenizer.counts(found)
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replaces characters [start, end) by `new` and re-encodes the pre-tokens concerned.
 
-        Splitting looks at most at one character beyond the one after a pre-token, so those that end before start - 1 stay.
+        Splitting looks at most at one character beyond the one after a pre-token, and a special token's string may come to be, or cease
+        to, only where it meets the edit; pre-tokens that end farther before it than both reach stay.
         After the edit, splitting goes on until it meets an old boundary: from there on all is as before.
         """
         n = len(self.text)
@@ -101,33 +98,32 @@ class CountedText:
         tree = self.tree
         self.text = self.text[:start] + new + self.text[end:]
         if not tree.n_chars:
-            sizes, counts = self._counted(self.tokenizer.split(self.text))
+            sizes, counts = self._counted(self.text)
             self.reencoded += len(sizes)
             self.tree = CountTree(sizes, counts)
             return
-        leaf, at = tree.leaf_at(max(0, start - 2))
+        reach = max([2, *map(len, self.tokenizer.special)])
+        leaf, at = tree.leaf_at(max(0, start - reach))
         index = 0
-        while index < len(tree.sizes[leaf]) and at + tree.sizes[leaf][index] < start - 1:
+        while index < len(tree.sizes[leaf]) and at + tree.sizes[leaf][index] <= start - reach:
             at += tree.sizes[leaf][index]
             index += 1
         first, begin = (leaf, index), at
         shift, fresh, old = start + len(new) - end, [], at
-        for match in _finditer(self.text, begin):
-            here = match.start()
+        for here, piece in self.tokenizer.pieces(self.text, begin):
             if here >= start + len(new):
                 while old < here - shift and leaf < len(tree.sizes):
                     leaf, index, old = _step(tree, leaf, index, old)
                 if old == here - shift:
                     break
-            fresh.append(match.group())
+            fresh.append(piece)
         else:
             while old < n and leaf < len(tree.sizes):
                 leaf, index, old = _step(tree, leaf, index, old)
         if leaf >= len(tree.sizes):
             leaf, index = len(tree.sizes) - 1, len(tree.sizes[-1])
-        sizes, counts = self._counted(fresh)
         self.reencoded += len(fresh)
-        tree.replace(first, (leaf, index), sizes, counts)
+        tree.replace(first, (leaf, index), list(map(len, fresh)), self.tokenizer.counts(fresh))
 
 
 def _step(tree: CountTree, leaf: int, index: int, at: int) -> tuple[int, int, int]:
@@ -139,9 +135,6 @@ def _step(tree: CountTree, leaf: int, index: int, at: int) -> tuple[int, int, in
     return leaf, index + 1, at + tree.sizes[leaf][index]
 
 
-_finditer = regex.compile(PATTERN).finditer
-
-
 def trees(docs: DataFrame, content: str | None = None) -> DataFrame:
     """The rows of `docs` with __sizes and __counts (characters and tokens of each pre-token): a tree's leaves to store."""
     shared = docs.sparkSession.sparkContext.broadcast(content or tokenizer_file())
@@ -188,8 +181,12 @@ def recounted(rows: DataFrame, content: str | None = None) -> DataFrame:
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Every document with three edits: its middle 20 characters replaced, a note put before it, its last 16 taken away."""
-    middle = "named_struct('start', int(greatest(n div 2 - 10, 0)), 'end', int(least(n div 2 + 10, n)), 'text', ' an edited passage ')"
-    edits = f"array({middle}, named_struct('start', 0, 'end', 0, 'text', 'Note: '), named_struct('start', int(greatest(length(text) + 8, 0)), 'end', int(2147483647), 'text', ''))"
-    rows = documents(spark, sf_dir).selectExpr("doc_id", "coalesce(text, '') as text").selectExpr("doc_id", "text", "length(text) as n").selectExpr("doc_id", "text", f"{edits} as edits")
-    return recounted(rows).selectExpr("doc_id", "n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded", "sha2(edited, 256) as edited_sha256")
+    """Every document's tree is stored; three edits then work on the stored trees: the middle 20 characters are replaced, a note is put
+    before, the last 16 characters are taken away."""
+    kept = written(trees(documents(spark, sf_dir).selectExpr("doc_id", "coalesce(text, '') as text")), "trees")
+    note, passage = "Note: ", " an edited passage "
+    rows = kept.selectExpr("*", "length(text) as n").selectExpr("*", "int(greatest(n div 2 - 10, 0)) as a", "int(least(n div 2 + 10, n)) as b")
+    rows = rows.selectExpr("*", f"int(greatest(n - (b - a) + {len(passage) + len(note) - 16}, 0)) as tail")
+    edits = f"array(named_struct('start', a, 'end', b, 'text', '{passage}'), named_struct('start', 0, 'end', 0, 'text', '{note}'), named_struct('start', tail, 'end', {2**31 - 1}, 'text', ''))"
+    counted = recounted(rows.selectExpr("doc_id", "text", "__sizes", "__counts", f"{edits} as edits"))
+    return counted.selectExpr("doc_id", "n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded", "sha2(edited, 256) as edited_sha256")
