@@ -224,10 +224,7 @@ def _save(path: str, kind: str, shard: int, keys: np.ndarray, values: np.ndarray
 @lru_cache(maxsize=4096)
 def _mapped(path: str, kind: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
     """A shard's sorted keys and their values, memory-mapped from the shared folder."""
-    name = f"{_local(path)}/{kind}-{shard:05d}"
-    if not os.path.exists(name):
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
-    raw = np.memmap(name, dtype=np.uint8, mode="r")
+    raw = np.memmap(f"{_local(path)}/{kind}-{shard:05d}", dtype=np.uint8, mode="r")  # a file that is not there is an error: the folder must be shared
     n, columns, size = raw[:24].view(np.int64).tolist()
     keys = raw[24 : 24 + 8 * n].view("<u8")
     values = raw[24 + 8 * n :].view(f"<u{size}")
@@ -247,13 +244,15 @@ class Model:
     single: tuple[int, int, int]
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
+    #: The shards that have any n-grams, by kind.
+    filled: dict[str, np.ndarray]
 
     def find(self, kind: str, keys: np.ndarray, columns: int = 1) -> np.ndarray:
         """Values of ascending `keys` (zero where there are none)."""
         out = np.zeros((len(keys), columns), dtype=np.int64)
         shard = shard_of(keys << _SHIFT if kind in ("context", "follows") else keys, self.shards)
         edges = np.searchsorted(shard, np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(edges)).tolist():
+        for s in np.flatnonzero((np.diff(edges) > 0) & self.filled[kind]).tolist():
             lo, hi = edges[s], edges[s + 1]
             known, values = _mapped(self.path, kind, s)
             if len(known):
@@ -303,13 +302,16 @@ def train(texts_: DataFrame) -> Model:
     counted = texts_.select("text").mapInArrow(_counting(shards, salts), _BLOCKS)
     merged = written(dealt(counted).mapInArrow(_merging_all(path, shards, salts), _BLOCKS), "merged")
     finished = dealt(merged.where("kind in ('word', 'context', 'follows')")).mapInArrow(_finishing(path), _BLOCKS)
-    total = np.zeros(9, dtype=np.int64)
+    filled = {kind: np.zeros(shards, dtype=bool) for kind in ("word", "context", "follows", "pair")}
+    total, pairs = np.zeros(9, dtype=np.int64), np.zeros(4, dtype=np.int64)
     for row in finished.toLocalIterator():
         total += unpack(row["block"])[1][0]
-    pairs = np.zeros(4, dtype=np.int64)
+        for kind in ("word", "context", "follows"):
+            filled[kind][row["shard"]] = True
     for row in merged.where("kind = 'pair_counts'").toLocalIterator():
         pairs += unpack(row["block"])[1][0]
-    return Model(path, shards, salts, int(total[0]), int(total[1]), int(total[2]), (int(total[3]), int(total[4]), int(total[7])), discounts(*pairs.tolist()), discounts(*total[3:7].tolist()))
+        filled["pair"][row["shard"]] = True
+    return Model(path, shards, salts, int(total[0]), int(total[1]), int(total[2]), (int(total[3]), int(total[4]), int(total[7])), discounts(*pairs.tolist()), discounts(*total[3:7].tolist()), filled)
 
 
 def _merging_all(path: str, shards: int, salts: int):
