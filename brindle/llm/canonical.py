@@ -41,7 +41,21 @@ def digests(docs: DataFrame) -> DataFrame:
 def _canonical_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [canonical(t.decode()) for t in texts(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["fingerprint", "canonical"])
+        prints = [p or xxhash.xxh3_128_hexdigest(c.encode()) for p, c in zip(batch.column(0).to_pylist(), made)]
+        yield pa.RecordBatch.from_arrays([pa.array(prints, pa.string()), pa.array(made, pa.string())], ["fingerprint", "canonical"])
+
+
+#: Into so many parts each repeated digest's rows are dealt where the repeated digests are too many to be sent to all tasks.
+SALTS = 32
+
+
+def with_groups(prints: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of `prints` with group_id and n of their fingerprint if it is among the repeated ones, else nulls."""
+    right = repeated.select("fingerprint", "group_id", "n")
+    if small_or_none(repeated):
+        return prints.join(F.broadcast(right), "fingerprint", "left")
+    salted = prints.withColumn("salt", F.expr(f"pmod(xxhash64(doc_id), {SALTS})"))
+    return salted.join(right.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))), ["fingerprint", "salt"], "left").drop("salt")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -54,15 +68,17 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     one group; an empty table gives no rows; a null doc_id is a group_id only if its group has no other.
     """
     prints = written(digests(docs), "digests")
-    buckets = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")), "buckets")
-    repeated = buckets.where("n > 1").select("fingerprint")
-    chosen = prints.join(F.broadcast(repeated) if small_or_none(repeated) else repeated, "fingerprint", "left_semi")
+    repeated = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    chosen = with_groups(prints, repeated).where("n is not null")
     spelled = "fingerprint string, canonical string"
-    candidates = docs.select("doc_id", "text").join(chosen.select("doc_id", "fingerprint").distinct(), "doc_id").select("fingerprint", "text")
+    # a doc_id that several fingerprints have, or none, does not tell which row is meant: that row's is made again
+    ids = chosen.groupBy(F.col("doc_id").alias("of")).agg(F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high"))
+    ids = ids.select("of", F.expr("if(of is null or low <> high, null, low)").alias("fingerprint"))
+    candidates = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("of"))).select("fingerprint", "text")
     compared = candidates.mapInArrow(_canonical_rows, spelled).groupBy("fingerprint").agg(F.min("canonical").alias("low"), F.max("canonical").alias("high"))
     mixed = compared.where("low <> high").select("fingerprint")
     if mixed.isEmpty():
-        return prints.join(buckets.select("fingerprint", "group_id"), "fingerprint").select("doc_id", "fingerprint", "group_id")
+        return with_groups(prints, repeated).select("doc_id", "fingerprint", F.expr("if(n is null, doc_id, group_id)").alias("group_id"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
