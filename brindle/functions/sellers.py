@@ -138,21 +138,37 @@ def _labels(text: Column, rules: list[tuple[str, str, str]], before: str = "") -
     return F.array_compact(F.array(*found))
 
 
+def bound(value: Column, body) -> Column:
+    """`body` over `value`, which is computed once: a name in a query plan would be replaced by what it stands for, wherever it stands."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _joined(patterns: list[str]) -> str:
+    return "(?:" + "|".join(patterns) + ")"
+
+
 def masked(text: Column) -> Column:
-    """Protected phrases blanked out: owners who turn intermediaries away."""
+    """Protected phrases blanked out, one after another: owners who turn intermediaries away. Most texts have none, which one search tells."""
+    done = text
     for pattern in PROTECTED:
-        text = F.regexp_replace(text, _FOLD + pattern, "   ")
-    return text
+        done = F.regexp_replace(done, _FOLD + pattern, "   ")
+    return F.when(text.rlike(_FOLD + _joined(PROTECTED)), done).otherwise(text)
+
+
+_ANY_STRONG = "(?u)" + _NOT_NEGATED + _joined([("(?-i:" if case else "(?i:") + pattern + ")" for pattern, _, case in STRONG])
+
+
+def _signals(flat: Column) -> Column:
+    strong = F.when(flat.rlike(_ANY_STRONG), _labels(flat, STRONG, _NOT_NEGATED)).otherwise(F.array().cast("array<string>"))
+    families = F.array_compact(F.array(*(F.when(flat.rlike(_FOLD + _joined(patterns)), F.lit(family)) for family, patterns in SUPPORTING.items())))
+    return bound(strong, lambda s: F.struct(s.alias("strong"), F.when(F.size(s) > 0, F.array().cast("array<string>")).otherwise(families).alias("families")))
 
 
 def text_signals(text: Column) -> Column:
     """struct(level, strong, families): confirmed by a strong phrase, likely by two supporting families."""
-    flat = masked(normalized(F.coalesce(text, F.lit(""))))
-    strong = _labels(flat, STRONG, _NOT_NEGATED)
-    families = F.array_compact(F.array(*(F.when(_any([flat.rlike(_FOLD + p) for p in patterns]), F.lit(family)) for family, patterns in SUPPORTING.items())))
-    families = F.when(F.size(strong) > 0, F.array().cast("array<string>")).otherwise(families)
-    level = F.when(F.size(strong) > 0, "confirmed").when(F.size(families) >= 2, "likely").otherwise("unknown")
-    return F.struct(level.alias("level"), strong.alias("strong"), families.alias("families"))
+    found = bound(bound(normalized(F.coalesce(text, F.lit(""))), masked), _signals)
+    level = lambda s: F.when(F.size(s["strong"]) > 0, "confirmed").when(F.size(s["families"]) >= 2, "likely").otherwise("unknown")
+    return bound(found, lambda s: F.struct(level(s).alias("level"), s["strong"].alias("strong"), s["families"].alias("families")))
 
 
 def identity_level(name: Column) -> Column:

@@ -30,12 +30,15 @@ def inserted_or_ignored(state: DataFrame, batch: DataFrame, key: list[str], orde
 
 
 def health_fold(events: DataFrame, source: str, order: list[str], healthy: Column, disabled: Column) -> DataFrame:
-    """Per source: the streak of failures after its last healthy attempt (disabled ones change nothing), and its attempts."""
-    kept = events.withColumn("__ok", healthy).where(~F.coalesce(disabled, F.lit(False)))
-    since = F.sum(F.col("__ok").cast("int")).over(Window.partitionBy(source).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0))
-    return kept.withColumn("__healthy_after", since).groupBy(source).agg(
-        F.count_if(F.expr("__healthy_after = 0")).alias("consecutive_failures"), F.count("*").alias("n_attempts"), F.max(F.when(F.col("__ok"), F.struct(*order))).alias("__last")
-    ).drop("__last")
+    """Per source: the streak of failures after its last healthy attempt (disabled ones change nothing), and its attempts.
+
+    The last healthy attempt is a maximum and the streak a count of what came after it: both combine before the shuffle, however
+    many attempts a source has. `last` is a row a source, and sent to all tasks only if it is small.
+    """
+    kept = events.withColumn("__ok", healthy).where(~F.coalesce(disabled, F.lit(False))).withColumn("__at", F.struct(*order))
+    last = kept.groupBy(source).agg(F.max(F.when(F.col("__ok"), F.col("__at"))).alias("__last"))
+    after = (~F.col("__ok")) & (F.col("__last").isNull() | (F.col("__at") > F.col("__last")))
+    return kept.join(last, source).groupBy(source).agg(F.count_if(after).alias("consecutive_failures"), F.count("*").alias("n_attempts"))
 
 
 def incidents(events: DataFrame, source: str, order: list[str], failed: Column, threshold: int = 3) -> DataFrame:
@@ -60,6 +63,43 @@ def hold_action(decision: Column, now: Column, deadline: Column) -> Column:
     return F.when(decision == "reject", "drop").when((decision == "defer") & (now < deadline), "keep").when(decision == "defer", "drop").otherwise("send")
 
 
+def _v1_to_v2(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"customer": "id", "label": "name"}).withColumns({"status": F.lit("pending"), "origin": F.lit("v1")})
+
+
+def _v2_to_v3(df: DataFrame) -> DataFrame:
+    return df.withColumn("attempts", F.lit(0).cast("bigint")).select("id", "name", "status", "origin", "attempts")
+
+
+#: From each version of the outbox' schema to the next; forward only.
+MIGRATIONS = (_v1_to_v2, _v2_to_v3)
+
+
+def migrated(df: DataFrame, version: int, steps: tuple) -> DataFrame:
+    """A table of the given version (from 1) as the last one has it; every row is kept, and nothing is done to a table of the last version."""
+    for step in steps[version - 1 :]:
+        df = step(df)
+    return df.select("id", "name", "status", "origin", "attempts")
+
+
+def terminally_rejected(holds: DataFrame, seen: DataFrame, batch: DataFrame, dry: bool) -> tuple[DataFrame, DataFrame]:
+    """(holds, seen) after a batch of terminal rejects by id; a dry run leaves both as they are."""
+    if dry:
+        return holds, seen
+    return holds.join(batch, "id", "left_anti"), seen.unionByName(batch.join(seen, "id", "left_anti"))
+
+
+def channel_pauses(events: DataFrame, channel: str, order: list[str], failed: Column) -> DataFrame:
+    """(channel, failures, at, delay_ms): failures of each channel since its last success, the last attempt, and the pause they ask for.
+
+    Aggregates only: the last success is a maximum, and what failed after it is counted, so no channel's rows come together in one task.
+    """
+    rows = events.withColumn("__at", F.struct(*order)).withColumn("__failed", failed)
+    last = rows.groupBy(channel).agg(F.max(F.when(~F.col("__failed"), F.col("__at"))).alias("__ok"), F.max(order[0]).alias("at"))
+    counts = rows.join(F.broadcast(last), channel).groupBy(channel).agg(F.count_if(F.col("__failed") & (F.col("__ok").isNull() | (F.col("__at") > F.col("__ok")))).alias("failures"), F.max("at").alias("at"))
+    return counts.withColumn("delay_ms", F.when(F.col("failures") > 0, backoff_ms(F.col("failures"), F.lit(None), base=600_000)))
+
+
 def backoff_ms(attempt: Column, retry_after_ms: Column, base: int = 120_000, cap: int = 21_600_000) -> Column:
     """base * 2 ** (attempt - 1), the exponent 8 at most, capped, but never less than what the server asks for."""
     exponent = F.least(F.lit(8), F.greatest(F.lit(0), attempt - 1))

@@ -14,7 +14,7 @@ _REJECT = "CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'no_id' WHEN 2 THEN 'n
 
 
 @query(f"SELECT event_id, {_REJECT} AS reject_reason FROM events")
-def src1_src2_src3_offers_with_reasons(spark, sf):
+def src3_bad_records(spark, sf):
     return src.parsed_offers(bound(spark, sf, _PROPS), "raw").select("event_id", "reject_reason")
 
 
@@ -26,15 +26,6 @@ def src5_reject_accounting(spark, sf):
     return rows.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), F.max(F.when(F.col("__rank") <= 40, F.col("event_id"))).alias("last_sample"))
 
 
-_ADS = """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '{"id":' || CAST(p_partkey AS STRING) || ',"title":"' || p_brand || '","createdTime":"t","price":{"regularPrice":{"value":' || CAST(p_size AS STRING) || '}}}'
- ELSE '{"id":"' || CAST(p_partkey AS STRING) || '","name":"' || p_brand || '","created_time":"t","price":{"value":' || CAST(p_size AS STRING) || '}}' END AS raw FROM {part}"""
-
-
-@query("SELECT p_partkey AS id, CAST(p_partkey AS STRING) AS ad, p_brand AS title, 't' AS created, CAST(p_size AS DOUBLE) AS price FROM part")
-def src4_fn24_adapted_keys(spark, sf):
-    return bound(spark, sf, _ADS).select("id", src.adapted(F.try_parse_json("raw")).alias("a")).select("id", F.col("a.id").alias("ad"), "a.title", "a.created", "a.price")
-
-
 def _state_pages(spark, sf):
     """Pages with a state assignment built in: braced, quoted, cut off, or none."""
     ads = F.concat(F.lit('{"listing":{"listing":{"pageNumber":0,"totalPages":3,"ads":[{"id":'), F.col("page_id").cast("string"), F.lit(',"title":"a } b \\" {"}]}}}'))
@@ -54,10 +45,10 @@ def src6_src7_src8_src9_embedded_state(spark, sf):
     return rows.select("page_id", "s.present", "s.complete", ad.alias("ad_id"), F.when(number >= 0, number + 1).alias("page_no"))
 
 
-@query("SELECT p_partkey AS part, CAST(p_partkey AS STRING) AS id, p_brand AS title, 2 AS depth FROM part WHERE p_partkey <= 100 UNION ALL SELECT p_partkey, 'x' || CAST(p_size AS STRING), 'inner', 4 FROM part WHERE p_partkey <= 100")
+@query("SELECT p_partkey AS part, CAST(p_partkey AS STRING) AS id, p_brand AS title, 2 AS depth FROM part UNION ALL SELECT p_partkey, 'x' || CAST(p_size AS STRING), 'inner', 4 FROM part")
 def src10_deep_walk(spark, sf):
     raw = F.to_json(F.struct(F.array(F.struct(F.col("p_partkey").alias("id"), F.col("p_brand").alias("title"), F.struct(F.struct(F.concat(F.lit("x"), "p_size").alias("id"), F.lit("inner").alias("title")).alias("deep")).alias("more"))).alias("items")))
-    rows = table(spark, sf, "part").where("p_partkey <= 100").select(F.col("p_partkey").alias("part"), raw.alias("raw"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("part"), raw.alias("raw"))
     return rows.lateralJoin(src.OfferLike(F.col("raw").outer(), F.lit(50))).select("part", "id", "title", "depth")
 
 
@@ -89,46 +80,17 @@ def src18_card_slices(spark, sf):
     return rows.select("page_id", "pos", F.coalesce(src.attribute(F.col("card"), "href"), F.lit("")).alias("href"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '/([a-z]{2})/', 1) = regexp_extract(html, '<html lang=\"([a-z]*)\"', 1) AS resolves, TRY_CAST(nullif(regexp_extract(url, '/(\d+)', 1), '') AS INT) AS declared FROM pages")
-def src20_src21_location_guard(spark, sf):
-    """A page must be about what its URL asks for; the declared count is read from text."""
-    asked, found = F.regexp_extract("url", "/([a-z]{2})/", 1), F.regexp_extract("html", '<html lang="([a-z]*)"', 1)
-    return table(spark, sf, "pages").select("page_id", (asked == found).alias("resolves"), F.regexp_extract("url", r"/(\d+)", 1).try_cast("int").alias("declared"))
-
-
 _BODIES = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN '<html>no</html>' WHEN 2 THEN '{\"count\":2,\"items\":[' || CAST(event_id AS STRING) || ',\"x\"]}' WHEN 3 THEN '{\"count\":0,\"items\":[]}' ELSE '{\"count\":1}' END AS body FROM {events}"
 
 
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'html' WHEN 4 THEN 'missing_items' ELSE 'ids' END AS shape, CASE event_id % 5 WHEN 2 THEN CAST(event_id AS STRING) || ',x' WHEN 3 THEN '' END AS ids FROM events")
-def src22_src23_src24_body_shape(spark, sf):
+def src24_body_shape(spark, sf):
     """A missing list is another thing than an empty one."""
     items = F.try_variant_get(F.try_parse_json("body"), "$.items", "array<string>")
     shape = F.when(F.trim("body") == "", "empty").when(F.col("body").startswith("<"), "html").when(F.try_parse_json("body").isNull(), "bad_json").when(items.isNull(), "missing_items").otherwise("ids")
     return bound(spark, sf, _BODIES).select("event_id", shape.alias("shape"), F.array_join(items, ",").alias("ids"))
 
 
-@query("SELECT page_id, CASE WHEN html LIKE '%<article>%' THEN 'read' ELSE 'unreadable' END AS state, len(regexp_extract_all(html, '<p>', 0)) AS n_ads FROM pages")
-def src12_src17_src26_src27_page_inspection(spark, sf):
-    """Detail and profile pages: whether they could be read, and their inventory."""
-    return table(spark, sf, "pages").select("page_id", F.when(F.col("html").contains("<article>"), "read").otherwise("unreadable").alias("state"), F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).cast("bigint").alias("n_ads"))
-
-
-@query("SELECT p_partkey AS id, p_size % 4 AS n_valid, p_size % 7 AS n_raw, (p_size % 7) - least(p_size % 4, p_size % 7) AS n_rejected FROM part WHERE p_size % 4 <= p_size % 7")
-def src14_src25_card_counts(spark, sf):
-    """Cards of an embedded array, counted as valid and rejected by their shape."""
-    card = "concat('{\"id\":', case when i < p_size % 4 then '1' else 'null' end, '}')"
-    raw = F.expr(f"concat('[', array_join(transform(filter(sequence(0, 6), i -> i < p_size % 7), i -> {card}), ','), ']')")
-    rows = table(spark, sf, "part").where("p_size % 4 <= p_size % 7").select(F.col("p_partkey").alias("id"), "p_size", F.from_json(raw, "array<struct<id:int>>").alias("cards"))
-    n = F.size("cards")
-    valid = F.size(F.filter("cards", lambda c: c["id"].isNotNull()))
-    return rows.select("id", valid.alias("n_valid"), n.alias("n_raw"), (n - valid).alias("n_rejected"))
-
-
-@query("SELECT o_orderkey AS pos, 'https://example.com/list?page=' || CAST(o_orderkey % 9 + 1 AS STRING) || '&currency=' || CASE o_orderkey % 2 WHEN 0 THEN 'USD' ELSE 'UAH' END AS url FROM orders")
-def src30_src31_search_urls(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), F.format_string("https://example.com/list?page=%d&currency=%s", F.expr("o_orderkey % 9 + 1"), F.expr("if(o_orderkey % 2 = 0, 'USD', 'UAH')")).alias("url"))
-
-
 @query("SELECT vec_id, label, list_sum(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT))) AS checksum FROM embeddings")
 def src29_json_file_scan(spark, sf):
     """A round trip through JSON lines: written to the shared folder, read with a declared schema."""
@@ -165,12 +127,6 @@ def snk10_json_round_trip(spark, sf):
     return rows.select(F.to_json(F.struct("*")).alias("j")).select(F.from_json("j", schema).alias("r")).select("r.*")
 
 
-@query("SELECT page_id, octet_length(encode(left(html, 200))) <= 400 AS fits, sha256(left(html, 200)) AS clip_sha256 FROM pages WHERE page_id % 10 = 0")
-def snk6_snk9_capture_clips(spark, sf):
-    rows = table(spark, sf, "pages").where("page_id % 10 = 0").withColumn("clip", F.left("html", F.lit(200)))
-    return rows.select("page_id", (F.octet_length("clip") <= 400).alias("fits"), F.sha2("clip", 256).alias("clip_sha256"))
-
-
 @query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS n_ids, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders")
 def snk8_backup_verified(spark, sf):
     """A versioned copy of a table, and the counts that a backup is verified by."""
@@ -179,3 +135,28 @@ def snk8_backup_verified(spark, sf):
     return spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("n_ids"), F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"))
 
 
+_CLIP = 200
+
+
+@query(
+    f"WITH p AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN html ELSE 'ї' || html || '😀' || repeat('є', CAST(page_id % 200 AS INT)) END AS body FROM pages) SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS n_bytes, "
+    f"sha256(left(body, coalesce(list_last(list_filter(range(0, {_CLIP} + 1), lambda k: octet_length(encode(left(body, k))) <= {_CLIP})), 0))) AS clip_sha256, octet_length(encode(body)) > {_CLIP} AS clipped FROM p"
+)
+def snk6_snk9_capture_files(spark, sf):
+    """Captures of all pages as JSON lines, each cut to so many bytes and not within a character, read back."""
+    body = F.expr("if(page_id % 2 = 0, html, concat('ї', html, '😀', repeat('є', int(page_id % 200))))")
+    rows = table(spark, sf, "pages").select("page_id", body.alias("body"))
+    path = scratch(spark, "captures")
+    rows.select("page_id", F.octet_length("body").alias("n_bytes"), src.clipped(F.col("body"), _CLIP).alias("clip")).write.json(path)
+    found = spark.read.schema("page_id bigint, n_bytes bigint, clip string").json(path)
+    return found.select("page_id", "n_bytes", F.sha2("clip", 256).alias("clip_sha256"), (F.col("n_bytes") > _CLIP).alias("clipped"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_errors, max(event_id) AS last_id FROM events GROUP BY 1")
+def snk6_json_log(spark, sf):
+    """Log lines as JSON, a folder a day, and the heartbeat that is read from them."""
+    path = scratch(spark, "log")
+    rows = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "event_id", F.when(F.col("event_type") == "error", "error").otherwise("info").alias("level"), F.col("ts").alias("at"))
+    rows.write.partitionBy("day").json(path)
+    read = spark.read.schema("event_id bigint, level string, at timestamp_ntz, day date").json(path)
+    return read.groupBy("day").agg(F.count("*").alias("n"), F.count_if(F.col("level") == "error").alias("n_errors"), F.max("event_id").alias("last_id"))

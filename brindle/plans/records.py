@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import geo, sellers, texts, urls
+from brindle.operators import decisions
 from brindle.operators import freshness as fresh
 from brindle.operators.state import backoff_ms
 from brindle.plans.base import L, NOW, bound, listings, plain, query, table
@@ -312,28 +313,45 @@ def flt8_cls19_terminal_or_recheck(spark, sf):
     return assessed(listings(spark, sf)).select("pos", F.when(why == "business_ambiguous", "recheck").when(why.isNotNull(), "terminal").otherwise("accepted").alias("path"))
 
 
-#: Texts with their levels: own examples, by number.
-CASES = [
-    ("Я рієлтор, допоможу вам", "confirmed"), ("Я не рієлтор, здаю своє", "unknown"), ("Без комісії та без рієлторів", "unknown"), ("Агентство нерухомості Дім", "confirmed"),
-    ("Комісія 50%, є інші варіанти", "likely"), ("Ексклюзив, покази щодня", "unknown"), ("Супровід угоди, працюємо з колегами", "likely"), ("Рієлторам не телефонувати", "unknown"),
-    ("Здам квартиру від власника", "unknown"), ("Послуги рієлтора оплачує орендар", "confirmed"), ("Не агентство нерухомості", "unknown"), ("Real estate agents welcome", "confirmed"),
-    ("АН Львів пропонує", "confirmed"), ("не співпрацюю з АН", "unknown"), ("", "unknown"),
+#: Parts of texts: own examples, each with what it is by itself: a strong sign of an intermediary (S), one of a supporting family, or none (-).
+OPENINGS = [
+    ("Я рієлтор, допоможу вам", "S"), ("Я не рієлтор, здаю своє", "-"), ("Без комісії та без рієлторів", "-"), ("Агентство нерухомості Дім", "S"),
+    ("Є інші варіанти поруч", "inventory"), ("Маю інші варіанти", "inventory"), ("Ексклюзив, вид на парк", "transaction"), ("Супровід угоди", "service"),
+    ("Рієлторам не телефонувати", "-"), ("Здам квартиру від власника", "-"), ("Послуги рієлтора оплачує орендар", "S"), ("Не агентство нерухомості", "-"),
+    ("Real estate agents welcome", "S"), ("АН Львів пропонує", "S"), ("не співпрацюю з АН", "-"), ("Працюємо з колегами", "collaboration"), ("", "-"),
+    ("Квартира біля парку", "-"), ("Агентам не турбувати", "-"), ("Я риелтор", "S"), ("Ключі на руках", "transaction"), ("Консультація з нерухомості", "service"), ("Дзвоніть після шостої", "-"),
 ]
-_CASE_TEXT = "CASE o_orderkey % 15 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(CASES)) + " END"
-_TEXTS = f"SELECT o_orderkey AS pos, {_CASE_TEXT} AS text FROM {{orders}}"
+CLOSINGS = [
+    ("Комісія 50%", "transaction"), ("Покази щодня", "transaction"), ("Допоможу підібрати", "inventory"), ("Сопровождение сделки", "service"), ("Можна з тваринами", "-"),
+    ("Від агентства нерухомості", "S"), ("Без рієлторської комісії", "-"), ("Мій колега покаже", "collaboration"), ("Ми рієлтори", "S"), ("Менеджер агентства Ольга", "S"), ("Ціна остаточна", "-"),
+]
+_pick = lambda number, parts, i: f"CASE {number} " + " ".join(f"WHEN {k} THEN '{p[i]}'" for k, p in enumerate(parts)) + " END"
+_A, _B = f"o_orderkey % {len(OPENINGS)}", f"(o_orderkey // {len(OPENINGS)}) % {len(CLOSINGS)}"
+_B_SPARK = _B.replace("//", "div")
+_CASES = lambda i, b: f"{_pick(_A, OPENINGS, i)} AS one, {_pick(b, CLOSINGS, i)} AS two"
 
 
-@query("SELECT o_orderkey AS pos, CASE o_orderkey % 15 " + " ".join(f"WHEN {i} THEN '{v}'" for i, (_, v) in enumerate(CASES)) + " END AS level FROM orders")
+@query(f"WITH s AS (SELECT o_orderkey AS pos, {_CASES(1, _B)} FROM orders) SELECT pos, CASE WHEN 'S' IN (one, two) THEN 'confirmed' WHEN one <> two AND one <> '-' AND two <> '-' THEN 'likely' ELSE 'unknown' END AS level, CASE WHEN 'S' NOT IN (one, two) THEN len(list_distinct(list_filter([one, two], lambda x: x <> '-'))) ELSE 0 END AS n_families FROM s")
 def cls3_text_level(spark, sf):
-    return bound(spark, sf, _TEXTS).select("pos", sellers.text_signals(F.col("text"))["level"].alias("level"))
+    """Texts of two parts each, 253 different ones; the oracle knows the parts, not the patterns."""
+    rows = bound(spark, sf, f"SELECT pos, one || '. ' || two || '.' AS text FROM (SELECT o_orderkey AS pos, {_CASES(0, _B_SPARK)} FROM {{orders}})")
+    found = rows.select("pos", sellers.text_signals(F.col("text")).alias("s"))
+    return found.select("pos", "s.level", F.size("s.families").cast("bigint").alias("n_families"))
 
 
-NAMES = [("Best Realty", "confirmed"), ("Марія", "unknown"), ("АН Дім", "confirmed"), ("Рієлтор Олег", "confirmed"), ("estates", "unknown"), ("Real Estate Lviv", "confirmed"), ("ран", "unknown")]
+NAME_PARTS = [("Best", "-"), ("Марія", "-"), ("Дім", "-"), ("Олег", "-"), ("ран", "-"), ("Lviv", "-"), ("Галицький", "-"), ("estates", "-"), ("банан", "-"), ("", "-"), ("Karpaty 24", "-")]
+NAME_ENDS = [
+    ("Realty", "S"), ("Рієлтор", "S"), ("АН", "S"), ("Real Estate", "S"), ("Agency", "S"), ("Агентство нерухомості", "S"), ("агенція", "S"), ("Broker", "S"),
+    ("Петренко", "-"), ("канал", "-"), ("2024", "-"), ("Home", "-"), ("агентський", "-"),
+]
+_N1, _N2 = f"c_custkey % {len(NAME_PARTS)}", f"c_custkey % {len(NAME_ENDS)}"
 
 
-@query("SELECT s_suppkey AS id, CASE s_suppkey % 7 " + " ".join(f"WHEN {i} THEN '{v}'" for i, (_, v) in enumerate(NAMES)) + " END AS level FROM supplier")
+@query(f"SELECT c_custkey AS id, CASE {_pick(_N2, NAME_ENDS, 1)} WHEN 'S' THEN 'confirmed' ELSE 'unknown' END AS level FROM customer")
 def cls4_identity_name(spark, sf):
-    rows = bound(spark, sf, "SELECT s_suppkey AS id, CASE s_suppkey % 7 " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(NAMES)) + " END AS name FROM {supplier}")
+    """Names of two parts, either first."""
+    one, two = _pick(_N1, NAME_PARTS, 0), _pick(_N2, NAME_ENDS, 0)
+    rows = bound(spark, sf, f"SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN {one} || ' ' || {two} ELSE {two} || ' ' || {one} END AS name FROM {{customer}}")
     return rows.select("id", sellers.identity_level(F.col("name")).alias("level"))
 
 
@@ -353,21 +371,24 @@ def cls7_normalized_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(texts.normalized(F.col("text"))).alias("text_md5"))
 
 
-HOMES = [("Квартира подобово", "short_term"), ("Продаж квартири", "sale"), ("Не для продажу, квартира", ""), ("Здам кімнату", "room_unit"), ("Гараж у центрі", "excluded_primary"), ("Квартира з паркінгом", ""), ("Будинок біля лісу", "")]
-KINDS = ["unknown", "unknown", "apartment", "unknown", "unknown", "apartment", "house"]
+#: Parts of titles: what they ask to be rejected for (the first of short_term, sale, room_unit; excluded only where no home is named), and the home they name.
+TITLE_PARTS = [
+    ("Здам", "-", "-"), ("Подобово", "short_term", "-"), ("Продаж", "sale", "-"), ("Не для продажу", "-", "-"), ("Кімната", "room_unit", "-"), ("Гараж", "excluded_primary", "-"),
+    ("Посуточно", "short_term", "-"), ("For sale", "sale", "-"), ("Офіс у центрі", "excluded_primary", "-"), ("Паркінг", "excluded_primary", "-"), ("Сучасна", "-", "-"), ("Short-term", "short_term", "-"),
+]
+HOME_PARTS = [("квартира", "-", "apartment"), ("будинок", "-", "house"), ("біля лісу", "-", "-"), ("апартаменти", "-", "apartment"), ("house", "-", "house"), ("склад", "excluded_primary", "-"), ("квартира з гаражем", "-", "apartment"), ("flat", "-", "apartment")]
+_T1, _T2 = f"p_partkey % {len(TITLE_PARTS)}", "(p_partkey // 12) % 8"
+_TITLES = f"SELECT p_partkey AS id, {_pick(_T1, TITLE_PARTS, 1)} AS r1, {_pick(_T2, HOME_PARTS, 1)} AS r2, {_pick(_T2, HOME_PARTS, 2)} AS home, p_size % 4 AS section FROM part"
+_TITLE_REASON = "CASE WHEN r1 IN ('short_term', 'sale', 'room_unit') THEN r1 WHEN home = '-' AND 'excluded_primary' IN (r1, r2) THEN 'excluded_primary' END"
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN nullif('{w}', '')" for i, (_, w) in enumerate(HOMES)) + " END AS reason, CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END AS kind FROM part")
+@query(f"WITH t AS ({_TITLES}), r AS (SELECT *, {_TITLE_REASON} AS reason FROM t) SELECT id, reason, CASE WHEN reason IS NOT NULL THEN 'unknown' WHEN section = 2 THEN 'apartment' WHEN home = '-' THEN 'unknown' ELSE home END AS kind FROM r")
 def cls8_cls9_property_type(spark, sf):
-    rows = bound(spark, sf, "SELECT p_partkey AS id, CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(HOMES)) + " END AS title FROM {part}")
-    nothing = F.lit(None).cast("int")
-    return rows.select("id", sellers.rental_reject(F.col("title"))["reason"].alias("reason"), sellers.property_type(nothing, nothing, F.lit(None).cast("string"), F.col("title"), F.lit("")).alias("kind"))
-
-
-@query("SELECT p_partkey AS id, CASE p_size % 6 WHEN 1 THEN 'owner' WHEN 2 THEN 'agent' WHEN 3 THEN 'business' WHEN 4 THEN 'representative' WHEN 5 THEN 'developer' ELSE 'unknown' END AS role FROM part")
-def cls10_role_lookup(spark, sf):
-    roles = F.create_map(*(F.lit(x) for i, r in enumerate(["owner", "agent", "business", "representative", "developer"], 1) for x in (i, r)))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.coalesce(roles[F.col("p_size") % 6], F.lit("unknown")).alias("role"))
+    """Titles of two parts, some with a section id, which counts more than the words."""
+    one, two = _pick(_T1, TITLE_PARTS, 0), _pick(_T2.replace("//", "div"), HOME_PARTS, 0)
+    rows = bound(spark, sf, f"SELECT p_partkey AS id, {one} || ' ' || {two} AS title, CAST(CASE WHEN p_size % 4 = 2 THEN 2 END AS INT) AS section FROM {{part}}")
+    kind = sellers.property_type(F.lit(None).cast("int"), F.col("section"), F.lit(None).cast("string"), F.col("title"), F.lit(""))
+    return rows.select("id", sellers.rental_reject(F.col("title"))["reason"].alias("reason"), kind.alias("kind"))
 
 
 _PLACES = "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 <> 0 THEN ' Lviv. ' END AS city, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS district, CASE WHEN c_custkey % 4 > 1 THEN 'Street, ' || CAST(c_custkey AS STRING) END AS street, c_custkey % 4 = 3 AS building FROM {customer}"
@@ -383,31 +404,28 @@ def cls15_location_key(spark, sf):
     return bound(spark, sf, _PLACES).withColumn("k", sellers.location_key(F.col("city"), F.col("district"), F.col("street"), F.col("building"))).select("id", "k.kind", "k.key")
 
 
-_EVIDENCE = "SELECT event_id, 'k=' || event_type || ';v=' || CAST(user_id AS STRING) || ';at=' || CAST(CAST(ts AS DATE) AS STRING) AS evidence, CAST('2024-01-20 00:00:00' AS TIMESTAMP) AS now, ts FROM {events}"
-_STATE = "CASE WHEN k = 'error' THEN CASE WHEN age <= 1 THEN 'fresh_unknown' ELSE 'stale' END WHEN age <= 5 THEN 'fresh_likely' ELSE 'stale' END"
+_EVIDENCE = """SELECT event_id, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'no time' WHEN 2 THEN 'olx_likely=1;olx_checked_at=soon' ELSE CASE event_id % 3 WHEN 0 THEN 'olx_likely=1;' WHEN 1 THEN 'olx_unreadable=1;' ELSE 'olx_other=1;' END || 'olx_checked_at=' || CAST(CAST(ts AS DATE) AS STRING) || 'T' ||
+  CASE event_id % 4 WHEN 0 THEN '23:00:00' WHEN 1 THEN '23:30:00' WHEN 2 THEN '12:00:00' ELSE '11:59:59' END || 'Z' END AS evidence FROM {events}"""
 
 
-@query(f"WITH e AS (SELECT event_id, event_type AS k, date_diff('day', CAST(ts AS DATE), DATE '2024-01-20') AS age FROM events) SELECT event_id, k, {_STATE} AS state FROM e")
+@query(
+    "WITH e AS (SELECT event_id, event_id % 7 < 3 AS none, event_id % 3 AS kind, 24 * 60 * date_diff('day', CAST(ts AS DATE), DATE '2024-01-16') - CASE event_id % 4 WHEN 0 THEN 1380 WHEN 1 THEN 1410 WHEN 2 THEN 720 ELSE 719.98 END AS age FROM events), "
+    "l AS (SELECT * FROM (VALUES (0, 720, 'fresh_likely'), (1, 60, 'fresh_unknown'), (2, 45, 'fresh_unknown')) t(kind, most, fresh)) SELECT event_id, CASE WHEN none THEN 'absent' WHEN age BETWEEN 0 AND most - 0.001 THEN fresh ELSE 'stale' END AS state FROM e JOIN l USING (kind)"
+)
 def cls16_cache_state(spark, sf):
-    rows = bound(spark, sf, _EVIDENCE).withColumn("m", F.str_to_map("evidence", F.lit(";"), F.lit("="))).withColumn("k", F.col("m")["k"])
-    return rows.withColumn("age", F.datediff(F.lit("2024-01-20").cast("date"), F.col("m")["at"].cast("date"))).select("event_id", "k", F.expr(_STATE).alias("state"))
-
-
-@query("SELECT doc_id, CASE WHEN n = 1 THEN y END AS year, coalesce(n = 1 AND y = '2026', false) AS excluded FROM (SELECT doc_id, len(list_distinct(ys)) AS n, ys[1] AS y FROM (SELECT doc_id, regexp_extract_all(text, '(20[0-9][0-9])', 1) AS ys FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'since 2026' WHEN 1 THEN '2025 or 2026' WHEN 2 THEN 'на OLX з 2019, 2019' ELSE '' END AS text FROM documents)))")
-def cls21_registration_year(spark, sf):
-    rows = table(spark, sf, "documents").selectExpr("doc_id", "case doc_id % 4 when 0 then 'since 2026' when 1 then '2025 or 2026' when 2 then 'на OLX з 2019, 2019' else '' end as text")
-    years = F.array_distinct(F.expr("regexp_extract_all(text, '(20[0-9][0-9])', 1)"))
-    year = F.when(F.size(years) == 1, years[0])
-    return rows.withColumn("year", year).select("doc_id", "year", F.coalesce(F.col("year") == "2026", F.lit(False)).alias("excluded"))
+    return bound(spark, sf, _EVIDENCE).select("event_id", decisions.cache_state(F.col("evidence"), F.expr("cast('2024-01-16 00:00:00' as timestamp)")).alias("state"))
 
 
-_PAGE = "CASE WHEN status IN (403, 429) THEN 'blocked' WHEN html LIKE '%captcha%' THEN 'challenge' WHEN html LIKE '%<article>%' THEN 'listings' WHEN status >= 400 THEN 'http_error' ELSE 'empty' END"
-_FETCHED = "SELECT page_id, html, CASE page_id % 9 WHEN 0 THEN 403 WHEN 1 THEN 429 WHEN 2 THEN 500 ELSE 200 END AS status FROM {pages}"
+_FETCHED = """SELECT page_id, CASE page_id % 9 WHEN 0 THEN 403 WHEN 1 THEN 429 WHEN 2 THEN 500 WHEN 3 THEN NULL ELSE 200 END AS status, CASE page_id % 5 WHEN 0 THEN html WHEN 1 THEN '<p>CAPTCHA</p>' WHEN 2 THEN '<p>Access denied</p>' WHEN 3 THEN '<p>captcha</p><article>x' ELSE '<p>hm</p>' END AS html,
+  CASE page_id % 5 WHEN 0 THEN html LIKE '%<article>%' WHEN 3 THEN true ELSE false END AS listed FROM {pages}"""
 
 
-@query(f"WITH f AS ({plain(_FETCHED)}) SELECT page_id, {_PAGE} AS outcome FROM f")
+@query(
+    f"WITH f AS ({plain(_FETCHED)}), r AS (SELECT page_id, 1 AS rank, 'transport_blocked' AS outcome FROM f WHERE status IN (403, 429) UNION ALL SELECT page_id, 2, 'transport_blocked' FROM f WHERE page_id % 5 = 2 UNION ALL SELECT page_id, 3, 'challenge_detected' FROM f WHERE page_id % 5 = 1 "
+    "UNION ALL SELECT page_id, 4, 'browser_accessible' FROM f WHERE listed AND coalesce(status, 200) < 400 UNION ALL SELECT page_id, 5, 'parser_failure' FROM f) SELECT page_id, arg_min(outcome, rank) AS outcome FROM r GROUP BY page_id"
+)
 def flt14_cls22_page_outcome(spark, sf):
-    return bound(spark, sf, _FETCHED).select("page_id", F.expr(_PAGE).alias("outcome"))
+    return bound(spark, sf, _FETCHED).select("page_id", decisions.page_outcome(F.col("status"), F.col("html")).alias("outcome"))
 
 
 @query(L + f", p AS (SELECT pos, source, published_at AS pub, refreshed_at AS ref FROM l), k AS (SELECT *, {NOW} AS now FROM p), f AS (SELECT pos, CASE WHEN pub IS NULL THEN 'first_noticed' WHEN pub < now - INTERVAL 365 DAYS AND ref >= now - INTERVAL 365 DAYS THEN 'refreshed_old' WHEN pub < now - INTERVAL 365 DAYS THEN 'old_publication' WHEN pub < TIMESTAMP '1998-03-01' AND pub >= now - INTERVAL 120 DAYS THEN 'new_publication' WHEN pub < TIMESTAMP '1998-03-01' THEN 'late_discovered' ELSE 'new_publication' END AS kind FROM k) SELECT pos, kind, kind = 'new_publication' AS deliverable FROM f")
@@ -426,42 +444,41 @@ def str25_backoff(spark, sf):
     return bound(spark, sf, _TRIES).select("event_id", backoff_ms(F.col("attempt"), F.col("retry_after")).alias("delay_ms"), backoff_ms(F.col("attempt"), F.lit(None), base=600_000).alias("pause_ms"))
 
 
-_CALLS = "SELECT event_id, CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 429 WHEN 2 THEN 502 WHEN 3 THEN 400 WHEN 4 THEN 401 WHEN 5 THEN 403 WHEN 6 THEN 404 ELSE 200 END AS status, CASE WHEN event_id % 3 = 0 THEN 'Bad Request: CAN''T parse entities' WHEN event_id % 3 = 1 THEN 'chat not found' ELSE 'x' END AS body, CASE event_id % 4 WHEN 0 THEN '7' WHEN 1 THEN 'soon' WHEN 2 THEN '900' END AS header, CAST(event_id % 4 AS INT) AS attempt FROM {events}"
-_FAIL = "CASE WHEN status IS NULL THEN 'transient' WHEN status = 429 OR status >= 500 THEN 'transient' WHEN status = 400 AND contains(lower(body), 'can''t parse') THEN 'transient' WHEN status IN (401, 403) THEN 'operator_action' WHEN status = 400 AND contains(lower(body), 'chat not found') THEN 'operator_action' WHEN status >= 400 AND status < 500 THEN 'permanent' ELSE 'transient' END"
-_REASON = "CASE WHEN status IS NULL THEN 'network' WHEN status = 429 OR status >= 500 THEN concat('HTTP ', CAST(status AS STRING)) WHEN status = 400 AND contains(lower(body), 'can''t parse') THEN 'parse_entities' WHEN status = 401 THEN 'unauthorized' WHEN status = 403 THEN 'forbidden' WHEN status = 400 AND contains(lower(body), 'chat not found') THEN 'chat_not_found' WHEN status >= 400 AND status < 500 THEN concat('HTTP ', CAST(status AS STRING)) ELSE 'unknown' END"
+_CALLS = """SELECT event_id, CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN 429 WHEN 2 THEN 502 WHEN 3 THEN 400 WHEN 4 THEN 401 WHEN 5 THEN 403 WHEN 6 THEN 404 WHEN 7 THEN 408 ELSE 200 END AS status, CASE event_id % 4 WHEN 0 THEN 'Bad Request: CAN''T parse entities' WHEN 1 THEN 'Chat not found' WHEN 2 THEN '{"parameters":{"migrate_to_chat_id":-1}}' ELSE 'x' END AS body,
+  CASE event_id % 6 WHEN 0 THEN ' 7 ' WHEN 1 THEN 'soon' WHEN 2 THEN '900' WHEN 3 THEN 'Tue, 16 Jan 2024 09:00:05 GMT' WHEN 4 THEN 'Mon, 15 Jan 2024 09:00:00 GMT' END AS header, CAST(event_id % 4 AS INT) AS attempt FROM {events}"""
 
 
-@query(f"WITH c AS ({plain(_CALLS)}) SELECT event_id, {_FAIL} AS error_class, {_REASON} AS reason FROM c")
+@query(
+    f"WITH c AS (SELECT *, event_id % 4 AS b FROM ({plain(_CALLS)})), k AS (SELECT * FROM (VALUES (401, 'operator_action', 'unauthorized'), (403, 'operator_action', 'forbidden'), (404, 'permanent', 'HTTP 404'), (408, 'permanent', 'HTTP 408'), (429, 'transient', 'HTTP 429'), (502, 'transient', 'HTTP 502'), (200, 'transient', 'unknown')) t(status, error_class, reason)), "
+    "q AS (SELECT * FROM (VALUES (0, 'transient', 'parse_entities'), (1, 'operator_action', 'chat_not_found'), (2, 'transient', 'chat_migrated'), (3, 'permanent', 'HTTP 400')) t(b, error_class, reason)) "
+    "SELECT c.event_id, coalesce(k.error_class, q.error_class, 'transient') AS error_class, coalesce(k.reason, q.reason, 'network') AS reason FROM c LEFT JOIN k ON k.status = c.status LEFT JOIN q ON c.status = 400 AND q.b = c.b"
+)
 def str27_delivery_failure(spark, sf):
-    return bound(spark, sf, _CALLS).select("event_id", F.expr(_FAIL).alias("error_class"), F.expr(_REASON).alias("reason"))
-
-
-_RETRY = "CASE WHEN attempt >= 2 THEN 'retry_budget_exhausted' WHEN NOT (status IS NULL OR status IN (429, 408) OR status >= 500) THEN 'not_transient' WHEN wait_ms > 10000 THEN 'retry_after_exceeds_cap' WHEN status = 429 THEN 'rate_limited' WHEN status IS NULL THEN 'network' ELSE 'server_error' END"
+    return bound(spark, sf, _CALLS).select("event_id", decisions.delivery_failure(F.col("status"), F.col("body")).alias("f")).select("event_id", "f.error_class", "f.reason")
 
 
-@query(f"WITH c AS ({plain(_CALLS)}), w AS (SELECT *, TRY_CAST(header AS BIGINT) * 1000 AS wait_ms FROM c), r AS (SELECT *, {_RETRY} AS reason FROM w) SELECT event_id, reason, CASE WHEN reason IN ('rate_limited', 'network', 'server_error') THEN least(10000, coalesce(wait_ms, 2000)) ELSE 0 END AS delay_ms FROM r")
+@query(
+    f"WITH c AS ({plain(_CALLS)}), w AS (SELECT *, (event_id % 6) AS h, [7000, NULL, 900000, 5000, 0, NULL][event_id % 6 + 1] AS wait FROM c), r AS (SELECT event_id, wait, list_filter([CASE WHEN attempt > 1 THEN 'retry_budget_exhausted' END, CASE WHEN coalesce(status, 500) IN (200, 400, 401, 403, 404) THEN 'not_transient' END, "
+    "CASE WHEN h = 2 THEN 'retry_after_exceeds_cap' END, CASE coalesce(status, 0) WHEN 429 THEN 'rate_limited' WHEN 0 THEN 'network' ELSE 'server_error' END], lambda x: x IS NOT NULL)[1] AS reason FROM w) "
+    "SELECT event_id, reason, CASE WHEN reason IN ('rate_limited', 'network', 'server_error') THEN coalesce(wait, 2000) ELSE 0 END AS delay_ms FROM r"
+)
 def str26_retry_decision(spark, sf):
-    rows = bound(spark, sf, _CALLS).withColumn("wait_ms", F.col("header").try_cast("bigint") * 1000).withColumn("reason", F.expr(_RETRY))
-    return rows.select("event_id", "reason", F.when(F.col("reason").isin("rate_limited", "network", "server_error"), F.least(F.lit(10_000), F.coalesce("wait_ms", F.lit(2_000)))).otherwise(0).alias("delay_ms"))
+    wait = decisions.retry_after_ms(F.col("header"), F.expr("cast('2024-01-16 09:00:00' as timestamp)"))
+    return bound(spark, sf, _CALLS).select("event_id", decisions.retry_decision(F.col("status"), F.col("attempt"), wait).alias("r")).select("event_id", "r.reason", F.col("r.delay_ms").cast("bigint").alias("delay_ms"))
 
 
-_HEALTH = "CASE WHEN kind = 'parser_failure' THEN 'parser_failure' WHEN kind = 'parser_failed' AND browser THEN 'browser_failure' WHEN kind = 'parser_failed' THEN 'transport_failure' WHEN kind IN ('browser_failure', 'disabled', 'coverage_degraded') THEN kind WHEN kind = 'rate_limited' OR status = 429 THEN 'rate_limited' WHEN kind IN ('valid_empty', 'ok', 'http_error') THEN kind WHEN kind IN ('transport_failure', 'transport_blocked') THEN 'transport_failure' WHEN browser THEN 'browser_failure' WHEN status >= 400 THEN 'http_error' ELSE 'transport_failure' END"
-_ATTEMPTS = "SELECT event_id, CASE CAST(event_id % 13 AS INT) WHEN 0 THEN 'parser_failure' WHEN 1 THEN 'parser_failed' WHEN 2 THEN 'browser_failure' WHEN 3 THEN 'disabled' WHEN 4 THEN 'coverage_degraded' WHEN 5 THEN 'rate_limited' WHEN 6 THEN 'valid_empty' WHEN 7 THEN 'ok' WHEN 8 THEN 'http_error' WHEN 9 THEN 'transport_blocked' ELSE '' END AS kind, CASE WHEN event_id % 5 = 0 THEN 429 WHEN event_id % 5 = 1 THEN 500 ELSE 200 END AS status, event_id % 4 = 0 AS browser FROM {events}"
+_ATTEMPTS = """SELECT event_id, CASE CAST(event_id % 13 AS INT) WHEN 0 THEN 'parser_failure' WHEN 1 THEN 'parser_failed' WHEN 2 THEN 'browser_failure' WHEN 3 THEN 'disabled' WHEN 4 THEN 'coverage_degraded' WHEN 5 THEN 'rate_limited' WHEN 6 THEN 'valid_empty' WHEN 7 THEN 'ok' WHEN 8 THEN 'http_error' WHEN 9 THEN 'transport_blocked' ELSE '' END AS kind,
+  CASE WHEN event_id % 5 = 0 THEN 429 WHEN event_id % 5 = 1 THEN 500 ELSE 200 END AS status, CASE WHEN event_id % 3 = 0 THEN 'olx' ELSE 'lun' END AS source, event_id % 4 = 0 AS browser FROM {events}"""
 
 
-@query(f"WITH a AS ({plain(_ATTEMPTS)}) SELECT event_id, {_HEALTH} AS health, {_HEALTH} IN ('ok', 'valid_empty') AS healthy FROM a")
+@query(
+    f"WITH a AS ({plain(_ATTEMPTS)}), k AS (SELECT * FROM (VALUES ('parser_failure', 1, 'parser_failure'), ('browser_failure', 1, 'browser_failure'), ('disabled', 1, 'disabled'), ('coverage_degraded', 1, 'coverage_degraded'), ('rate_limited', 1, 'rate_limited'), ('valid_empty', 3, 'valid_empty'), ('ok', 3, 'ok'), ('http_error', 3, 'http_error'), ('transport_blocked', 3, 'transport_failure')) t(kind, rank, health)), "
+    "r AS (SELECT event_id, rank, health FROM a JOIN k USING (kind) UNION ALL SELECT event_id, 1, CASE WHEN source = 'olx' AND browser THEN 'browser_failure' ELSE 'transport_failure' END FROM a WHERE kind = 'parser_failed' UNION ALL SELECT event_id, 2, 'rate_limited' FROM a WHERE status = 429 "
+    "UNION ALL SELECT event_id, 4, CASE WHEN browser THEN 'browser_failure' WHEN status = 200 THEN 'transport_failure' ELSE 'http_error' END FROM a), f AS (SELECT event_id, arg_min(health, rank) AS health FROM r GROUP BY event_id) SELECT event_id, health, health = 'ok' OR health = 'valid_empty' AS healthy FROM f"
+)
 def str24_health_status(spark, sf):
-    return bound(spark, sf, _ATTEMPTS).withColumn("health", F.expr(_HEALTH)).select("event_id", "health", F.col("health").isin("ok", "valid_empty").alias("healthy"))
-
-
-_KIND = "CASE WHEN n_ok > 0 AND truncated THEN 'coverage_degraded' WHEN n_ok > 0 THEN 'ok' WHEN n_raw = 0 AND present THEN 'valid_empty' WHEN n_raw > 0 THEN 'parser_failure' WHEN NOT present THEN 'parser_failed' ELSE 'unknown' END"
-_RESULTS = "SELECT l_orderkey AS id, count(*) AS n_raw, count(CASE WHEN l_quantity > 10 THEN 1 END) AS n_ok, max(l_linenumber) >= 6 AS truncated, l_orderkey % 2 = 0 AS present FROM {lineitem} GROUP BY l_orderkey"
-
-
-@query(f"WITH r AS ({plain(_RESULTS)}) SELECT id, {_KIND} AS kind, n_ok / n_raw AS ratio FROM r")
-def str23_agg15_result_kind(spark, sf):
-    """Empty, missing and all-rejected arrays are different results; the ratio of valid rows is 0 without any."""
-    return bound(spark, sf, _RESULTS).select("id", F.expr(_KIND).alias("kind"), F.coalesce(F.try_divide("n_ok", "n_raw"), F.lit(0.0)).alias("ratio"))
+    health = decisions.health_status(F.col("kind"), F.col("status"), F.col("source"), F.col("browser"))
+    return bound(spark, sf, _ATTEMPTS).select("event_id", health.alias("health")).withColumn("healthy", F.col("health").isin(*decisions.HEALTHY))
 
 
 @query(L + "," + _MONEY + f"SELECT pos, {_HEAD} || chr(10) || {_LABEL} || chr(10) || {_FACTS} || chr(10) || url AS message FROM f")

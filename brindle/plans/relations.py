@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import sellers, urls
-from brindle.operators import matching, ordered
+from brindle.operators import decisions, matching, ordered
 from brindle.plans.base import L, bound, listings, plain, query, scratch, table
 from brindle.plans.records import BUCKET, C, KEYS, U, assessed, identity_keys
 
@@ -296,14 +296,17 @@ def jn6_peer_by_token(spark, sf):
     return rows.where("source = 'lun'").withColumn("external", token).join(peers, "external", "left").select("pos", "peer")
 
 
-_TTL = "CASE event_type WHEN 'purchase' THEN 720 WHEN 'error' THEN 1 ELSE 24 END"
+_CHECKS = "SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'confirmed_owner' WHEN 'view' THEN 'confirmed_intermediary' WHEN 'click' THEN 'unknown' WHEN 'error' THEN 'temporary_failure' ELSE 'unknown' END AS verdict FROM {events}"
 
 
-@query(f"WITH c AS (SELECT user_id, arg_max(event_type, row(ts, event_id)) AS verdict, max(ts) AS checked FROM events GROUP BY user_id), x AS (SELECT user_id, verdict FROM c WHERE checked + INTERVAL 1 HOUR * {_TTL.replace('event_type', 'verdict')} > TIMESTAMP '2024-01-30 12:00:00') SELECT c_custkey, verdict, verdict IS NOT NULL AS cached FROM customer LEFT JOIN x ON user_id = c_custkey")
+@query(
+    f"WITH c AS (SELECT user_id, arg_max(verdict, row(ts, event_id)) AS verdict, max(ts) AS checked FROM ({plain(_CHECKS)}) GROUP BY user_id), t AS (SELECT * FROM (VALUES ('confirmed_owner', INTERVAL 30 DAYS), ('confirmed_intermediary', INTERVAL 30 DAYS), ('unknown', INTERVAL 1 DAY), ('temporary_failure', INTERVAL 1 MINUTE)) v(verdict, life)), "
+    "x AS (SELECT user_id, verdict FROM c JOIN t USING (verdict) WHERE checked + life > TIMESTAMP '2024-01-30 12:00:00') SELECT c_custkey, verdict, verdict IS NOT NULL AS cached FROM customer LEFT JOIN x ON user_id = c_custkey"
+)
 def jn7_ups7_verdict_cache(spark, sf):
     """The last verdict of each key, if its time to live has not run out."""
-    cache = table(spark, sf, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("verdict"), F.max("ts").alias("at"))
-    cache = cache.withColumn("expires_at", F.expr(f"at + make_dt_interval(0, {_TTL.replace('event_type', 'verdict')}, 0, 0)"))
+    cache = bound(spark, sf, _CHECKS).groupBy(F.col("user_id").alias("c_custkey")).agg(F.max_by("verdict", F.struct("ts", "event_id")).alias("verdict"), F.max("ts").alias("at"))
+    cache = cache.withColumn("expires_at", decisions.expires_at(F.col("verdict"), F.col("at")))
     live = matching.live_cache(table(spark, sf, "customer").select("c_custkey"), cache, ["c_custkey"], F.expr("cast('2024-01-30 12:00:00' as timestamp_ntz)"))
     return live.select("c_custkey", "verdict", F.col("verdict").isNotNull().alias("cached"))
 
@@ -337,26 +340,29 @@ def jn14_flt9_membership(spark, sf):
     return table(spark, sf, "orders").join(held, "o_custkey", "left").select("o_orderkey", F.coalesce("open", F.lit(False)).alias("open"))
 
 
-@query("SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_linenumber = 1 AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber IN (2, 3))")
-def jn15_late_inserts(spark, sf):
-    rows = table(spark, sf, "lineitem").selectExpr("l_partkey as id", "l_linenumber as page")
-    return rows.where("page = 1").select("id").distinct().join(rows.where("page in (2, 3)").select("id"), "id", "left_anti")
-
-
-@query("WITH a AS (SELECT l_orderkey AS page, l_partkey AS card, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem WHERE l_returnflag <> 'R'), b AS (SELECT l_orderkey AS page, l_suppkey AS extra, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem WHERE l_returnflag = 'R') SELECT a.page, a.card, b.extra, a.i FROM a LEFT JOIN b USING (page, i)")
-def jn10_src16_positional_join(spark, sf):
-    """The n-th card of a page with the n-th extra of the page."""
-    rows = table(spark, sf, "lineitem")
-    order = ["l_linenumber", "l_partkey", "l_suppkey"]
-    cards = ordered.ranked(rows.where("l_returnflag <> 'R'"), ["l_orderkey"], order, "i").selectExpr("l_orderkey as page", "l_partkey as card", "i")
-    extras = ordered.ranked(rows.where("l_returnflag = 'R'"), ["l_orderkey"], order, "i").selectExpr("l_orderkey as page", "l_suppkey as extra", "i")
-    return cards.join(extras, ["page", "i"], "left")
+_WALKED = "SELECT l_orderkey AS walk, l_linenumber AS page, l_suppkey AS id, l_returnflag = 'N' AND l_linenumber = 1 AS late, l_orderkey % 4 + 1 AS resume FROM {lineitem}"
 
 
-@query("SELECT a.page_id, b.n AS n_same_host FROM (SELECT page_id, regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\\.', '') AS host FROM pages) a LEFT JOIN (SELECT regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\\.', '') AS host, count(*) AS n FROM pages WHERE page_id % 2 = 0 GROUP BY 1) b USING (host)")
-def jn11_src19_join_by_url(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
-    return pages.join(pages.where("page_id % 2 = 0").groupBy("host").agg(F.count("*").alias("n_same_host")), "host", "left").select("page_id", "n_same_host")
+@query(
+    f"WITH w AS ({plain(_WALKED)}), s AS (SELECT DISTINCT walk, id FROM w WHERE NOT late), m AS (SELECT DISTINCT walk, id, 'inserted' AS why FROM w WHERE late AND NOT EXISTS (SELECT 1 FROM s WHERE s.walk = w.walk AND s.id = w.id) "
+    "UNION ALL SELECT DISTINCT walk, id, 'skipped' FROM w WHERE NOT late AND page < resume AND id NOT IN (SELECT x.id FROM w x WHERE x.walk = w.walk AND NOT x.late AND x.page >= x.resume)) SELECT walk, id, why FROM m"
+)
+def jn15_late_inserts(spark, sf):
+    """What a walk over pages misses: ids that came to its first page after that was read, and ids on the pages before the one where it went on."""
+    rows = bound(spark, sf, _WALKED)
+    seen = rows.where("not late").select("walk", "id").distinct()
+    inserted = rows.where("late").select("walk", "id").distinct().join(seen, ["walk", "id"], "left_anti").withColumn("why", F.lit("inserted"))
+    after = rows.where("not late and page >= resume").select("walk", "id").distinct()
+    skipped = rows.where("not late and page < resume").select("walk", "id").distinct().join(after, ["walk", "id"], "left_anti").withColumn("why", F.lit("skipped"))
+    return inserted.unionByName(skipped)
+
+
+@query(_KEYS + "SELECT x.pos, y.pos AS peer, bool_or(x.source = y.source AND x.source_id = y.source_id) AS same FROM k x JOIN k y USING (key) GROUP BY x.pos, y.pos")
+def flt12_same_listing(spark, sf):
+    """Which of the listings that share a key are the listing itself."""
+    keys = identity_keys(listings(spark, sf))
+    peers = keys.select("key", F.col("pos").alias("peer"), F.col("source").alias("peer_source"), F.col("source_id").alias("peer_id"))
+    return keys.join(peers, "key").groupBy("pos", "peer").agg(F.bool_or(F.expr("source = peer_source and source_id = peer_id")).alias("same"))
 
 
 @query(_KEYS + "SELECT pos, key, key_class FROM k")

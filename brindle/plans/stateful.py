@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.functions import urls
-from brindle.operators import ordered, state
+from brindle.operators import decisions, ordered, state
 from brindle.operators.freshness import crossed_boundary
-from brindle.plans.base import L, NOW, bound, listings, plain, query, scratch, table
+from brindle.plans.base import L, NOW, ORACLE_SQL, bound, listings, plain, query, scratch, table
 from brindle.plans.records import U
 from brindle.streaming import stateful
 
@@ -99,18 +99,55 @@ def ups16_retention(spark, sf):
     return rows.groupBy("event_type").agg(F.count("*").alias("n")).join(kept, "event_type", "left").select("event_type", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("n") - F.coalesce("kept", F.lit(0))).alias("removed"))
 
 
-@query("SELECT c_custkey AS id, c_name AS name, CAST(c_acctbal AS STRING) IS NOT NULL AS migrated, 'open' AS status, 2 AS version FROM customer")
+#: Rows of a table as three versions of its schema had them, with what each had; `v` tells which.
+_OLD = "SELECT c_custkey AS k, c_name AS name, c_acctbal AS balance, CASE c_mktsegment WHEN 'BUILDING' THEN 'sent' WHEN 'MACHINERY' THEN 'failed' ELSE 'pending' END AS state, c_custkey % 3 AS v FROM {customer}"
+
+
+@query(
+    f"WITH o AS ({plain(_OLD)}) SELECT k AS id, name, CASE WHEN v = 0 THEN 'pending' ELSE state END AS status, CASE WHEN v = 2 THEN CAST(floor(balance) AS BIGINT) ELSE 0 END AS attempts, CASE WHEN v = 0 THEN 'v1' ELSE 'v2' END AS origin, 3 AS version FROM o "
+    "UNION ALL SELECT -1, 'ledger', 'pending', count(DISTINCT v), 'v2', 3 FROM o"
+)
 def ups17_migration(spark, sf):
-    """A table of an older schema read as the current one: columns renamed and added, all rows kept."""
-    steps = [lambda d: d.withColumnsRenamed({"c_custkey": "id", "c_name": "name"}), lambda d: d.withColumn("status", F.lit("open")).withColumn("migrated", F.col("c_acctbal").isNotNull())]
-    done = reduce(lambda d, step: step(d), steps, table(spark, sf, "customer"))
-    return done.select("id", "name", "migrated", "status", F.lit(len(steps)).alias("version"))
+    """Tables of three schema versions brought to the last, step by step: columns renamed, added and widened, every row kept; steps already taken are not taken again."""
+    rows = bound(spark, sf, _OLD)
+    first = rows.where("v = 0").selectExpr("k as customer", "name as label")
+    second = rows.where("v = 1").selectExpr("k as id", "name", "state as status", "'v2' as origin")
+    third = rows.where("v = 2").selectExpr("k as id", "name", "state as status", "'v2' as origin", "cast(floor(balance) as bigint) as attempts")
+    moved = [state.migrated(d, version, state.MIGRATIONS) for version, d in enumerate((first, second, third), 1)]
+    done = reduce(lambda a, b: a.unionByName(b), moved)
+    ledger = spark.createDataFrame([(-1, "ledger", "pending", "v2", len(state.MIGRATIONS) + 1)], "id bigint, name string, status string, origin string, attempts bigint")
+    return done.unionByName(ledger).withColumn("version", F.lit(len(state.MIGRATIONS) + 1))
+
+
+_REJECTS = "SELECT o_orderkey AS id, o_custkey % 5 AS channel, o_orderdate AS at, o_orderkey % 3 = 0 AS rejected, o_orderkey % 4 <> 1 AS held, o_orderkey % 10 = 0 AS dry FROM {orders}"
+
+
+@query(
+    f"WITH r AS ({plain(_REJECTS)}) SELECT id, held AND NOT (rejected AND NOT dry) AS held, rejected AND NOT dry AS seen FROM r"
+)
+def ups18_ups19_terminal_rejects(spark, sf):
+    """A terminal reject leaves the holds and is marked as seen; a dry run changes neither table. The tables are the operators' own: no restart is survived."""
+    rows = bound(spark, sf, _REJECTS)
+    holds, seen = rows.where("held").select("id"), rows.where("false").select("id")
+    for dry in (True, False):
+        batch = rows.where(F.col("rejected") & (F.col("dry") == dry)).select("id")
+        holds, seen = state.terminally_rejected(holds, seen, batch, dry)
+    either = rows.select("id").join(holds.withColumn("held", F.lit(True)), "id", "left").join(seen.withColumn("seen", F.lit(True)), "id", "left")
+    return either.na.fill(False)
+
+
+_FAILURES = "SELECT user_id % 7 AS channel, ts, event_id, event_type = 'error' AS failed FROM {events} WHERE event_type IN ('error', 'purchase')"
 
 
-@query("SELECT o_orderkey AS id, o_orderkey % 5 = 0 AS paused, CASE WHEN o_orderkey % 5 = 0 THEN 'kept' WHEN o_orderkey % 3 = 0 THEN 'seen' ELSE 'open' END AS state FROM orders")
-def ups13_ups18_ups19_terminal_rejects(spark, sf):
-    """A terminal reject leaves its hold and is marked as seen, unless the channel is paused or the run is a dry one."""
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr("o_orderkey % 5 = 0").alias("paused")).withColumn("state", F.expr("case when paused then 'kept' when id % 3 = 0 then 'seen' else 'open' end"))
+@query(
+    f"WITH f AS ({plain(_FAILURES)}), n AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY ts DESC, event_id DESC) AS back FROM f), l AS (SELECT channel, coalesce(min(back) FILTER (WHERE NOT failed), count(*) + 1) - 1 AS failures, max(ts) AS last FROM n GROUP BY channel) "
+    "SELECT channel, failures, CASE WHEN failures > 0 THEN last + to_seconds(least(6 * 3600, 600 * pow(2, least(8, failures - 1)))) END AS until, failures > 0 AND last + to_seconds(least(6 * 3600, 600 * pow(2, least(8, failures - 1)))) > TIMESTAMP '2024-01-31 12:00:00' AS active FROM l"
+)
+def ups13_channel_pause(spark, sf):
+    """Each failure of a channel sets a longer pause, a success clears it; a pause holds until its time."""
+    paused = state.channel_pauses(bound(spark, sf, _FAILURES), "channel", ["ts", "event_id"], F.col("failed"))
+    until = F.when(F.col("failures") > 0, F.col("at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("delay_ms") / 1000))
+    return paused.select("channel", "failures", until.alias("until")).withColumn("active", F.coalesce(F.col("until") > stamp("2024-01-31 12:00:00"), F.lit(False)))
 
 
 # --- walks over pages ------------------------------------------------------------------------------------------------
@@ -140,15 +177,21 @@ def str7_str16_walk_plan(spark, sf):
     return bound(spark, sf, _PLAN).select("id", mode.alias("mode"), F.array_join(pages.cast("array<string>"), ",").alias("pages"))
 
 
-_WALKS = "SELECT o_orderkey AS id, o_orderkey % 7 = 0 AS seed, o_orderkey % 5 = 0 AS failed, o_orderkey % 3 = 0 AS crossed, o_orderkey % 11 = 0 AS ended, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS newest, CAST(o_orderkey % 4 AS INT) + 1 AS last_page FROM {orders}"
-_DONE = "CASE WHEN seed THEN NOT failed AND newest IS NOT NULL ELSE NOT failed AND (crossed OR ended) END"
+_WALKS = """SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'seed' WHEN 1 THEN 'catchup' ELSE 'steady' END AS mode, o_orderkey % 5 = 0 AS failed, o_orderkey % 3 = 0 AS crossed, o_orderkey % 11 = 0 AS ended, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS newest, CAST(o_orderkey % 4 AS INT) AS n_fetched,
+  CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN '{"target":"never","resumePage":2}' WHEN 2 THEN '{"target":"2024-01-01T00:00:00.000Z","resumePage":0}' WHEN 3 THEN '{broken' WHEN 4 THEN '{"target":"2024-01-01T00:00:00.000Z","resumePage":1.5}' ELSE '{"target":"2024-01-02T03:04:05.000Z","resumePage":4}' END AS stored FROM {orders}"""
 
 
-@query(f"WITH w AS ({plain(_WALKS)}) SELECT id, {_DONE} AS reached, CASE WHEN {_DONE} THEN newest END AS committed, CASE WHEN NOT seed AND NOT ({_DONE}) THEN CASE WHEN failed THEN last_page ELSE last_page + 1 END END AS resume_page FROM w")
+@query(
+    f"WITH w AS (SELECT *, id % 8 >= 5 AS kept FROM ({plain(_WALKS)})), r AS (SELECT *, failed IS FALSE AND CASE WHEN mode = 'seed' THEN newest IS NOT NULL ELSE crossed OR ended END AS reached FROM w) "
+    "SELECT id, reached, CASE WHEN reached THEN newest END AS committed, CASE WHEN kept AND mode <> 'seed' AND NOT reached THEN '{\"target\":\"2024-01-02T03:04:05.000Z\",\"resumePage\":' || CAST(CASE WHEN NOT failed THEN greatest([0, 1, 4, 5][n_fetched + 1], 1) + 1 WHEN n_fetched >= 3 THEN 1 ELSE [1, 4, 5][n_fetched + 1] END AS STRING) || '}' END AS stored FROM r"
+)
 def str8_str18_walk_outcome(spark, sf):
-    """The watermark is committed only when the gap is closed; else the walk goes on from where it stopped."""
-    rows = bound(spark, sf, _WALKS).withColumn("reached", F.expr(_DONE))
-    return rows.select("id", "reached", F.when(F.col("reached"), F.col("newest")).alias("committed"), F.when(F.expr("not seed and not reached"), F.expr("if(failed, last_page, last_page + 1)")).alias("resume_page"))
+    """Walks over pages 1, 4 and 5, as far as they came: what they commit, and the cursor that is stored, read back from what was stored before."""
+    planned = F.array(F.lit(1), F.lit(4), F.lit(5))
+    rows = bound(spark, sf, _WALKS).withColumn("cursor", decisions.cursor(F.col("stored"))).withColumn("fetched", F.slice(planned, F.lit(1), F.col("n_fetched")))
+    made = decisions.walk_outcome(F.col("mode"), planned, F.col("fetched"), F.col("crossed"), F.col("failed"), F.col("ended"), F.col("newest"), F.col("cursor.target"))
+    rows = rows.withColumn("w", made)
+    return rows.select("id", "w.reached", "w.committed", F.when(F.col("w.resume_page").isNotNull(), decisions.cursor_text(F.col("cursor.target"), F.col("w.resume_page"))).alias("stored"))
 
 
 _WALK = "SELECT l_linenumber AS page, l_partkey AS id, l_returnflag AS category FROM {lineitem}"
@@ -178,13 +221,15 @@ def str14_organic_boundary(spark, sf):
     return found.select("user_id", "n_organic", "n_undated", F.expr("n_organic >= 3 and n_undated = 0 and old").alias("crossed"))
 
 
-_SEEN = "CASE WHEN n_listings > 0 THEN 'has_listings' WHEN has_state AND n_raw = 0 THEN 'confirmed_empty' WHEN NOT has_state OR n_rejected > 0 THEN 'parse_failed' ELSE 'unknown' END"
-_EVID = "SELECT p_partkey AS id, greatest(p_size % 3 - 1, 0) AS n_listings, p_size % 2 AS n_raw, p_size % 5 AS n_rejected, p_size % 4 <> 0 AS has_state FROM {part}"
+_EVID = "SELECT p_partkey AS id, greatest(p_size % 3 - 1, 0) AS n_listings, p_size % 2 AS n_raw, p_partkey % 5 AS n_rejected, p_size % 4 <> 0 AS has_state, p_size % 5 <> 0 AS has_path, p_partkey % 6 = 0 AS accessible FROM {part}"
 
 
-@query(f"WITH e AS ({plain(_EVID)}) SELECT id, {_SEEN} AS evidence FROM e")
+@query(
+    f"WITH e AS ({plain(_EVID)}) SELECT id, ['has_listings', 'confirmed_empty', 'parse_failed', 'unknown'][list_position([n_listings <> 0, has_state AND has_path AND n_raw = 0, NOT has_state OR accessible OR n_rejected <> 0, true], true)] AS evidence FROM e"
+)
 def str15_page_evidence(spark, sf):
-    return bound(spark, sf, _EVID).select("id", F.expr(_SEEN).alias("evidence"))
+    names = ("n_listings", "has_state", "has_path", "n_raw", "accessible", "n_rejected")
+    return bound(spark, sf, _EVID).select("id", decisions.page_evidence(*map(F.col, names)).alias("evidence"))
 
 
 _SCANS = "SELECT o_custkey AS cycle, o_orderstatus = 'F' AS complete, o_orderpriority <> '1-URGENT' AS healthy, o_orderkey % 4 AS scan, o_orderdate AS at FROM {orders}"
@@ -213,58 +258,37 @@ def str19_first_run_baseline(spark, sf):
     return rows.join(first, "source").groupBy("source", (F.col("day") == F.col("first")).alias("baseline")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, greatest(0, 600000 - CAST(floor(value * 1000) AS BIGINT)) AS wait_ms, CASE WHEN event_type = 'error' THEN 1 WHEN event_type = 'signup' THEN 2 ELSE 0 END AS exit_code FROM events")
-def str21_str22_cadence_and_exit(spark, sf):
-    """Polls do not overlap: the rest of the interval is waited, nothing if the poll took longer."""
-    return table(spark, sf, "events").select("event_id", F.greatest(F.lit(0), F.lit(600_000) - F.floor(F.col("value") * 1000)).alias("wait_ms"), F.expr("case event_type when 'error' then 1 when 'signup' then 2 else 0 end").alias("exit_code"))
-
-
-@query(L + f"SELECT pos, CASE WHEN published_at IS NULL THEN {NOW} ELSE published_at END AS first_seen, published_at IS NOT NULL AS approved, CASE WHEN published_at IS NOT NULL THEN 3 END AS gate_version FROM l")
-def str2_str3_gate_marker(spark, sf):
-    """First seen is stamped once; an approval carries the version of the gate that gave it."""
-    known = F.col("published_at").isNotNull()
-    return listings(spark, sf).select("pos", F.coalesce("published_at", F.expr(f"cast({NOW} as timestamp_ntz)")).alias("first_seen"), known.alias("approved"), F.when(known, 3).alias("gate_version"))
+_CYCLES = "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 9 = 1 THEN CAST(-5 AS BIGINT) ELSE event_id * 997 % 900000 END AS elapsed_ms, event_id % 2 = 0 AS unbounded, event_id % 3 = 0 AS stopped, event_id % 5 = 0 AS failed FROM {events}"
 
 
-# --- what is left of filters, functions and verification -------------------------------------------------------------
+@query(f"WITH c AS ({plain(_CYCLES)}) SELECT event_id, CAST(CASE WHEN elapsed_ms >= 600000 THEN 0 WHEN elapsed_ms >= 0 THEN 600000 - elapsed_ms ELSE 600000 END AS BIGINT) AS wait_ms, CASE WHEN event_id % 5 > 0 OR event_id % 6 = 0 THEN 0 ELSE 1 END AS exit_code FROM c")
+def str21_str22_cadence_and_exit(spark, sf):
+    rows = bound(spark, sf, _CYCLES)
+    return rows.select("event_id", decisions.wait_ms(F.col("elapsed_ms"), 600_000).cast("bigint").alias("wait_ms"), decisions.exit_code(F.col("unbounded"), F.col("stopped"), F.col("failed")).alias("exit_code"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'category_mismatch' END AS reject, p_size % 7 = 0 AND p_size % 3 <> 0 AS leaked FROM part")
-def flt10_flt11_contract_leaks(spark, sf):
-    """Rows of another category are rejected; business rows in a private catalog are dropped and counted."""
-    rows = table(spark, sf, "part").withColumn("reject", F.when(F.expr("p_size % 3 = 0"), "category_mismatch"))
-    return rows.select(F.col("p_partkey").alias("id"), "reject", (F.col("reject").isNull() & F.expr("p_size % 7 = 0")).alias("leaked"))
+_GATED = L + f", g AS (SELECT pos, published_at, pos % 5 AS prior, {NOW} AS now, CASE pos % 6 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 1000000 ELSE 2000000 END AS age_limit FROM l) "
 
 
-@query("SELECT a.s_suppkey AS id, a.s_nationkey = b.s_nationkey AND a.s_suppkey = b.s_suppkey AS same FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey - a.s_suppkey % 2")
-def flt12_same_listing(spark, sf):
-    a = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("source"), F.expr("s_suppkey - s_suppkey % 2").alias("peer"))
-    b = a.select(F.col("id").alias("peer"), F.col("source").alias("peer_source"))
-    return a.join(b, "peer").select("id", F.expr("source = peer_source and id = peer").alias("same"))
+@query(_GATED + "SELECT pos, CASE WHEN prior = 0 THEN TIMESTAMP '1998-01-01' ELSE now END AS first_seen, coalesce(age_limit, 10080) AS max_age_minutes, published_at IS NOT NULL AND date_diff('second', published_at, now) <= 60 * coalesce(nullif(age_limit, 0), 10080) OR prior IN (0, 1) AS approved, CASE WHEN prior IN (0, 1) THEN 3 WHEN published_at IS NOT NULL AND date_diff('second', published_at, now) <= 60 * coalesce(nullif(age_limit, 0), 10080) THEN 3 WHEN prior = 2 THEN 2 END AS gate_version FROM g".replace("coalesce(age_limit, 10080) AS", "coalesce(nullif(age_limit, 0), 10080) AS"))
+def str2_str3_gate_marker(spark, sf):
+    """First seen is stamped once; an approval carries the version of the gate that gave it, and one of an older gate is none."""
+    prior = F.expr("pos % 5")
+    rows = listings(spark, sf).withColumn("stamped", F.when(prior == 0, stamp("1998-01-01"))).withColumn("version", F.when(prior.isin(0, 1), decisions.GATE_VERSION).when(prior == 2, decisions.GATE_VERSION - 1))
+    limit = F.coalesce(F.nullif(F.expr("case pos % 6 when 0 then null when 1 then 0 when 2 then 1000000 else 2000000 end"), F.lit(0)), F.lit(decisions.MAX_AGE_MINUTES))
+    fresh = F.coalesce(F.timestamp_diff("SECOND", F.col("published_at"), F.expr(f"cast({NOW} as timestamp_ntz)")) <= limit * 60, F.lit(False))
+    version = F.when(fresh | (F.col("version") == decisions.GATE_VERSION), decisions.GATE_VERSION).otherwise(F.col("version"))
+    return rows.select("pos", F.coalesce("stamped", F.expr(f"cast({NOW} as timestamp_ntz)")).alias("first_seen"), limit.alias("max_age_minutes"), F.coalesce(version == decisions.GATE_VERSION, F.lit(False)).alias("approved"), version.alias("gate_version"))
 
 
-_MOVED = "SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN url || '/' WHEN 1 THEN 'https://elsewhere.example.com/en/1' ELSE url || '9' END AS final FROM {pages}"
+# --- what is left of filters, functions and verification -------------------------------------------------------------
 
 
-@query(f"WITH m AS ({plain(_MOVED)}) SELECT page_id, page_id % 3 = 0 AND regexp_matches(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/+$', ''), '\\d+(\\.html)?$') AS trusted FROM m WHERE url NOT LIKE '%?%' AND url NOT LIKE '%#%'")
+@query("SELECT page_id, page_id % 4 IN (0, 2) AND regexp_matches(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/+$', ''), '\\d(\\.html)?$') AS trusted FROM pages")
 def flt13_trusted_redirect(spark, sf):
-    rows = bound(spark, sf, _MOVED).where("url not like '%?%' and url not like '%#%'")
-    return rows.select("page_id", urls.same_target(F.col("url"), F.col("final")).alias("trusted"))
-
-
-@query("SELECT page_id, nullif(regexp_extract(url, '://(?:www\\.)?([a-z0-9]+)\\.[a-z]+\\.example', 1), '') AS shop, CASE WHEN regexp_extract(url, '://(?:www\\.)?([a-z0-9]+)\\.[a-z]+\\.example', 1) IN ('m', 'blog') THEN NULL ELSE nullif(regexp_extract(url, '://(?:www\\.)?([a-z0-9]+)\\.[a-z]+\\.example', 1), '') END AS owner FROM pages")
-def fn21_shop_subdomain(spark, sf):
-    """Shop names in subdomains; reserved ones are none."""
-    shop = F.nullif(F.regexp_extract("url", r"://(?:www\.)?([a-z0-9]+)\.[a-z]+\.example", 1), F.lit(""))
-    return table(spark, sf, "pages").select("page_id", shop.alias("shop"), F.when(~shop.isin("m", "blog"), shop).alias("owner"))
-
-
-@query("SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 2 = 0 THEN n_name END, r_name, 'unknown') AS place, CASE WHEN c_custkey % 3 = 0 THEN 'a,b' ELSE 'a' END AS photos FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
-def fn22_fn23_places_and_photos(spark, sf):
-    """The most exact place name there is; photo links of two shapes, blanks left out."""
-    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    photos = F.filter(F.array(F.lit("a"), F.when(F.expr("c_custkey % 3 = 0"), "b").otherwise(" ")), lambda x: F.trim(x) != "")
-    return rows.select(F.col("c_custkey").alias("id"), F.coalesce(F.when(F.expr("c_custkey % 2 = 0"), F.col("n_name")), "r_name", F.lit("unknown")).alias("place"), F.array_join(photos, ",").alias("photos"))
+    """Redirects of all pages: the host and the number in the path must be those asked for; www., query and fragment do not matter."""
+    moved = "case page_id % 4 when 0 then concat(url, '#top') when 1 then 'https://elsewhere.example.com/en/1' when 2 then replace(replace(url, '://www.', '://'), '://', '://www.') else concat(substring_index(url, '/', 3), '/x/999999999') end"
+    return table(spark, sf, "pages").withColumn("final", F.expr(moved)).select("page_id", urls.same_target(F.col("url"), F.col("final")).alias("trusted"))
 
 
 @query("SELECT event_type, 'n=' || CAST(count(*) AS STRING) || ' users=' || CAST(count(DISTINCT user_id) AS STRING) || ' last=' || strftime(max(ts), '%Y-%m-%d') AS note FROM events GROUP BY event_type")
@@ -273,64 +297,128 @@ def fn26_snk5_coverage_note(spark, sf):
     return found.select("event_type", F.concat(F.lit("n="), F.col("n"), F.lit(" users="), F.col("u"), F.lit(" last="), F.date_format("at", "yyyy-MM-dd")).alias("note"))
 
 
-_VERIFY = "CASE WHEN NOT target THEN 'not_required' WHEN peer = 'rejected' THEN 'drop' WHEN peer = 'owner' THEN 'resolved' WHEN cached IS NOT NULL THEN concat('cached_', cached) WHEN rnk > 5 THEN 'deferred' ELSE 'fetch' END"
-_CASES = "SELECT o_orderkey AS id, o_custkey % 7 AS source, o_orderkey % 4 <> 0 AS target, CASE o_orderkey % 9 WHEN 0 THEN 'rejected' WHEN 1 THEN 'owner' END AS peer, CASE o_orderkey % 5 WHEN 0 THEN 'owner' WHEN 1 THEN 'unknown' END AS cached FROM {orders}"
+_CASES = """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS cycle, o_orderkey % 4 <> 0 AS target, CASE o_orderkey % 9 WHEN 0 THEN 'rejected' WHEN 1 THEN 'owner' END AS peer, CASE o_orderkey % 5 WHEN 0 THEN 'confirmed_owner' WHEN 1 THEN 'unknown' WHEN 2 THEN 'confirmed_intermediary' END AS cached, o_orderkey % 17 = 3 AS limited FROM {orders}"""
 
 
-@query(f"WITH c AS ({plain(_CASES)}), r AS (SELECT *, row_number() OVER (PARTITION BY source, target AND peer IS NULL AND cached IS NULL ORDER BY id) AS rnk FROM c) SELECT id, {_VERIFY} AS outcome FROM r")
+@query(
+    f"WITH c AS ({plain(_CASES)}), n AS (SELECT *, target AND peer IS NULL AND cached IS NULL AS needs FROM c), r AS (SELECT *, count(*) FILTER (WHERE needs) OVER (PARTITION BY cycle ORDER BY id) AS rank, count(*) FILTER (WHERE needs AND limited) OVER (PARTITION BY cycle ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS halted FROM n) "
+    "SELECT id, CASE WHEN NOT target THEN 'not_required' WHEN peer IS NOT NULL THEN CASE peer WHEN 'owner' THEN 'resolved' ELSE 'drop' END WHEN cached IS NOT NULL THEN 'cached_' || CASE cached WHEN 'confirmed_intermediary' THEN 'drop' ELSE cached END WHEN halted THEN 'skipped_rate_limited' WHEN rank <= 5 THEN 'fetch' ELSE 'deferred' END AS outcome FROM r"
+)
 def cls17_cls18_cls24_verification_order(spark, sf):
-    """Peer, then cache, then the request cap in order of rows, then a fetch."""
+    """A cycle's linked listings in order: peer, cache, the halt after a 429, the cap on requests, a fetch."""
     needs = F.expr("target and peer is null and cached is null")
-    rank = F.row_number().over(Window.partitionBy("source", needs).orderBy("id"))
-    return bound(spark, sf, _CASES).withColumn("rnk", rank).select("id", F.expr(_VERIFY).alias("outcome"))
+    upto = Window.partitionBy("cycle").orderBy("id")
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    rows = bound(spark, sf, _CASES).withColumn("rank", F.count_if(needs).over(upto)).withColumn("halted", F.coalesce(F.count_if(needs & F.col("limited")).over(before) > 0, F.lit(False)))
+    return rows.select("id", decisions.linked_outcome(F.col("target"), F.col("peer"), F.col("cached"), F.col("halted"), F.col("rank"), 5).alias("outcome"))
+
 
+_SENDS = L + ", d AS (SELECT pos, source, url, CASE pos % 6 WHEN 0 THEN 429 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN NULL ELSE 200 END AS status, pos % 4 AS attempt FROM l) "
 
-@query(U + "SELECT pos, seller_id IS NOT NULL AND source = 'olx' AS canary_allowed, CASE WHEN platform_owner THEN 'Перевірка: підтверджено платформою' ELSE 'Перевірка: недостатньо даних' END AS line FROM c")
-def snk2_snk11_fn19_delivery_lines(spark, sf):
-    line = F.when(F.col("platform_owner"), "Перевірка: підтверджено платформою").otherwise("Перевірка: недостатньо даних")
-    return listings(spark, sf).select("pos", F.expr("seller_id is not null and source = 'olx'").alias("canary_allowed"), line.alias("line"))
+
+@query(
+    _SENDS + "SELECT pos, CASE status WHEN 200 THEN 'sent' WHEN 404 THEN 'failed_permanent' WHEN 403 THEN 'pending' ELSE 'failed' END AS status, CASE WHEN status = 200 THEN sha256(source || chr(10) || url) END AS text_sha256, CASE WHEN status IS NULL OR status = 429 THEN CAST(120000 * [1, 1, 2, 4][attempt + 1] AS BIGINT) END AS delay_ms, "
+    "coalesce(status = 403, false) AS pauses FROM d"
+)
+def snk2_delivery(spark, sf):
+    """Messages go to a sink once, as files of its own batch; what it answers moves the outbox row on: sent, failed for now, failed for good, or kept while the channel is paused."""
+    rows = listings(spark, sf).select("pos", F.concat_ws("\n", "source", "url").alias("text"), F.expr("case pos % 6 when 0 then 429 when 1 then 403 when 2 then 404 when 3 then null else 200 end").alias("http"), F.expr("int(pos % 4)").alias("attempt"))
+    path = scratch(spark, "sent")
+    for _ in range(2):  # the same batch again replaces itself
+        rows.where("http = 200").select("pos", "text").write.mode("overwrite").json(f"{path}/batch=1")
+    sent = spark.read.schema("pos bigint, text string").json(f"{path}/batch=1").select("pos", F.sha2("text", 256).alias("text_sha256"))
+    failure = decisions.delivery_failure(F.col("http"), F.lit(""))
+    kind = F.when(F.col("http").isNull() | (F.col("http") != 200), failure["error_class"])
+    status = F.when(kind.isNull(), "sent").when(kind == "permanent", "failed_permanent").when(kind == "operator_action", "pending").otherwise("failed")
+    rows = rows.withColumn("kind", kind).select("pos", status.alias("status"), F.when(kind == "transient", state.backoff_ms(F.col("attempt"), F.lit(None))).alias("delay_ms"), F.coalesce(kind == "operator_action", F.lit(False)).alias("pauses"))
+    return rows.join(sent, "pos", "left")
+
+
+@query("SELECT 3 AS n_runs, 1 AS n_sent, 1 AS n_dry, 1 AS n_already")
+def snk11_canary(spark, sf):
+    """A message that is sent at most once: a dry run sends nothing and marks nothing, the next sends and marks, later ones see the mark."""
+    path, told = scratch(spark, "canary"), []
+    for dry in (True, False, False):
+        told.append(stateful.canary(spark, path, dry))
+    return spark.createDataFrame([(len(told), told.count("sent"), told.count("dry_run"), told.count("already_sent"))], "n_runs int, n_sent int, n_dry int, n_already int")
 
 
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark, sf, columns: list[str]):
-    """The events as a stream of files that arrive in the order of their time."""
-    path, rows = scratch(spark, "events"), table(spark, sf, "events").select(*columns)
+def _stream(spark, sf, rows, by: str):
+    """Rows with the events' `ts` as a stream of files in the order of their time; all rows of a key in a period are in one file."""
+    path = scratch(spark, "events")
     days = ["2000-01-01", "2024-01-08", "2024-01-16", "2024-01-24", "2100-01-01"]
     for start, end in zip(days, days[1:]):
-        rows.where((F.col("ts") >= stamp(start)) & (F.col("ts") < stamp(end))).coalesce(1).write.mode("append").parquet(path)
+        rows.where((F.col("ts") >= stamp(start)) & (F.col("ts") < stamp(end))).repartition(by).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_seen(spark, sf):
     """Batch and stream agree: the keys that deduplication lets through once."""
-    rows = _stream(spark, sf, ["user_id", "event_type", "ts"]).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = _stream(spark, sf, table(spark, sf, "events").select("user_id", "event_type", "ts"), "user_id").withColumn("ts", F.col("ts").cast("timestamp"))
     return stateful.run_to_end(stateful.first_seen(rows, ["user_id", "event_type"], "ts", "60 days"), scratch(spark, "stream")).select("user_id", "event_type")
 
 
 @query("WITH e AS (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(value, row(ts, event_id)) AS value FROM events GROUP BY user_id) SELECT * FROM e")
 def stream_state_table(spark, sf):
-    """Micro-batches folded into a versioned state table by foreachBatch."""
-    rows = _stream(spark, sf, ["user_id", "event_id", "ts", "value"]).withColumn("first_seen", F.col("ts")).withColumn("last_seen", F.col("ts"))
+    """Micro-batches folded into a versioned state table by foreachBatch; each poll opens the table again, as after a restart."""
+    rows = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
     schema = "user_id bigint, value double, first_seen timestamp_ntz, last_seen timestamp_ntz"
-    kept = stateful.StateTable(spark, scratch(spark, "state"), schema, ["user_id"], ["value"], ["first_seen"], ["last_seen"], ["ts", "event_id"])
-    return kept.follow(rows, scratch(spark, "checkpoint"))
+    path, stream = scratch(spark, "state"), _stream(spark, sf, rows, "user_id").withColumn("first_seen", F.col("ts")).withColumn("last_seen", F.col("ts"))
+    opened = lambda: stateful.StateTable(spark, path, schema, ["user_id"], ["value"], ["first_seen"], ["last_seen"], ["ts", "event_id"])
+    checkpoint = scratch(spark, "checkpoint")
+    opened().follow(stream, checkpoint)
+    return opened().follow(stream, checkpoint)
 
 
-_WIN = "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL"
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_daily_counts(spark, sf):
+    """Windowed counts of a stream; every batch gives the windows that changed."""
+    rows = _stream(spark, sf, table(spark, sf, "events").select("event_type", "ts"), "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = rows.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "event_type", "n")
+    return stateful.run_latest(counts, scratch(spark, "stream"), ["day", "event_type"]).select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
-@query(f"WITH w AS ({_WIN}) SELECT day, event_type, n FROM w")
-def stream_daily_counts(spark, sf):
-    """Windowed counts of a stream in complete mode, read from a memory sink."""
-    import uuid
+_ATTEMPTED = "WITH e AS (SELECT user_id AS key, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), "
+
+
+@query(
+    _ATTEMPTED + "l AS (SELECT key, coalesce(max(n) FILTER (WHERE ok), 0) AS last_ok, count(*) AS n_attempts FROM e GROUP BY key), i AS (SELECT key, n - row_number() OVER (PARTITION BY key ORDER BY n) AS island, n FROM e WHERE NOT ok), "
+    "s AS (SELECT key, island, count(*) AS size, max(n) AS last FROM i GROUP BY ALL) "
+    "SELECT l.key, n_attempts - last_ok AS consecutive_failures, n_attempts, count(*) FILTER (WHERE size >= 3) AS opened, count(*) FILTER (WHERE size >= 3 AND last < n_attempts) AS recovered FROM l LEFT JOIN s USING (key) GROUP BY ALL"
+)
+def stream_ups6_ups14_source_health(spark, sf):
+    """Streaks and incidents as keyed state that outlives a run."""
+    rows = table(spark, sf, "events").selectExpr("user_id as key", "unix_micros(cast(ts as timestamp)) as at", "event_id as tie", "event_type <> 'error' as ok", "ts")
+    return stateful.run_latest(stateful.source_health(_stream(spark, sf, rows, "key").drop("ts")), scratch(spark, "stream"), ["key"])
 
-    rows = _stream(spark, sf, ["event_type", "ts"]).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"daily_{uuid.uuid4().hex}"
-    counts = rows.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
+@query(ORACLE_SQL["ups10_ups11_outbox_transitions"].replace("f.user_id, CASE", "f.user_id AS key, CASE"))
+def stream_ups10_ups11_outbox(spark, sf):
+    """The outbox' transitions as keyed state; what was being sent when the run ended is pending again."""
+    event = "case event_type when 'click' then 'claim' when 'purchase' then 'done' when 'error' then 'fail' else event_type end as event"
+    rows = table(spark, sf, "events").selectExpr("user_id as key", "unix_micros(cast(ts as timestamp)) as at", "event_id as tie", event, "ts")
+    found = stateful.run_latest(stateful.outbox(_stream(spark, sf, rows, "key").drop("ts")), scratch(spark, "stream"), ["key"])
+    return found.withColumn("status", F.expr("if(status = 'sending', 'pending', status)"))
 
+
+_SPAN_MS, _DELAY_DAYS = 6 * 3_600_000, 9
+_VERDICT = "CASE event_type WHEN 'purchase' THEN 'allow' WHEN 'error' THEN 'reject' ELSE 'defer' END"
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS at, {_VERDICT} AS verdict, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events), "
+    "f AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS deadline, CAST(NULL AS BIGINT) AS expired, CAST(NULL AS BIGINT) AS told, CAST(NULL AS STRING) AS verdict FROM e UNION ALL "
+    f"SELECT f.key, e.n, CASE WHEN e.verdict <> 'defer' THEN -1 WHEN f.deadline >= 0 AND f.deadline > e.at THEN f.deadline ELSE e.at + {_SPAN_MS} END, CASE WHEN f.deadline >= 0 AND f.deadline <= e.at THEN f.deadline END, CASE WHEN e.verdict <> 'defer' THEN e.at END, e.verdict "
+    "FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1), m AS (SELECT key, max(n) AS n FROM f GROUP BY key) "
+    "SELECT key, expired AS at, 'expired' AS outcome FROM f WHERE expired IS NOT NULL UNION ALL SELECT key, told, CASE verdict WHEN 'allow' THEN 'sent' ELSE 'dropped' END FROM f WHERE told IS NOT NULL "
+    f"UNION ALL SELECT f.key, deadline, 'expired' FROM f JOIN m USING (key, n) WHERE deadline >= 0 AND deadline <= (SELECT max(epoch_us(ts) // 1000) - {_DELAY_DAYS} * 86400000 FROM events)"
+)
+def stream_ups8_ups9_holds(spark, sf):
+    """Holds as keyed state with timers in event time: verdicts in time, and deadlines that passed."""
+    rows = table(spark, sf, "events").selectExpr("user_id as key", "unix_millis(cast(ts as timestamp)) as at", "event_id as tie", f"{_VERDICT} as verdict", "ts")
+    stream = _stream(spark, sf, rows, "key").withColumn("ts", F.col("ts").cast("timestamp"))
+    return stateful.run_to_end(stateful.holds(stream, _SPAN_MS, "ts", f"{_DELAY_DAYS} days"), scratch(spark, "stream"))

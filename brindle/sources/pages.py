@@ -61,6 +61,47 @@ def state_column(html: Column, marker: str, strings: bool = True) -> Column:
     return scan(html)
 
 
+def balanced_column(text: Column) -> Column:
+    """The array or object that each text begins with; null if it does not end."""
+
+    @pandas_udf("string")
+    def scan(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: balanced(v, 0) if v and v[0] in "{[" else None)
+
+    return scan(text)
+
+
+def record_with_role(raw: Column, wanted: Column, key: str, role: str) -> Column:
+    """struct(found, role): whether nested JSON holds a record with `key` = wanted, and the role of it or else of its nearest ancestor."""
+
+    def own(node: dict) -> object:
+        inner = node.get("characteristics_values")
+        both = [inner.get(role)] if isinstance(inner, dict) else []
+        return next((str(x) for x in [*both, node.get(role)] if x not in (None, "")), None)
+
+    def visit(node: object, above: list[dict], want: str) -> tuple[bool, str | None]:
+        if isinstance(node, dict):
+            if str(node.get(key)) == want:
+                return True, next((r for n in [node, *above] if (r := own(n)) is not None), None)
+            node, above = list(node.values()), [*above, node]
+        for child in node if isinstance(node, list) else ():
+            if (found := visit(child, above, want))[0]:
+                return found
+        return False, None
+
+    @pandas_udf("found boolean, role string")
+    def search(values: pd.Series, ids: pd.Series) -> pd.DataFrame:
+        out = []
+        for v, want in zip(values, ids):
+            try:
+                out.append(visit(json.loads(v), [], str(want)) if v else (False, None))
+            except ValueError:
+                out.append((False, None))
+        return pd.DataFrame(out, columns=["found", "role"])
+
+    return search(raw, wanted)
+
+
 def decoded_state(raw: Column) -> Column:
     """struct(present, complete, value): a quoted blob is decoded twice, a braced one once."""
     inner = F.when(raw.startswith('"'), F.get_json_object(F.concat(F.lit('{"s":'), raw, F.lit("}")), "$.s")).otherwise(raw)
@@ -129,9 +170,23 @@ def adapted(value: Column) -> Column:
 
 def cards(html: Column, start: str, stop: str) -> Column:
     """Pieces of a page that begin with `start`, up to the next one; nothing after `stop` counts."""
-    main = F.substring_index(html, stop, 1)
-    return F.slice(F.split(main, start), 2, 1_000_000)
+    return pieces(F.substring_index(html, stop, 1), start)
+
+
+def pieces(text: Column, start: str) -> Column:
+    """What follows each `start`, which is taken as it is, up to the next one."""
+    parts = F.split(text, "\\Q" + start + "\\E")
+    return F.slice(parts, F.lit(2), F.size(parts))
 
 
 def attribute(card: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(card, rf'{name}="([^"]*)"', 1), F.lit(""))
+
+
+def clipped(text: Column, most: int) -> Column:
+    """The longest beginning of a text that has at most so many bytes of UTF-8."""
+    raw = F.encode(text, "utf-8")
+    head, after = F.substring(raw, 1, most), F.substring(raw, most + 1, 1)
+    inside = F.hex(after).rlike("^[89AB]")  # the next byte goes on with a character
+    whole = F.regexp_extract(F.hex(head), "^((?:[0-7][0-9A-F]|[CD][0-9A-F](?:[0-9A-F]{2})|E[0-9A-F](?:[0-9A-F]{4})|F[0-9A-F](?:[0-9A-F]{6}))*)", 1)
+    return F.when(inside, F.decode(F.unhex(whole), "utf-8")).otherwise(F.decode(head, "utf-8"))
