@@ -39,11 +39,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: its lineage is cut and survives lost executors."""
+def written(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """`df` as a table in the shared folder: its lineage is cut and survives lost executors.
+
+    `group_bytes`: about how much a writing task holds of it, for rows of megabytes.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    options = {"parquet.block.size": group_bytes, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1} if group_bytes else {}
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

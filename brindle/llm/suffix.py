@@ -15,7 +15,7 @@ from brindle.llm import words
 from brindle.llm.shared import chunks, documents, small_or_none, texts, written
 
 #: Bytes of training text in one shard, whatever the table's size (a longer text is a shard of its own).
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of benchmark text that are searched at once (one longer item is a block of its own); all that the driver holds of it.
 BLOCK_BYTES = 16 << 20
 _MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("item_pos", pa.int32()), ("doc_pos", pa.int32()), ("n_words", pa.int32())]))
@@ -244,7 +244,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def found_texts(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> tuple[DataFrame, DataFrame]:
     """(index, hits): the training index, and (doc_id, content, n_words, matches, n_hit) of every different text with matches."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    index = written(indexed(docs, window), "suffixes")
+    index = written(indexed(docs, window), "suffixes", group_bytes=8 << 20)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
