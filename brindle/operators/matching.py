@@ -103,27 +103,18 @@ def keepers(keys: DataFrame, components: DataFrame) -> DataFrame:
     return rows.repartition("component").sortWithinPartitions("component", "pos").mapInPandas(fold, "pos long, kept boolean")
 
 
-def key_components(keys: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """(pos, component): smallest pos reachable over shared keys, by repeated minima over keys and rows."""
-    labels = keys.select("pos", "key", F.col("pos").alias("component"))
-    for _ in range(most_rounds):
-        by_key = labels.groupBy("key").agg(F.min("component").alias("least"))
-        least = labels.join(by_key, "key").groupBy("pos").agg(F.min("least").alias("component"))
-        fresh = keys.join(least, "pos").select("pos", "key", "component").checkpoint()
-        changed = fresh.join(labels.withColumnRenamed("component", "was"), ["pos", "key"]).where("component <> was").limit(1).count()
-        labels = fresh
-        if not changed:
-            return labels.select("pos", "component").distinct()
-    raise RuntimeError("components did not settle")
-
-
 def live_cache(df: DataFrame, cache: DataFrame, key: list[str], now: Column) -> DataFrame:
     """`df` with the cached verdict of its key if that has not expired."""
     return df.join(cache.where(F.col("expires_at") > now), key, "left")
 
 
 def planned_fetches(ids: DataFrame, known: DataFrame, group: str, order: list[str], cap: int) -> DataFrame:
-    """ids with plan: known, fetch (the first `cap` unknown of the group), or deferred."""
+    """ids with plan: known, fetch (the first `cap` unknown of the group), or deferred.
+
+    Only the first `cap` of a group are ranked past the shuffle, which the planner's limit by group sees to.
+    """
     marked = ids.join(known.distinct().withColumn("__known", F.lit(True)), "id", "left")
-    rank = F.row_number().over(Window.partitionBy(group, F.col("__known").isNull()).orderBy(*order))
-    return marked.withColumn("__rank", rank).withColumn("plan", F.when(F.col("__known"), "known").when(F.col("__rank") <= cap, "fetch").otherwise("deferred")).drop("__known", "__rank")
+    unknown = marked.where("__known is null").select(group, "id", *(c for c in order if c not in (group, "id")))
+    first = unknown.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(f"__rank <= {cap}").select(group, "id", F.lit(True).alias("__first"))
+    plan = F.when(F.col("__known"), "known").when(F.col("__first"), "fetch").otherwise("deferred")
+    return marked.join(first, [group, "id"], "left").withColumn("plan", plan).drop("__known", "__first")

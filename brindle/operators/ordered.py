@@ -45,11 +45,11 @@ def non_increasing(df: DataFrame, by: str, value: str, order: list, least: int =
     return steps.groupBy(by).agg(F.count("*").alias("n_rows"), F.bool_and("__falls").alias("falls")).withColumn("non_increasing", F.expr(f"falls and n_rows >= {least}")).drop("falls")
 
 
-def until_crossed(df: DataFrame, by: str, order: list, crossed: Column) -> DataFrame:
-    """Rows up to and with the first for which `crossed` holds."""
-    before = Window.partitionBy(by).orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, -1)
-    hits = F.coalesce(F.sum(F.coalesce(crossed, F.lit(False)).cast("int")).over(before), F.lit(0))
-    return df.withColumn("__hits", hits).where("__hits = 0").drop("__hits")
+def until_crossed(df: DataFrame, by: str, newest: list[str], crossed: Column) -> DataFrame:
+    """Rows from the newest down to and with the first for which `crossed` holds: that row is a maximum by group, so no group is put in order."""
+    rows = df.withColumn("__at", F.struct(*newest))
+    edge = rows.where(crossed).groupBy(by).agg(F.max("__at").alias("__edge"))
+    return rows.join(edge, by, "left").where(F.col("__edge").isNull() | (F.col("__at") >= F.col("__edge"))).drop("__at", "__edge")
 
 
 def novelty(df: DataFrame, key: str, page: str) -> DataFrame:
@@ -59,9 +59,29 @@ def novelty(df: DataFrame, key: str, page: str) -> DataFrame:
     return first.groupBy(page).agg(F.count("*").alias("n_keys"), F.count_if(F.col("fresh")).alias("n_new"))
 
 
-def longest_streaks(df: DataFrame, by: str, order: list, failed: Column) -> DataFrame:
+def streaks(df: DataFrame, by: str, chunk: str, order: list, failed: Column, threshold: int = 3) -> DataFrame:
+    """Per group: its longest run of failures, runs of `threshold` or more (`opened`), those ended by a success (`recovered`), and the run it ends with.
+
+    `chunk` grows with the order, a day for instance. Runs are found inside chunks; what a chunk begins and ends with is then
+    put together over a group's chunks, which are few, so that a group of very many rows is no single task.
+    """
+    inside = Window.partitionBy(by, chunk).orderBy(*_columns(order))
+    rows = df.withColumn("__bad", failed).withColumn("__run", F.count_if(~F.col("__bad")).over(inside))
+    runs = rows.groupBy(by, chunk, "__run").agg(F.count_if("__bad").alias("__n"))
+    whole = runs.groupBy(by, chunk).agg(F.max("__run").alias("last"), F.max("__n").alias("longest"), F.max(F.when(F.col("__run") == 0, F.col("__n"))).alias("head"), F.max_by("__n", "__run").alias("tail"))
+    inner = runs.join(whole.select(by, chunk, "last"), [by, chunk]).where(f"__run > 0 and __run < last and __n >= {threshold}").groupBy(by, chunk).agg(F.count("*").alias("inner"))
+    parts = whole.join(inner, [by, chunk], "left").select(by, chunk, "longest", F.coalesce("head", F.lit(0)).alias("head"), "tail", F.coalesce("inner", F.lit(0)).alias("inner"), (F.col("last") == 0).alias("through"))
+    ordered_ = Window.partitionBy(by).orderBy(chunk)
+    parts = parts.withColumn("__since", F.count_if(~F.col("through")).over(ordered_))
+    carried = F.sum("tail").over(Window.partitionBy(by, "__since").orderBy(chunk))  # through chunks add up, others begin anew with their tail
+    parts = parts.withColumn("__carry", carried).withColumn("__before", F.coalesce(F.lag("__carry").over(ordered_), F.lit(0)))
+    closed = F.expr(f"not through and __before + head >= {threshold}")
+    found = parts.groupBy(by).agg(
+        F.max(F.greatest("longest", F.col("__before") + F.col("head"))).alias("longest_streak"), (F.count_if(closed) + F.sum("inner")).alias("recovered"), F.max_by("__carry", chunk).alias("open_streak")
+    )
+    return found.withColumn("opened", F.col("recovered") + (F.col("open_streak") >= threshold).cast("int"))
+
+
+def longest_streaks(df: DataFrame, by: str, chunk: str, order: list, failed: Column) -> DataFrame:
     """Longest run of failures of each group; groups without any are absent."""
-    window = Window.partitionBy(by).orderBy(*_columns(order))
-    islands = df.withColumn("__bad", failed).withColumn("__all", F.row_number().over(window))
-    islands = islands.where("__bad").withColumn("__island", F.col("__all") - F.row_number().over(window))
-    return islands.groupBy(by, "__island").count().groupBy(by).agg(F.max("count").alias("longest_streak"))
+    return streaks(df, by, chunk, order, failed).where("longest_streak > 0").select(by, "longest_streak")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.ordered import streaks
+
 
 def merged(state: DataFrame, batch: DataFrame, key: list[str], latest: list[str], least: list[str] = [], most: list[str] = [], order: list[str] = []) -> DataFrame:  # noqa: B006
     """`state` with `batch` folded in: new non-null values win in `latest` (the last by `order` within the batch),
@@ -41,16 +43,23 @@ def health_fold(events: DataFrame, source: str, order: list[str], healthy: Colum
     return kept.join(last, source).groupBy(source).agg(F.count_if(after).alias("consecutive_failures"), F.count("*").alias("n_attempts"))
 
 
-def incidents(events: DataFrame, source: str, order: list[str], failed: Column, threshold: int = 3) -> DataFrame:
+def incidents(events: DataFrame, source: str, chunk: str, order: list[str], failed: Column, threshold: int = 3) -> DataFrame:
     """Per source: incidents opened (streaks that reach `threshold`) and recoveries (healthy attempts that end such a streak)."""
-    window = Window.partitionBy(source).orderBy(*order)
-    rows = events.withColumn("__bad", failed).withColumn("__run", F.sum((~F.col("__bad")).cast("int")).over(window.rowsBetween(Window.unboundedPreceding, 0)))
-    streak = rows.groupBy(source, "__run").agg(F.count_if(F.col("__bad")).alias("__n"))
-    last = F.max("__run").over(Window.partitionBy(source))
-    opened = streak.withColumn("__closed", F.col("__run") < last).where(f"__n >= {threshold}")
-    every = events.select(source).distinct()
-    counted = opened.groupBy(source).agg(F.count("*").alias("opened"), F.count_if(F.col("__closed")).alias("recovered"))
-    return every.join(counted, source, "left").na.fill(0, ["opened", "recovered"])
+    return streaks(events, source, chunk, order, failed, threshold).select(source, "opened", "recovered")
+
+
+def folded_transitions(events: DataFrame, key: str, chunk: str, order: list[str], event: str, states: list[str], moves: dict[tuple[str, str], str]) -> DataFrame:
+    """(key, by_state, n): for each key the state that its events lead to from every state.
+
+    What a chunk's events do to each state is folded first; over a key's chunks, which are few, these are put one after the
+    other, so that a key of very many events is no single array.
+    """
+    steps = " ".join(f"when s = '{a}' and e.{event} = '{b}' then '{c}'" for (a, b), c in moves.items())
+    begin = "map(" + ", ".join(f"'{s}', '{s}'" for s in states) + ")"
+    one = F.expr(f"aggregate(log, {begin}, (m, e) -> transform_values(m, (k, s) -> case {steps} else s end))")
+    chunks = events.groupBy(key, chunk).agg(F.array_sort(F.collect_list(F.struct(*order, event))).alias("log")).select(key, chunk, one.alias("m"), F.size("log").alias("n"))
+    whole = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(chunk).alias("c"), F.map_entries("m").alias("m")))).alias("all"), F.sum("n").alias("n"))
+    return whole.select(key, F.expr(f"aggregate(all, {begin}, (m, x) -> transform_values(m, (k, s) -> try_element_at(map_from_entries(x.m), s)))").alias("by_state"), "n")
 
 
 def retained(df: DataFrame, ts: str, cutoff: Column) -> DataFrame:

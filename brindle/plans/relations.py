@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import sellers, urls
-from brindle.operators import decisions, matching, ordered
+from brindle.operators import decisions, graphs, matching, ordered
 from brindle.plans.base import L, bound, listings, plain, query, scratch, table
 from brindle.plans.records import BUCKET, C, KEYS, U, assessed, identity_keys
 
@@ -24,7 +24,9 @@ v AS (SELECT *, CASE WHEN precise >= 5 THEN 'seller_inventory_limit' WHEN ads >=
 
 def inventories(spark, sf):
     """Different keys of each kind a seller, and the verdict over them."""
-    counts = bound(spark, sf, _INVENTORY).groupBy("seller").agg(F.count_distinct("precise_key").alias("precise"), F.count_distinct("coarse_key").alias("coarse"), F.count("*").alias("ads"))
+    # each kind's different keys first, then counts of them: two counts of different values at once would copy every row three times
+    keys = bound(spark, sf, _INVENTORY).select("seller", F.expr("stack(2, 'p', precise_key, 'c', coarse_key) as (kind, key)")).groupBy("seller", "kind", "key").agg(F.count("*").alias("n"))
+    counts = keys.groupBy("seller").agg(n_if("kind = 'p' and key is not null").alias("precise"), n_if("kind = 'c' and key is not null").alias("coarse"), F.sum(F.expr("if(kind = 'p', n, 0)")).alias("ads"))
     verdict = sellers.inventory_verdict(F.lit(True), F.col("precise"), F.col("ads"), F.col("coarse"), F.lit(0))
     return counts.withColumn("verdict", verdict).withColumn("bucket", sellers.inventory_bucket(F.col("precise")))
 
@@ -67,10 +69,11 @@ SELECT l_orderkey AS seller, l_linenumber AS n, l_partkey AS part, l_suppkey AS
 def agg4_cls13_profile_gate(spark, sf):
     """Per seller: the last eight different addresses in order, whether all rows are owners' or any is likely none."""
     rows = bound(spark, sf, _GATE).withColumn("at", F.expr("n * 1000000000.0D + part * 100000.0D + supp"))
-    recent = ordered.last_distinct(rows, "seller", "part", ["at"], 8).groupBy("seller").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"].cast("string")), ",").alias("recent"))
-    flags = rows.groupBy("seller").agg(F.bool_and("owner").alias("all_owner"), F.bool_or("likely").alias("any_likely"), F.count_distinct("part").alias("n_addresses"))
+    first = rows.groupBy("seller", "part").agg(F.min("at").alias("at"), F.bool_and("owner").alias("owner"), F.bool_or("likely").alias("likely"))
+    last = ordered.ranked(first, ["seller"], [F.desc("at")]).where("__rank <= 8").groupBy("seller").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"].cast("string")), ",").alias("recent"))
+    flags = first.groupBy("seller").agg(F.bool_and("owner").alias("all_owner"), F.bool_or("likely").alias("any_likely"), F.count("*").alias("n_addresses"))
     verdict = F.when(F.col("all_owner"), "confirmed_owner").when(F.col("any_likely"), "profile_likely_intermediary").otherwise("unknown")
-    return flags.join(recent, "seller").withColumn("verdict", verdict)
+    return flags.join(last, "seller").withColumn("verdict", verdict)
 
 
 @query(L + "SELECT source, min(published_at) AS oldest, max(published_at) AS newest, count(published_at) AS n_dated FROM l GROUP BY source")
@@ -96,7 +99,7 @@ def agg10_success_rate(spark, sf):
     T + ", r AS (SELECT source, success, row_number() OVER (PARTITION BY source ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY source, success ORDER BY ts, event_id) AS b FROM t), i AS (SELECT source, a - b AS g, count(*) AS n FROM r WHERE NOT success GROUP BY ALL) SELECT source, max(n) AS longest_streak FROM i GROUP BY source"
 )
 def agg11_failure_streaks(spark, sf):
-    return ordered.longest_streaks(bound(spark, sf, _TRIES), "source", ["ts", "event_id"], F.expr("not success"))
+    return ordered.longest_streaks(bound(spark, sf, _TRIES), "source", "cycle", ["ts", "event_id"], F.expr("not success"))
 
 
 _CYCLES = T + ", c AS (SELECT cycle, count(*) AS n, count(*) FILTER (WHERE success) AS ok, max(value) AS most FROM t GROUP BY cycle), s AS (SELECT *, CASE WHEN ok = n THEN 'complete' WHEN ok = 0 THEN 'failed' ELSE 'degraded' END AS status FROM c) "
@@ -314,8 +317,8 @@ def jn7_ups7_verdict_cache(spark, sf):
 @query("WITH prior AS (SELECT l_suppkey AS s, l_partkey AS a FROM lineitem WHERE l_linenumber <= 2), now AS (SELECT l_suppkey AS s, l_partkey AS a FROM lineitem WHERE l_linenumber = 3), u AS (SELECT s, a FROM now UNION SELECT prior.s, prior.a FROM prior WHERE s IN (SELECT s FROM now)) SELECT s, count(*) AS n_addresses FROM u GROUP BY s")
 def jn8_set2_prior_addresses(spark, sf):
     rows = table(spark, sf, "lineitem").selectExpr("l_suppkey as s", "l_partkey as a", "l_linenumber as n")
-    sets = rows.groupBy("s").agg(F.collect_set(F.when(F.col("n") <= 2, F.col("a"))).alias("prior"), F.collect_set(F.when(F.col("n") == 3, F.col("a"))).alias("now"))
-    return sets.where("size(now) > 0").select("s", F.size(F.array_union("now", "prior")).cast("bigint").alias("n_addresses"))
+    now = rows.where("n = 3").select("s").distinct()
+    return rows.where("n <= 3").select("s", "a").distinct().join(now, "s", "left_semi").groupBy("s").agg(F.count("*").alias("n_addresses"))
 
 
 @query("WITH i AS (SELECT l_linenumber AS category, l_orderkey AS id, min(l_partkey) AS p FROM lineitem GROUP BY ALL), k AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'), m AS (SELECT i.*, k.id IS NOT NULL AS known FROM i LEFT JOIN k USING (id)), r AS (SELECT *, row_number() OVER (PARTITION BY category, known ORDER BY id) AS n FROM m) SELECT category, id, CASE WHEN known THEN 'known' WHEN n <= 8 THEN 'fetch' ELSE 'deferred' END AS plan FROM r")
@@ -370,12 +373,19 @@ def win12_best_key_class(spark, sf):
     return matching.best_class(identity_keys(listings(spark, sf))).withColumn("pos", F.col("source_id").cast("bigint")).select("pos", "key", "key_class")
 
 
-@query()
+_KEEP = _KEYS.replace("WITH ", "WITH RECURSIVE ", 1) + """, adj AS (SELECT DISTINCT a.pos AS p, b.pos AS q FROM k a JOIN k b ON a.key = b.key AND b.pos < a.pos),
+r AS (SELECT 0 AS i, pos, CASE WHEN pos NOT IN (SELECT p FROM adj) THEN true END AS kept FROM (SELECT DISTINCT pos FROM k)
+  UNION ALL SELECT i + 1, pos, coalesce(kept, d) FROM (SELECT r.i, r.pos, any_value(r.kept) AS kept, CASE WHEN coalesce(bool_or(x.kept), false) THEN false WHEN count(adj.q) = count(x.kept) THEN true END AS d
+    FROM r LEFT JOIN adj ON adj.p = r.pos LEFT JOIN r x ON x.pos = adj.q GROUP BY r.i, r.pos) WHERE EXISTS (SELECT 1 FROM r WHERE kept IS NULL))
+SELECT pos, kept FROM r WHERE i = (SELECT max(i) FROM r)"""
+
+
+@query(_KEEP)
 def h1_sequential_keepers(spark, sf):
     """Greedy keepers in the order of rows: a listing is kept if no listing kept before it has one of its keys."""
     spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
     keys = identity_keys(listings(spark, sf)).select("pos", "key")
-    return matching.keepers(keys, matching.key_components(keys))
+    return matching.keepers(keys, graphs.key_components(keys))
 
 
 # --- set operations --------------------------------------------------------------------------------------------------

@@ -66,7 +66,7 @@ def ups6_health_fold(spark, sf):
 @query(_RUNS + ", s AS (SELECT source, run, count(*) FILTER (WHERE bad) AS n FROM g GROUP BY ALL), m AS (SELECT source, max(run) AS last FROM g GROUP BY source) SELECT m.source, count(*) FILTER (WHERE n >= 3) AS opened, count(*) FILTER (WHERE n >= 3 AND run < last) AS recovered FROM s JOIN m USING (source) GROUP BY m.source")
 def ups14_incidents(spark, sf):
     rows = table(spark, sf, "events").where("event_type <> 'view'").withColumn("source", F.expr("user_id % 5"))
-    return state.incidents(rows, "source", ["ts", "event_id"], F.expr("event_type = 'error'"))
+    return state.incidents(rows.withColumn("day", F.to_date("ts")), "source", "day", ["ts", "event_id"], F.expr("event_type = 'error'"))
 
 
 _HOLDS = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'reject' WHEN 1 THEN 'defer' ELSE 'allow' END AS decision, o_orderdate + INTERVAL 20 MINUTES AS deadline, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 20 MINUTES ELSE o_orderdate + INTERVAL 19 MINUTES END AS now FROM {orders}"
@@ -86,10 +86,11 @@ _NEXT = "CASE WHEN s IN ('pending', 'failed') AND event_type = 'click' THEN 'sen
 )
 def ups10_ups11_outbox_transitions(spark, sf):
     """Events folded per id in order; transitions that do not apply are ignored; what was being sent at the end is pending again."""
-    events = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("log"))
-    claim, done, failed = "s in ('pending', 'failed') and e.event_type = 'click'", "s = 'sending' and e.event_type = 'purchase'", "s = 'sending' and e.event_type = 'error'"
-    final = F.expr(f"aggregate(log, 'pending', (s, e) -> case when {claim} then 'sending' when {done} then 'sent' when {failed} then 'failed' else s end)")
-    return events.select("user_id", F.when(final == "sending", "pending").otherwise(final).alias("status"), F.size("log").cast("bigint").alias("n_events"))
+    moves = {("pending", "click"): "sending", ("failed", "click"): "sending", ("sending", "purchase"): "sent", ("sending", "error"): "failed"}
+    rows = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type")
+    folded = state.folded_transitions(rows, "user_id", "day", ["ts", "event_id"], "event_type", ["pending", "sending", "sent", "failed"], moves)
+    final = F.col("by_state")["pending"]
+    return folded.select("user_id", F.when(final == "sending", "pending").otherwise(final).alias("status"), F.col("n").alias("n_events"))
 
 
 @query("SELECT event_type, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-10') AS kept, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-10') AS removed FROM events GROUP BY event_type")
@@ -157,7 +158,7 @@ def ups13_channel_pause(spark, sf):
 def str6_str9_stop_at_boundary(spark, sf):
     """Newest first, up to and with the row that crosses the watermark less its overlap."""
     rows = table(spark, sf, "events").select("event_type", "event_id", "ts")
-    return ordered.until_crossed(rows, "event_type", [F.desc("ts"), F.desc("event_id")], crossed_boundary(F.col("ts"), stamp("2024-01-15"), F.expr("interval 30 minutes"))).drop("ts")
+    return ordered.until_crossed(rows, "event_type", ["ts", "event_id"], crossed_boundary(F.col("ts"), stamp("2024-01-15"), F.expr("interval 30 minutes"))).drop("ts")
 
 
 _PLAN = "SELECT s_suppkey AS id, s_suppkey % 3 <> 0 AS has_boundary, s_suppkey % 4 = 1 AS has_target, CASE WHEN s_suppkey % 4 = 1 THEN CAST(s_suppkey % 7 AS INT) END AS resume FROM {supplier}"
