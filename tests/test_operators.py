@@ -1,6 +1,7 @@
 """Rules and folds on small inputs: order, nulls, ties, repeated batches, streams."""
 
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -9,8 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from brindle.functions import geo, sellers, texts, urls
-from brindle.operators import freshness, matching, ordered, state
-from brindle.sources import pages
+from brindle.operators import decisions, freshness, graphs, matching, ordered, state
+from brindle.sources import pages, sites
 from brindle.streaming import stateful
 
 
@@ -66,7 +67,7 @@ def test_freshness_rules_in_order(spark):
 def test_keepers_are_greedy_in_order(spark):
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/cp")
     keys = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "c")], "pos long, key string")
-    kept = {r["pos"] for r in matching.keepers(keys, matching.key_components(keys)).where("kept").collect()}
+    kept = {r["pos"] for r in matching.keepers(keys, graphs.key_components(keys)).where("kept").collect()}
     assert kept == {1, 3, 4}
 
 
@@ -87,8 +88,71 @@ def test_merge_applied_twice_is_merge_applied_once(spark):
 
 
 def test_longest_streaks_leave_out_sources_without_failures(spark):
-    df = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("a", 3, True), ("b", 1, False)], "s string, t int, bad boolean")
-    assert [tuple(r) for r in ordered.longest_streaks(df, "s", ["t"], F.col("bad")).collect()] == [("a", 2)]
+    df = spark.createDataFrame([("a", 0, 1, False), ("a", 0, 2, True), ("a", 1, 3, True), ("b", 0, 1, False)], "s string, c int, t int, bad boolean")
+    assert [tuple(r) for r in ordered.longest_streaks(df, "s", "c", ["t"], F.col("bad")).collect()] == [("a", 2)]
+
+
+def test_streaks_over_chunks_equal_a_plain_fold(spark):
+    rng = random.Random(2)
+    rows = [(s, t // rng.choice([1, 7, 30]) if s % 2 else t // 10, t, rng.random() < 0.6 + 0.1 * (s % 4)) for s in range(8) for t in range(120)]
+    rows = [(s, max(r[1] for r in rows if r[0] == s and r[2] <= t), t, bad) for s, _, t, bad in rows]
+    want = {}
+    for s in range(8):
+        run = longest = opened = recovered = 0
+        for *_, bad in sorted(r for r in rows if r[0] == s):
+            if bad:
+                run += 1
+                opened += run == 3
+            else:
+                recovered += run >= 3
+                run = 0
+            longest = max(longest, run)
+        want[s] = (longest, opened, recovered, run)
+    found = ordered.streaks(spark.createDataFrame(rows, "s int, c int, t int, bad boolean"), "s", "c", ["t"], F.col("bad"))
+    assert {r.s: (r.longest_streak, r.opened, r.recovered, r.open_streak) for r in found.collect()} == want
+
+
+def test_key_components_of_a_long_chain(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/cp")
+    keys = spark.createDataFrame([(i, f"k{i + d}") for i in range(1000) for d in (0, 1)] + [(5000, "alone")], "pos long, key string")
+    found = {r["pos"]: r["component"] for r in graphs.key_components(keys).collect()}
+    assert found == {i: 0 for i in range(1000)} | {5000: 5000}
+
+
+def test_text_evidence_is_evaluated_once(spark):
+    plan = spark.createDataFrame([("x",)], "text string").select(sellers.text_signals(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 100 and len(plan) < 60_000
+
+
+def test_text_signals_of_mixed_texts(spark):
+    rows = [("Комісія 50%, є інші варіанти", "likely", ["inventory", "transaction"]), ("Я рієлтор, комісія", "confirmed", []), ("Без комісії. Покази щодня", "unknown", ["transaction"]), (None, "unknown", [])]
+    found = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string").select("i", sellers.text_signals(F.col("t")).alias("s")).collect()
+    assert [(r.s.level, sorted(r.s.families)) for r in sorted(found)] == [r[1:] for r in rows]
+
+
+def test_cursors_that_are_none(spark):
+    bad = ['{"target":"x","resumePage":2}', '{"target":"2024-01-01T00:00:00Z","resumePage":0}', '{"target":"2024-01-01T00:00:00Z","resumePage":1.5}', "{", "", None, "[]"]
+    df = spark.createDataFrame([(b,) for b in [*bad, '{"target":"2024-01-01T00:00:00.000Z","resumePage":3}']], "c string")
+    found = df.select(decisions.cursor(F.col("c")).alias("x")).collect()
+    assert [r.x is None for r in found] == [True] * len(bad) + [False] and found[-1].x.resume_page == 3
+
+
+def test_clips_end_between_characters(spark):
+    texts_ = ["", "abc", "їїї", "a😀b", "aїb" * 5, None]
+    for most in (1, 2, 3, 4, 5, 9):
+        got = [r.c for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "i int, t string").orderBy("i").select(pages.clipped(F.col("t"), most).alias("c")).collect()]
+        assert got == [None if t is None else t.encode()[:most].decode(errors="ignore") for t in texts_]
+
+
+def test_sources_are_chosen_by_their_settings():
+    assert sites.enabled_sources({"olx": True, "olx_browser": True, "lun": True}) == [("lun", "http"), ("olx", "browser")]
+    assert sites.enabled_sources({"olx": True}) == [("olx", "http")] and sites.enabled_sources({}) == []
+
+
+def test_shops_and_profiles(spark):
+    html = ['<a data-testid="seller-link" href="https://m.olx.ua/x"> https://Dom1.olx.ua/home/', '<a href="https://a-b.olx.ua/q" data-testid="user-profile-link">', "https://www.olx.ua/home/", "/uk/list/user/Ab1"]
+    found = spark.createDataFrame([(h,) for h in html], "h string").select(sites.shop_url(F.col("h")).alias("s"), sites.profile_path(F.col("h")).alias("p")).collect()
+    assert [tuple(r) for r in found] == [("https://dom1.olx.ua/uk/home/", None), ("https://a-b.olx.ua/uk/home/", None), (None, None), (None, "/uk/list/user/Ab1/")]
 
 
 def test_state_blobs():
@@ -127,6 +191,57 @@ def test_state_table_ignores_a_batch_it_has_seen(spark, tmp_path):
     assert [tuple(r) for r in kept.read().collect()] == [(1, 6)]
 
 
+def test_state_table_goes_on_after_a_restart(spark, tmp_path):
+    opened = lambda: stateful.StateTable(spark, f"file://{tmp_path}/s", "k int, v int", ["k"], ["v"], [], [], ["at"])
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, v int, at int")
+    opened().fold(rows((1, 5, 1)), 0, "a")
+    opened().fold(rows((2, 7, 1)), 1, "a")
+    opened().fold(rows((1, 9, 1)), 1, "a")  # seen
+    opened().fold(rows((3, 1, 1)), 0, "b")  # another stream
+    (tmp_path / "s" / "v4" / "data").mkdir(parents=True)  # a crash before the version was done
+    assert sorted(map(tuple, opened().read().collect())) == [(1, 5), (2, 7), (3, 1)]
+    opened().fold(rows((4, 4, 4)), 1, "b")
+    assert sorted(r["k"] for r in opened().read().collect()) == [1, 2, 3, 4]
+
+
+def test_holds_by_the_clock_on_any_key_column(spark, tmp_path):
+    put = lambda rows: spark.createDataFrame(rows, "id string, verdict string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([("a", "defer"), ("b", "defer"), ("c", "allow")])
+    stream = spark.readStream.schema("id string, verdict string").parquet(str(tmp_path / "in"))
+    writer = stateful.held_until(stream, "id", 20).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second")
+    query = writer.format("parquet").option("path", str(tmp_path / "out")).start()
+    seen = lambda: sum(p["numInputRows"] for p in query.recentProgress)
+    try:  # such a query never counts as idle, so it is watched
+        for rows in (3, 5):
+            for _ in range(60):
+                if seen() >= rows:
+                    break
+                query.awaitTermination(1)
+            if rows == 3:
+                put([("a", "defer"), ("b", "reject")])
+        query.awaitTermination(2)
+    finally:
+        query.stop()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [("b", "dropped"), ("c", "sent")]
+
+
+def test_keyed_state_outlives_a_run(spark, tmp_path):
+    place, schema = str(tmp_path / "in"), "key string, at long, tie long, ok boolean"
+    stream = lambda: stateful.source_health(spark.readStream.schema(schema).parquet(place))
+    spark.createDataFrame([("x", i, i, False) for i in range(4)], schema).write.mode("append").parquet(place)
+    first = stateful.run_latest(stream(), str(tmp_path / "run"), ["key"]).first()
+    spark.createDataFrame([("x", 9, 9, True), ("y", 1, 1, False)], schema).write.mode("append").parquet(place)
+    second = {r["key"]: tuple(r)[1:] for r in stateful.run_latest(stream(), str(tmp_path / "run"), ["key"]).collect()}
+    assert tuple(first) == ("x", 4, 4, 1, 0) and second == {"x": (0, 5, 1, 1), "y": (1, 1, 0, 0)}
+
+
+def test_migrations_keep_rows_and_are_not_taken_twice(spark):
+    old = spark.createDataFrame([(1, "a"), (2, None)], "customer long, label string")
+    new = state.migrated(old, 1, state.MIGRATIONS)
+    again = state.migrated(new, 3, state.MIGRATIONS)
+    assert sorted(map(tuple, again.collect())) == [(1, "a", "pending", "v1", 0), (2, None, "pending", "v1", 0)]
+
+
 def test_retention_keeps_undated_rows(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": [1, 2, 3], "at": pd.to_datetime(["2024-01-01", None, "2024-02-01"])}))
     assert {r["k"] for r in state.retained(df, "at", F.lit("2024-01-15").cast("timestamp")).collect()} == {2, 3}
