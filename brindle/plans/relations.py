@@ -274,7 +274,7 @@ _RANK = "list_position(['explicit_external_listing_id', 'explicit_external_url',
     "SELECT l.pos, h.duplicate_of, h.reasons, CASE WHEN h.duplicate_of IS NOT NULL THEN 'confirmed_duplicate' WHEN l.pos IN (SELECT pos FROM ps) THEN 'possible_duplicate' ELSE 'unique' END AS verdict FROM l LEFT JOIN hit h ON l.source = h.source AND l.source_id = h.source_id"
 )
 def win11_cls12_duplicate_verdict(spark, sf):
-    rows = _rounded(listings(spark, sf))
+    rows = _rounded(listings(spark, sf)).select("pos", "source", "source_id", "rooms", "area", "amount", "cur")
     keys = identity_keys(listings(spark, sf))
     overlaps = matching.attribute_overlap(rows, ["rooms", "area", "amount", "cur"], ["source_id"], F.expr("rooms > 0 and area > 0 and amount is not null and cur is not null"))
     return matching.verdicts(rows, matching.key_matches(keys.drop("pos"), keys), overlaps).select("pos", "duplicate_of", "reasons", "verdict")
