@@ -44,6 +44,16 @@ class Scheme:
         return [f"f{i}" for i in range(self.bits // 64)]
 
 
+#: Ways to find all pairs within four bits: few probes into tables of short segments, or many into those of long ones.
+SCHEMES = (Scheme(), Scheme(segments=(32, 32), radius=2))
+
+
+def scheme_for(count: int) -> Scheme:
+    """The one with the least work for so many fingerprints: probes, and the rows that each of them meets by chance. All find the same pairs."""
+    probes = lambda width, radius: sum(math.comb(width, k) for k in range(radius + 1))
+    return min(SCHEMES, key=lambda s: sum(probes(w, s.radius) * (1 + count / 2**w) for w in s.segments))
+
+
 def fingerprint(text: bytes, shingle: int, bits: int = 64) -> bytes:
     """Big-endian fingerprint: a bit is 1 if set in over half of the shingles' hashes; no words: zero."""
     found = text.lower().split()
@@ -111,18 +121,18 @@ def links(prints: DataFrame, scheme: Scheme) -> DataFrame:
     return probes.join(table.hint("shuffle_merge"), "key").where(f"a < b and {apart} <= {scheme.distance}").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
-    """doc_id, f0, ... and component_id, the smallest doc_id reachable over links, itself included.
+def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
+    """doc_id, f0, ... and component_id, the smallest doc_id reachable over links, itself included; without a scheme the best for the table's size.
 
     Equal fingerprints are one node, so copies add no pairs. Null or empty texts have fingerprint zero and link
     like any other; repeated rows stay; a null doc_id takes part but is never a component_id unless its component
     has no other; an empty table gives no rows; other columns are ignored.
     """
-    names = scheme.columns
+    names = (scheme or SCHEMES[0]).columns
     node = "f0" if len(names) == 1 else f"xxhash64({', '.join(names)})"
-    prints = written(fingerprints(docs, scheme), "fingerprints")
+    prints = written(fingerprints(docs, scheme or SCHEMES[0]), "fingerprints")
     nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", F.expr(node)), "nodes")
-    roots = components(links(nodes.select("node", *names), scheme))
+    roots = components(links(nodes.select("node", *names), scheme or scheme_for(nodes.count())))
     joined = roots.join(nodes.select("node", "least"), "node")
     lowest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = written(roots.join(lowest, "root").select("node", "component_id"), "linked")
@@ -304,5 +314,5 @@ def deduplicated(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     from brindle.llm.shared import documents
 
-    found = near_duplicates(documents(spark, sf_dir), Scheme())
+    found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -328,8 +328,10 @@ def test_all_links_within_the_radius_are_found(spark):
     values = sorted({b ^ sum(1 << p for p in random.sample(range(64), k)) for b in base for k in range(7) for _ in range(4)})
     signed = [(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)]
     df = prepared(spark).createDataFrame(signed, "node long, f0 long")
-    got = {tuple(r) for r in simhash.links(df, simhash.Scheme()).collect()}
-    assert got == {(a, b) for b in range(len(values)) for a in range(b) if (values[a] ^ values[b]).bit_count() <= 4}
+    for scheme in simhash.SCHEMES:
+        got = {tuple(r) for r in simhash.links(df, scheme).collect()}
+        assert got == {(a, b) for b in range(len(values)) for a in range(b) if (values[a] ^ values[b]).bit_count() <= 4}
+    assert [simhash.scheme_for(n).segments for n in (0, 10**6, 10**10)] == [(22, 21, 21), (22, 21, 21), (32, 32)]
 
 
 def test_components_of_chains_stars_and_repeats(spark):
