@@ -227,12 +227,19 @@ def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
     return rows.select("value", F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("size", "pos", *more)))
 
 
+def shared_rows(sets: DataFrame) -> DataFrame:
+    """(value, node, size, pos, hub): of the sets' rarest shingles (`sets`: node, size, rarest) those that several nodes have, and the first of these."""
+    rows = sets.select("node", "size", F.posexplode("rarest").alias("pos", "value"))
+    repeated = rows.groupBy("value").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("value", "hub")
+    return rows.join(repeated.hint("shuffle_merge"), "value")
+
+
 def hub_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of each row with the first node that has the same shingle: as many as there are rows, however many share a shingle."""
-    hubs = rows.groupBy("value").agg(F.min(F.struct("node", "size", "pos")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("value", "hub.*")
-    hubs = written(hubs, "hubs").hint("shuffle_merge")
-    either = _side(rows, "a").join(_side(hubs, "b"), "value").unionByName(_side(hubs, "a").join(_side(rows, "b"), "value"))
-    return _close(either, similarity)
+    hubs = rows.where("node = hub").hint("shuffle_merge")
+    joined = _side(rows, "a").join(_side(hubs, "b"), "value")
+    turned = joined.select("value", *(F.col(f"{c}{x}").alias(f"{c}{y}") for c in ("", "size_", "pos_") for x, y in (("a", "b"), ("b", "a"))))
+    return _close(joined.unionByName(turned), similarity)
 
 
 def other_pairs(rows: DataFrame, similarity: float) -> DataFrame:
@@ -260,10 +267,10 @@ def similar_components(docs: DataFrame, nodes: DataFrame, sets: DataFrame, shing
     First every node is compared with the first one of each shingle it is looked up by; in a group of near copies this links nearly all.
     Only nodes that this leaves in different components are then compared with each other, so no link between components is missed.
     """
-    rows = sets.select("node", "size", F.posexplode("rarest").alias("pos", "value"))
+    rows = written(shared_rows(sets), "shared")
     first = written(_similar(written(hub_pairs(rows, similarity), "pairs"), docs, nodes, shingle, similarity), "links")
     roots = written(components(first), "roots")
-    marked = rows.join(roots, "node", "left").select("node", "size", "pos", "value", F.coalesce("root", "node").alias("component"))
+    marked = rows.join(F.broadcast(roots) if small_or_none(roots) else roots, "node", "left").select("node", "size", "pos", "value", F.coalesce("root", "node").alias("component"))
     rest = written(_similar(written(other_pairs(marked, similarity), "pairs"), docs, nodes, shingle, similarity), "links")
     return components(first.union(rest))
 
@@ -272,7 +279,9 @@ def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     """Those of the pairs (a, b) that are as similar as that, by their whole sets."""
     ids = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least"), "node").select("node", "least.*"), "ends")
     rows = _rows(docs).select("doc_id", "content", "text").join(F.broadcast(ids) if small_or_none(ids) else ids, ["doc_id", "content"])
-    sets = written(shingle_sets(rows.select("node", "text"), shingle).dropDuplicates(["node"]), "sets")
+    sets = written(shingle_sets(rows.select("node", "text"), shingle), "sets")
+    if sets.count() > ids.count():  # repeated rows
+        sets = written(sets.dropDuplicates(["node"]), "sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("shingles").alias(f"shingles_{x}")) for x in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("shingles_a", "shingles_b")))
     return both.where(f"shared >= {similarity} * (size_a + size_b - shared)").select("a", "b")
