@@ -19,7 +19,7 @@ from brindle.llm.shared import chunks, documents, small_or_none, texts, written
 #: Words of a line, and the fewest words that a repeated run must have to go.
 LINE_WORDS, RUN_WORDS = 16, 50
 #: So many 64-bit keys are sent to all tasks; more are joined by a shuffle.
-BROADCAST_KEYS = 250_000
+BROADCAST_KEYS = 1_000_000
 #: The key that says that a document repeats itself.
 OWN = np.uint64(0)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
