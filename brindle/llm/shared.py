@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -42,12 +43,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """`df` as a table in the shared folder: its lineage is cut and survives lost executors.
 
-    `group_bytes`: about how much a writing task holds of it, for rows of megabytes.
+    `group_bytes`: about how much a writing task holds of it, for rows of megabytes. The shuffle files behind it are of no use any more;
+    Spark deletes them once the driver has collected what stands for them.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     options = {"parquet.block.size": group_bytes, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1} if group_bytes else {}
     df.write.options(**options).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
