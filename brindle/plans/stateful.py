@@ -288,7 +288,7 @@ def str2_str3_gate_marker(spark, sf):
 @query("SELECT page_id, page_id % 4 IN (0, 2) AND regexp_matches(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/+$', ''), '\\d(\\.html)?$') AS trusted FROM pages")
 def flt13_trusted_redirect(spark, sf):
     """Redirects of all pages: the host and the number in the path must be those asked for; www., query and fragment do not matter."""
-    moved = "case page_id % 4 when 0 then concat(url, '#top') when 1 then 'https://elsewhere.example.com/en/1' when 2 then replace(replace(url, '://www.', '://'), '://', '://www.') else concat(substring_index(url, '/', 3), '/x/999999999') end"
+    moved = "case page_id % 4 when 0 then concat(substring_index(url, '#', 1), '#top') when 1 then 'https://elsewhere.example.com/en/1' when 2 then replace(replace(url, '://www.', '://'), '://', '://www.') else concat(substring_index(url, '/', 3), '/x/999999999') end"
     return table(spark, sf, "pages").withColumn("final", F.expr(moved)).select("page_id", urls.same_target(F.col("url"), F.col("final")).alias("trusted"))
 
 
