@@ -134,7 +134,8 @@ def has_phrase(text: Column, phrases: list[str]) -> Column:
 
 def _labels(text: Column, rules: list[tuple[str, str, str]], before: str = "") -> Column:
     """Labels of the rules that match, in the rules' order."""
-    found = [F.when(text.rlike(("(?u)" if case else _FOLD) + before + "(?:" + pattern + ")"), F.lit(label)) for pattern, label, case in rules]
+    # what comes before is looked at only where the pattern itself would match
+    found = [F.when(text.rlike(("(?u)" if case else _FOLD) + "(?=" + pattern + ")" + before), F.lit(label)) for pattern, label, case in rules]
     return F.array_compact(F.array(*found))
 
 
@@ -155,7 +156,7 @@ def masked(text: Column) -> Column:
     return F.when(text.rlike(_FOLD + _joined(PROTECTED)), done).otherwise(text)
 
 
-_ANY_STRONG = "(?u)" + _NOT_NEGATED + _joined([("(?-i:" if case else "(?i:") + pattern + ")" for pattern, _, case in STRONG])
+_ANY_STRONG = "(?u)(?=" + _joined([("(?-i:" if case else "(?i:") + pattern + ")" for pattern, _, case in STRONG]) + ")" + _NOT_NEGATED
 
 
 def _signals(flat: Column) -> Column:
