@@ -55,8 +55,14 @@ def written(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Python workers live on from stage to stage: blocks of more than 128 KB go back to the system as soon as they are free, Arrow's too.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_ARENA_MAX": "2"}
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, and this package on the workers' path (on a cluster: --py-files or an image)."""
+    """Small Arrow batches, workers that give memory back, and this package on their path (on a cluster: --py-files or an image)."""
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
