@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -17,19 +18,28 @@ LEAF, GROWN = 64, 8
 class CountTree:
     """Characters and tokens of a text's pre-tokens, summed up a binary tree whose leaves hold runs of pre-tokens."""
 
-    def __init__(self, sizes: list[int], counts: list[int]):
+    def __init__(self, sizes: list[int] | np.ndarray, counts: list[int] | np.ndarray):
         self._build(sizes, counts)
 
-    def _build(self, sizes: list[int], counts: list[int]) -> None:
+    def _build(self, sizes: list[int] | np.ndarray, counts: list[int] | np.ndarray) -> None:
+        """Stored leaves stay slices of their array until an edit touches them."""
         self.sizes = [sizes[i : i + LEAF] for i in range(0, len(sizes), LEAF)] or [[]]
         self.counts = [counts[i : i + LEAF] for i in range(0, len(counts), LEAF)] or [[]]
         self.width = 1 << (len(self.sizes) - 1).bit_length()
         rest = [0] * (self.width - len(self.sizes))
-        self.chars = [0] * self.width + [sum(x) for x in self.sizes] + rest
-        self.tokens = [0] * self.width + [sum(x) for x in self.counts] + rest
+        self.chars = [0] * self.width + self._sums(sizes) + rest
+        self.tokens = [0] * self.width + self._sums(counts) + rest
         for node in range(self.width - 1, 0, -1):
             self._sum(node)
 
+    @staticmethod
+    def _sums(values: list[int] | np.ndarray) -> list[int]:
+        if not len(values):
+            return [0]
+        if isinstance(values, np.ndarray):
+            return np.add.reduceat(values, np.arange(0, len(values), LEAF), dtype=np.int64).tolist()
+        return [sum(values[i : i + LEAF]) for i in range(0, len(values), LEAF)]
+
     def _sum(self, node: int) -> None:
         self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
         self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
@@ -55,12 +65,12 @@ class CountTree:
     def replace(self, first: tuple[int, int], last: tuple[int, int], sizes: list[int], counts: list[int]) -> None:
         """Puts new pre-tokens in the place of those from `first` up to, without, `last` (leaf, index)."""
         (a, i), (b, j) = first, last
-        new_sizes, new_counts = self.sizes[a][:i] + sizes + self.sizes[b][j:], self.counts[a][:i] + counts + self.counts[b][j:]
+        new_sizes, new_counts = ([*map(int, x[a][:i]), *new, *map(int, x[b][j:])] for x, new in ((self.sizes, sizes), (self.counts, counts)))
         for leaf in range(a, b + 1):
             self.sizes[leaf], self.counts[leaf] = [], []
         self.sizes[a], self.counts[a] = new_sizes, new_counts
         if len(new_sizes) > GROWN * LEAF:
-            self._build([x for leaf in self.sizes for x in leaf], [x for leaf in self.counts for x in leaf])
+            self._build([int(x) for leaf in self.sizes for x in leaf], [int(x) for leaf in self.counts for x in leaf])
             return
         for leaf in range(a, b + 1):
             self.chars[self.width + leaf], self.tokens[self.width + leaf] = sum(self.sizes[leaf]), sum(self.counts[leaf])
@@ -71,20 +81,27 @@ class CountTree:
                 self._sum(node)
 
 
+def counted(text: str, tokenizer: Tokenizer) -> tuple[list[int], list[int]]:
+    """Characters and tokens of each pre-token."""
+    has_special = any(s in text for s in tokenizer.special)
+    found = [w for _, w in tokenizer.pieces(text)] if has_special else tokenizer.split(text)
+    return list(map(len, found)), tokenizer.counts(found)
+
+
+def _slices(lists: pa.Array) -> list[np.ndarray]:
+    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
 class CountedText:
     """A text with its tree. A special token's string is a pre-token of one token, as the encoder has it."""
 
-    def __init__(self, text: str, tokenizer: Tokenizer, sizes: list[int] | None = None, counts: list[int] | None = None):
+    def __init__(self, text: str, tokenizer: Tokenizer, sizes: np.ndarray | None = None, counts: np.ndarray | None = None):
         self.text, self.tokenizer, self.reencoded = text, tokenizer, 0
         if sizes is None or counts is None:
-            sizes, counts = self._counted(text)
+            sizes, counts = counted(text, tokenizer)
         self.tree = CountTree(sizes, counts)
 
-    def _counted(self, text: str) -> tuple[list[int], list[int]]:
-        has_special = any(s in text for s in self.tokenizer.special)
-        found = [w for _, w in self.tokenizer.pieces(text)] if has_special else self.tokenizer.split(text)
-        return list(map(len, found)), self.tokenizer.counts(found)
-
     def edit(self, start: int, end: int, new: str) -> None:
         """Replaces characters [start, end) by `new` and re-encodes the pre-tokens concerned.
 
@@ -98,7 +115,7 @@ class CountedText:
         tree = self.tree
         self.text = self.text[:start] + new + self.text[end:]
         if not tree.n_chars:
-            sizes, counts = self._counted(self.text)
+            sizes, counts = counted(self.text, self.tokenizer)
             self.reencoded += len(sizes)
             self.tree = CountTree(sizes, counts)
             return
@@ -142,8 +159,12 @@ def trees(docs: DataFrame, content: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = compiled(shared.value)
         for batch in batches:
-            made = [CountedText(t.decode(), tokenizer).tree for t in texts(batch.column("text"))]
-            leaves = [pa.array([[x for leaf in getattr(t, k) for x in leaf] for t in made], pa.list_(pa.int32())) for k in ("sizes", "counts")]
+            found, offsets = ([], []), [0]
+            for t in texts(batch.column("text")):
+                for values, more in zip(found, counted(t.decode(), tokenizer)):
+                    values += more
+                offsets.append(len(found[0]))
+            leaves = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(values, dtype=np.int32))) for values in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, *leaves], [*batch.schema.names, "__sizes", "__counts"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -165,13 +186,13 @@ def recounted(rows: DataFrame, content: str | None = None) -> DataFrame:
         tokenizer = compiled(shared.value)
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            leaves = [batch.column(n).to_pylist() for n in ("__sizes", "__counts")] if stored else None
+            leaves = [_slices(batch.column(n)) for n in ("__sizes", "__counts")] if stored else None
             for i, (raw, edits) in enumerate(zip(texts(batch.column("text")), batch.column("edits").to_pylist())):
-                counted = CountedText(raw.decode(), tokenizer, *(x[i] for x in leaves or ()))
-                before, pretokens = counted.tree.n_tokens, sum(map(len, counted.tree.sizes))
+                one = CountedText(raw.decode(), tokenizer, *(x[i] for x in leaves or ()))
+                before, pretokens = one.tree.n_tokens, sum(map(len, one.tree.sizes))
                 for e in edits or ():
-                    counted.edit(e["start"], e["end"], e["text"] or "")
-                for values, value in zip(out, (before, counted.tree.n_tokens, pretokens, counted.reencoded, counted.text)):
+                    one.edit(e["start"], e["end"], e["text"] or "")
+                for values, value in zip(out, (before, one.tree.n_tokens, pretokens, one.reencoded, one.text)):
                     values.append(value)
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(out, kinds))], ["doc_id", "n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded", "edited"])
