@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.bpe import op5_bpe
 from brindle.llm.canonical import op2_fingerprints
+from brindle.llm.divergence import OP12_SQL, op12_source_divergence
 from brindle.llm.edits import op10_token_counts
 from brindle.llm.kneser_ney import op1_lm_score
 from brindle.llm.licences import op8_licences
+from brindle.llm.monoid import op11_byte_bpe
 from brindle.llm.quality import op7_quality
 from brindle.llm.simhash import op4_simhash
 from brindle.llm.suffix import op9_decontamination
 from brindle.llm.warc import OP6_SQL, op6_warc
+from brindle.llm.whitening import op13_whitening
 from brindle.llm.winnow import op3_line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,7 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": OP6_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
