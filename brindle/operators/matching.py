@@ -103,6 +103,39 @@ def keepers(keys: DataFrame, components: DataFrame) -> DataFrame:
     return rows.repartition("component").sortWithinPartitions("component", "pos").mapInPandas(fold, "pos long, kept boolean")
 
 
+def first_come(keys: DataFrame) -> DataFrame:
+    """The rows (pos) of `keys` (pos, key) that share no key with a row kept before them, in the order of pos.
+
+    Rounds: a row that is the first of all its keys is kept, and those that share a key with it are not. Each round is a minimum a key, combined before the
+    shuffle, and equi-joins; nothing gathers the rows of a key or of a component in one task. The first row left is always decided, so this ends.
+    """
+    left, kept = keys.distinct().checkpoint(), []
+    while not left.isEmpty():
+        first = left.groupBy("key").agg(F.min("pos").alias("first"))
+        winners = left.join(first, "key").groupBy("pos").agg(F.bool_and(F.col("pos") == F.col("first")).alias("wins")).where("wins").select("pos").checkpoint()
+        kept.append(winners)
+        taken = left.join(winners, "pos", "left_semi").select("key").distinct()
+        decided = left.join(taken, "key", "left_semi").select("pos").distinct()
+        left = left.join(decided, "pos", "left_anti").checkpoint()
+    return reduce(DataFrame.union, kept) if kept else left.select("pos")
+
+
+def tied_to(keys: DataFrame, bad: DataFrame) -> DataFrame:
+    """(source, source_id) of the listings that share an explicit key with another one that is in `bad` (source, source_id).
+
+    A key's bad listings are told by the first and the last of them, among all and among those that name it explicitly: another one than
+    the listing itself is there if one of the two is not itself. So a key gives one row, not pairs.
+    """
+    who, explicit = F.struct("source", "source_id"), F.col("key_class") == "explicit_external"
+    usable = keys.where(~F.col("key").startswith("lun:"))
+    named = usable.join(bad.distinct(), ["source", "source_id"], "left_semi").groupBy("key").agg(
+        *(f(F.when(c, who)).alias(n) for n, f, c in (("lo", F.min, F.lit(True)), ("hi", F.max, F.lit(True)), ("lo_explicit", F.min, explicit), ("hi_explicit", F.max, explicit)))
+    )
+    other = lambda lo, hi: (F.col(lo) != who) | (F.col(hi) != who)
+    hit = F.when(explicit, other("lo", "hi")).otherwise(other("lo_explicit", "hi_explicit"))
+    return usable.join(named, "key").where(hit).select("source", "source_id").distinct()
+
+
 def live_cache(df: DataFrame, cache: DataFrame, key: list[str], now: Column) -> DataFrame:
     """`df` with the cached verdict of its key if that has not expired."""
     return df.join(cache.where(F.col("expires_at") > now), key, "left")
