@@ -32,6 +32,41 @@ def round_robin(df: DataFrame, first: str, source: str, order: list, limit: int)
     return turn.orderBy(F.desc(first), "turn", source).limit(limit)
 
 
+def consuming_round_robin(df: DataFrame, first: str, source: str, place: str, key: list[str], cap: int) -> DataFrame:
+    """At most `cap` rows with their order `rank`: rows with `first`, then all that are left, in each phase a row a source and pass; duplicates are used up without being kept.
+
+    A pass in which every source's next row is a duplicate ends its phase, whatever comes after it. `key` tells duplicates and contains the source. With `cap` rows or
+    fewer all are kept, duplicates too. A row's pass is its number in its source, which is counted over chunks; the pass that ends a phase is the first
+    without a fresh row, so nothing is done pass by pass.
+    """
+    from brindle.operators.walks import running
+
+    if df.limit(cap + 1).count() <= cap:
+        return df.withColumn("rank", F.row_number().over(Window.orderBy(place)))  # `cap` rows at most
+
+    def phase(rows: DataFrame, taken: DataFrame | None, left: int) -> tuple[DataFrame, int]:
+        turns = running(rows, source, place, {"turn": ("sum", F.lit(1))})
+        fresh = turns.groupBy(*key).agg(F.min("turn").alias("turn")).withColumn("fresh", F.lit(True))
+        fresh = fresh if taken is None else fresh.join(taken.select(*key).distinct(), key, "left_anti")
+        marked = turns.join(fresh, [*key, "turn"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+        end = marked.groupBy("turn").agg(F.bool_or("fresh").alias("any")).agg(F.min(F.when(~F.col("any"), F.col("turn"))), F.max("turn") + 1).first()
+        end = end[0] if end[0] is not None else end[1]
+        kept = marked.where(F.col("fresh") & (F.col("turn") < end)).orderBy("turn", source).limit(left)
+        return marked.withColumn("used", F.col("turn") <= end).join(kept.select(*key, "turn").withColumn("kept", F.lit(True)), [*key, "turn"], "left"), end
+
+    preferred, _ = phase(df.where(F.col(first)), None, cap)
+    preferred = preferred.checkpoint()
+    one = preferred.where("kept")
+    n = one.count()
+    rest = df.where(~F.col(first)).unionByName(preferred.where("not used").select(*df.columns))
+    parts = [one.select(*df.columns, "turn", F.lit(0).alias("phase"))]
+    if n < cap:
+        second, _ = phase(rest, one, cap - n)
+        parts.append(second.where("kept").select(*df.columns, "turn", F.lit(1).alias("phase")))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return both.withColumn("rank", F.row_number().over(Window.orderBy("phase", "turn", source))).drop("phase", "turn")  # `cap` rows at most
+
+
 def last_distinct(df: DataFrame, by: str, key: str, order: list, n: int) -> DataFrame:
     """The last `n` different keys of each group, in the order of their first appearance."""
     first = keep_first(df, [by, key], order)

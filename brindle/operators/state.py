@@ -25,6 +25,63 @@ def merged(state: DataFrame, batch: DataFrame, key: list[str], latest: list[str]
     )
 
 
+def merged_unique(state: DataFrame, batch: DataFrame, keys: list[str], latest: list[str], least: list[str], most: list[str]) -> DataFrame:
+    """`state` with `batch` folded in, where each of `keys` is unique by itself: rows that clash on any, directly or through others, become one.
+
+    Of such rows the one with the lowest `pos` gives its keys; all their keys stay in `aliases` (array of strings, in `state` only), so that a row that was merged is
+    known again by any of them, and folds give the same in any number of batches; folding one again changes nothing. `latest` keeps the old value when the new one is null,
+    the highest `pos` counts; minima and maxima are kept in `least` and `most`. Rows that clash are components over equal keys (null keys tie nothing).
+    """
+    from brindle.operators.graphs import key_components
+
+    own = F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in keys)))
+    old = state.withColumns({"__new": F.lit(0), "aliases": F.array_union("aliases", own)})
+    rows = old.unionByName(batch.withColumns({"__new": F.lit(1), "aliases": own}))
+    tied = rows.select("pos", F.explode("aliases").alias("key")).distinct().checkpoint()
+    found = rows.join(key_components(tied), "pos", "left").withColumn("component", F.coalesce("component", "pos")).checkpoint()
+    order = F.struct("__new", "pos")
+    known = found.select("component", F.explode("aliases").alias("alias")).groupBy("component").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    folded = found.groupBy("component").agg(
+        *(F.min_by(c, F.struct("pos", "__new")).alias(c) for c in ["pos", *keys]),
+        *(F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in latest),
+        *(F.min(c).alias(c) for c in least),
+        *(F.max(c).alias(c) for c in most),
+    )
+    return folded.join(known, "component", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))).select(*state.columns)
+
+
+def recent_distinct(state: DataFrame, batch: DataFrame, by: str, value: str, at: str, n: int) -> DataFrame:
+    """(by, value, at): of each group the last `n` different values in the order of their first appearance, `state` (the same columns) before `batch`.
+
+    A value that is known keeps its place. Minima by value combine before the shuffle, and the rank is limited to `n` before it too; what is stored is
+    bounded by `n` a group. A value that was dropped and comes again counts as new.
+    """
+    both = state.select(by, value, at).unionByName(batch.select(by, value, at)).where(F.col(value).isNotNull())
+    first = both.groupBy(by, value).agg(F.min(at).alias(at))
+    last = Window.partitionBy(by).orderBy(F.desc(at), F.desc(value))
+    return first.withColumn("__rank", F.row_number().over(last)).where(f"__rank <= {n}").drop("__rank")
+
+
+#: Days that rows of each table are kept, and days between two clean-ups.
+RETENTION_DAYS = {"outbox": 30, "verdicts": 0, "holds": 1, "profiles": 90, "traces": 14}
+CLEANUP_DAYS = 1
+
+
+def cleaned(tables: dict[str, DataFrame], now: Column, last_cleanup: Column) -> dict[str, DataFrame]:
+    """Tables with a column `at` without what is past its time, or as they are if the last clean-up is less than a day ago.
+
+    Of the outbox only sent messages go; verdicts go when they run out, holds a day after their deadline; undated rows stay.
+    """
+    due = last_cleanup.isNull() | (now - last_cleanup >= F.expr(f"interval {CLEANUP_DAYS} days"))
+    out = {}
+    for name, df in tables.items():
+        gone = F.col("at") < now - F.expr(f"interval {RETENTION_DAYS[name]} days")
+        if name == "outbox":
+            gone = gone & (F.col("status") == "sent")
+        out[name] = df.where(~F.coalesce(gone & due, F.lit(False)))
+    return out
+
+
 def inserted_or_ignored(state: DataFrame, batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """`state` and the first row of each new key; rows whose key is there are ignored."""
     first = batch.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n <= 1").drop("__n")
