@@ -28,6 +28,8 @@ TOP = 200
 HELD_TERMS, PART_BYTES = 600_000, 2 << 20
 #: Rows in a batch that is emitted; pairs that the scan adds up before it emits them.
 EMITTED, HELD_PAIRS = 50_000, 1_000_000
+#: Sorted rows that the scan looks at together.
+SCANNED_ROWS = 60_000
 
 #: Bytes of `[^\x00-\x40\x5B-\x60\x7B-\x7F]+` with A-Z lower-cased; all others become spaces. Bytes of 0x80 and above belong to terms.
 _FOLD = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 0x20 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -105,6 +107,20 @@ def _folded(batch: pa.Table) -> pa.Table:
     return pa.table([lang.take(pa.array(at)), term.take(pa.array(at)), source.take(pa.array(at)), *sums], names=["lang", "term", "source", "docs", "count"])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together, since work on small ones is mostly calls."""
+    waiting, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch.select(["lang", "term", "source", "docs", "count"]))
+            n += batch.num_rows
+        if n >= SCANNED_ROWS:
+            yield pa.Table.from_batches(waiting)
+            waiting, n = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
 def _scanned_rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
     kinds = {"lang": pa.string(), "term": pa.string(), "source": pa.string(), "other": pa.string(), "count": pa.int64(), "other_count": pa.int64(), "total": pa.int64(), "first": pa.bool_(), "terms": pa.int64()}
     return pa.RecordBatch.from_arrays([columns[c].cast(k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], list(kinds))
@@ -156,10 +172,7 @@ def scanned(sorted_blocks: DataFrame, min_docs: int) -> DataFrame:
                     yield from _added(pairs)
                     pairs, waiting = [], 0
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch]).select(["lang", "term", "source", "docs", "count"])
+        for now in _gathered(batches):
             rows = _folded(pa.concat_tables([held, now]) if held is not None else now)
             last = int(_starts(rows.column("lang").combine_chunks(), rows.column("term").combine_chunks())[-1])  # the last term may go on: a row a source
             if last:
