@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.plans import cycle, extraction, keeping, records, relations, sites, stateful, walks  # noqa: F401
+from brindle.plans import cycle, extraction, keeping, records, relations, sites, stateful, streams, walks  # noqa: F401
 from brindle.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "agg7_inventory_audit"

@@ -110,7 +110,9 @@ class Folding(StatefulProcessor):
             state, more = self.step(state, row)
             out += more
         self.state.update(state)
-        yield self.result(key, state, out)
+        frame = self.result(key, state, out)
+        if len(frame):  # Arrow makes no string array of an empty column
+            yield frame
 
     def close(self) -> None:
         pass
