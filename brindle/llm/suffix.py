@@ -1,4 +1,9 @@
-"""Benchmark decontamination over suffix arrays of the training texts."""
+"""Benchmark decontamination over suffix arrays of the training texts.
+
+Two results from the same search: `coverage` (which words lie in passages of the benchmark, and which items they are from; what the query and the pipeline ask
+for) takes every range of a suffix array once, however many windows of items have it and however often it occurs; `matches` lists every maximal match of every item, whose number is
+a product for texts and items that say one thing over and over.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -280,21 +286,236 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFram
     return joined.select("doc_id", F.col("content").alias("__content"), F.col("n_words").alias("__n_words"), F.coalesce("n_hit", F.lit(0)).alias("__n_hit"), F.coalesce("matches", F.expr(f"cast(array() as {_MATCHES_DDL})")).alias("__matches"))
 
 
-CONTAMINATED = "__n_hit > 0 and 20 * __n_hit >= __n_words"
+#: Windows looked up, occurrences, and (text, item) pairs looked at together.
+LOOKED_UP, TOGETHER = 50_000, 1_000_000
+_PASSAGES = pa.list_(pa.struct([("doc_pos", pa.int32()), ("n_words", pa.int32())]))
+_COVERED_DDL = "n_words bigint, n_hit bigint, passages array<struct<doc_pos:int,n_words:int>>, items array<string>"
+
+
+class Tests:
+    """A block of items: the symbols of all their words, and where their windows begin."""
+
+    def __init__(self, rows: list[tuple[str, str | None]], window: int):
+        self.ids, self.window = pa.array([r[0] for r in rows], pa.string()), window
+        self.found = words.split([(t or "").encode() for _, t in rows], words.ALNUM)
+        symbol = symbols(self.found.hashes()) if len(self.found) else np.empty(0, dtype=np.uint64)
+        self.symbol = np.append(symbol, np.zeros(window, dtype=np.uint64))
+        n = np.diff(self.found.first)
+        count = np.where(n > 0, np.maximum(1, n - window + 1), 0)
+        self.item = np.repeat(np.arange(len(n)), count)
+        self.at = self.found.first[self.item] + np.arange(len(self.item)) - np.repeat(np.cumsum(count) - count, count)
+        self.size = np.minimum(window, n)[self.item]
+
+
+def _binary(found: words.Words, which: np.ndarray) -> pa.Array:
+    """Words as an Arrow array, without an object each."""
+    start, size = found.start[which], found.end[which] - found.start[which]
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+    data = found.buf[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)]
+    return pa.Array.from_buffers(pa.large_binary(), len(which), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _ranges(low: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """low[0], low[0] + 1, ..., low[1], ...: `many` of each."""
+    return np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+
+
+def shard_coverage(found: words.Words, shard: Shard, tests: Tests) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """n_hit, passages and items of each text of a shard.
+
+    Ranges of windows of one length are the same or have nothing in common, so the occurrences of all different ones are no more than the shard's words for each length. Windows
+    of equal words are told apart from those of equal symbols by numbering the shard's words exactly.
+    """
+    texts_, window = len(found.first) - 1, tests.window
+    base = found.first + np.arange(len(found.first))
+    live, low, high = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for a in range(0, len(tests.item) if len(found) else 0, LOOKED_UP):
+        at, size = tests.at[a : a + LOOKED_UP], tests.size[a : a + LOOKED_UP]
+        lo, hi = shard.find(tests.symbol[at[:, None] + np.arange(window)], size)
+        there = np.flatnonzero(lo < hi)
+        for held, part in ((live, there + a), (low, lo[there]), (high, hi[there])):
+            held.append(part.astype(np.int64))
+    query, low, high = (np.concatenate(x) for x in (live, low, high))
+    step = np.zeros(base[-1] + 1, dtype=np.int64)
+    pairs = np.empty((0, 2), dtype=np.int64)
+    if len(query):
+        known = _binary(found, np.arange(len(found))).dictionary_encode()
+        number = np.full(base[-1] + window, -1, dtype=np.int64)
+        number[np.arange(len(found)) + found.doc()] = known.indices.to_numpy()
+        places, size = tests.at[query][:, None] + np.arange(window), tests.size[query]
+        inside = np.arange(window) < size[:, None]
+        asked = np.unique(places[inside])
+        theirs = pc.fill_null(pc.index_in(_binary(tests.found, asked), value_set=known.dictionary), -2).to_numpy()
+        exact = np.where(inside, theirs[np.minimum(np.searchsorted(asked, places), len(asked) - 1)], -3)
+        same = ~(exact == -2).any(axis=1)
+        query, low, high, exact, size = query[same], low[same], high[same], exact[same], size[same]
+    if len(query):
+        exact, first, of = np.unique(exact, axis=0, return_index=True, return_inverse=True)
+        low, many, size, of = low[first], high[first] - low[first], size[first], of.ravel()
+        begin = 0
+        while begin < len(low):  # ranges of a million occurrences together, or one longer range
+            end = begin + max(1, int(np.searchsorted(np.cumsum(many[begin:]), TOGETHER, side="right")))
+            window_of = np.repeat(np.arange(begin, end), many[begin:end])
+            at = shard.order[_ranges(low[begin:end], many[begin:end])].astype(np.int64)
+            right = np.ones(len(at), dtype=bool)
+            for k in range(window):
+                wanted = exact[window_of, k]
+                right &= (wanted == -3) | (number[at + k] == wanted)
+            window_of, at = window_of[right], at[right]
+            np.add.at(step, at, 1)
+            np.add.at(step, at + size[window_of], -1)
+            text = np.searchsorted(base, at, side="right") - 1
+            pairs = np.unique(np.concatenate([pairs, np.unique(np.stack([text, window_of], axis=1), axis=0)]), axis=0)
+            begin = end
+    hit = np.append(np.cumsum(step)[:-1] > 0, False)
+    sums = np.concatenate(([0], np.cumsum(hit)))
+    n_hit = sums[base[1:]] - sums[base[:-1]]
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8)))))
+    start, end = edges[0::2], edges[1::2]
+    text = np.searchsorted(base, start, side="right") - 1
+    fields = [pa.array((start - base[text]).astype(np.int32)), pa.array((end - start).astype(np.int32))]
+    passages = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(texts_ + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, fields=list(_PASSAGES.value_type)))
+    owners = np.empty((0, 2), dtype=np.int64)
+    if len(pairs):
+        items_of = np.unique(np.stack([of, tests.item[query]], axis=1), axis=0)
+        lo = np.searchsorted(items_of[:, 0], pairs[:, 1], side="left")
+        many = np.searchsorted(items_of[:, 0], pairs[:, 1], side="right") - lo
+        begin = 0
+        while begin < len(pairs):
+            end = begin + max(1, int(np.searchsorted(np.cumsum(many[begin:]), TOGETHER, side="right")))
+            each = np.stack([np.repeat(pairs[begin:end, 0], many[begin:end]), items_of[_ranges(lo[begin:end], many[begin:end]), 1]], axis=1)
+            owners = np.unique(np.concatenate([owners, each]), axis=0)
+            begin = end
+    items = pa.ListArray.from_arrays(pa.array(np.searchsorted(owners[:, 0], np.arange(texts_ + 1)).astype(np.int32)), tests.ids.take(pa.array(owners[:, 1])))
+    return n_hit, passages, items
+
+
+def _shards(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows of about SHARD_BYTES of text together, and their texts; a longer text is alone."""
+    held, raws, size = [], [], 0
+    for batch in batches:
+        raw = texts(batch.column(column))
+        for lo, hi in chunks(raw, SHARD_BYTES // 4):
+            more = sum(map(len, raw[lo:hi]))
+            if held and size + more > SHARD_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], raws
+                held, raws, size = [], [], 0
+            held.append(batch.slice(lo, hi - lo))
+            raws += raw[lo:hi]
+            size += more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], raws
+
+
+def _dirty(n_words: np.ndarray, n_hit: np.ndarray) -> np.ndarray:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def _read_once(docs: DataFrame, rows: list[tuple[str, str | None]], window: int, clean: bool) -> DataFrame:
+    """One block of items: shards are searched as soon as they are ordered, and nothing is stored or shuffled. `clean`: the rows of `docs` that stay; else doc_id and its coverage."""
+    shared = docs.sparkSession.sparkContext.broadcast((rows, window))  # BLOCK_BYTES of text
+    column = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = Tests(*shared.value)
+        for batch, raw in _shards(batches, column):
+            found = words.split(raw, words.ALNUM)
+            n_words = np.diff(found.first)
+            n_hit, passages, items = shard_coverage(found, Shard(sequence_of(found), window), tests)
+            if clean:
+                yield batch.filter(pa.array(~_dirty(n_words, n_hit)))
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), passages, items], ["doc_id", "n_words", "n_hit", "passages", "items"])
+
+    return docs.mapInArrow(run, docs.schema if clean else f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_COVERED_DDL}")
+
+
+def _blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The items with their block, and the number of blocks of about BLOCK_BYTES."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / BLOCK_BYTES))
+    return items.withColumn("block", F.expr(f"pmod(xxhash64(item_id, text), {blocks})")), blocks
+
+
+def _rows_of(dealt: DataFrame, block: int) -> list[tuple[str, str | None]]:
+    return [(r[0], r[1]) for r in dealt.where(f"block = {block}").select("item_id", "text").collect()]  # about BLOCK_BYTES
+
+
+def _hits_by_block(docs: DataFrame, dealt: DataFrame, blocks: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """(index, hits) for many blocks of items: the arrays are ordered once and stored, and read for each block; hits are put together by text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    index, dealt = written(indexed(docs, window), "suffixes", group_bytes=8 << 20), written(dealt, "items")
+    hits = None
+
+    def searching(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tests = Tests(*shared.value)
+            for batch in batches:
+                for k in range(len(batch)):
+                    rows, found = batch.column(0)[k].values, words.split(batch.column(1)[k].values.to_pylist(), words.ALNUM)
+                    order = np.frombuffer(batch.column(2)[k].as_buffer(), dtype="<i4")
+                    n_hit, passages, items = shard_coverage(found, Shard(sequence_of(found), window, order), tests)
+                    there = pa.array(np.flatnonzero(n_hit))
+                    yield pa.RecordBatch.from_arrays([*(rows.take(there).field(c) for c in ("doc_id", "content", "n_words")), pa.array(n_hit, pa.int64()).take(there), passages.take(there), items.take(there)], ["doc_id", "content", "n_words", "n_hit", "passages", "items"])
+
+        return run
+
+    for b in range(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast((_rows_of(dealt, b), window))
+        part = written(index.mapInArrow(searching(shared), f"doc_id {kind}, content bigint, {_COVERED_DDL}").dropDuplicates(["doc_id", "content"]), "hits")  # equal texts have equal hits
+        shared.unpersist()
+        hits = part if hits is None else hits.union(part)
+    merged = hits.groupBy("doc_id", "content").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("passages")).alias("passages"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, counts = batch.column("passages"), batch.column("n_words").to_numpy(zero_copy_only=False)
+            text = np.repeat(np.arange(len(batch)), np.diff(held.offsets.to_numpy()))
+            start, size = (held.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), batch.column("n_words"), pa.array(covered(counts, text, start, size), pa.int64()), held, batch.column("items")], ["doc_id", "content", "n_words", "n_hit", "passages", "items"])
+
+    return index, written(merged.mapInArrow(united, f"doc_id {kind}, content bigint, {_COVERED_DDL}"), "covered")
+
+
+def coverage(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """doc_id, n_words, n_hit (words in passages of the benchmark), passages (doc_pos, n_words: runs of such words) and items (their ids) of every row of `docs`.
+
+    Null and empty texts have no words; items without words match nothing; item ids may be of any type and count as strings, a null one as the empty string; repeated
+    rows have the same each, repeated items add nothing; empty tables give no rows or no hits; other columns are not read. With several blocks of items a passage may be told in
+    parts that overlap.
+    """
+    docs = docs.select("doc_id", "text")
+    dealt, blocks = _blocks(benchmark)
+    if blocks == 1:
+        return _read_once(docs, _rows_of(dealt, 0), window, clean=False)
+    index, hits = _hits_by_block(docs, dealt, blocks, window)
+    every = index.select(F.explode("rows").alias("r")).select("r.*")
+    right = hits.select(F.col("doc_id").alias("of"), F.col("content").alias("text"), "n_hit", "passages", "items")
+    joined = every.join(right, every["doc_id"].eqNullSafe(right["of"]) & (every["content"] == right["text"]), "left")
+    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("passages", F.expr("cast(array() as array<struct<doc_pos:int,n_words:int>>)")).alias("passages"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+
+
+CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """`docs` without those of which at least a twentieth of the words lie in verbatim matches."""
-    _, hits = found_texts(docs, benchmark, window)
-    gone = hits.where("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("doc_id").alias("__of"), F.col("content").alias("__text"))
+    """`docs` without those of which at least a twentieth of the words lie in passages of the benchmark. Odd rows as in `coverage`; columns of any name stay as they are."""
+    dealt, blocks = _blocks(benchmark)
+    if blocks == 1:
+        return _read_once(docs, _rows_of(dealt, 0), window, clean=True)
+    _, hits = _hits_by_block(docs, dealt, blocks, window)
+    gone = hits.where(CONTAMINATED).select(F.col("doc_id").alias("of"), "content")
     gone = F.broadcast(gone) if small_or_none(gone) else gone
-    keyed = docs.withColumn("__content", F.xxhash64("text"))
-    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__of"]) & (keyed["__content"] == gone["__text"]), "left_anti").select(*docs.columns)
+    hashed = F.xxhash64(docs["text"])
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["of"]) & (hashed == gone["content"]), "left_anti")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = matches(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = "array_sort(array_distinct(transform(__matches, m -> m.item_id)))"
+    """All documents against all items, with the longest passage of each."""
+    found = coverage(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    longest = "array_max(transform(passages, p -> struct(p.n_words as n, -p.doc_pos as place)))"
+    found = found.withColumns({"sorted": F.array_sort("items"), "longest": F.expr(longest)})
     return found.selectExpr(
-        "doc_id", "__n_words as n_words", "__n_hit as n_hit", f"cast(size({ids}) as bigint) as n_items", f"sha2(array_join({ids}, ','), 256) as items_sha256", f"{CONTAMINATED} as contaminated"
+        "doc_id", "n_words", "n_hit", "cast(size(sorted) as bigint) as n_items", "sha2(array_join(sorted, ','), 256) as items_sha256", f"{CONTAMINATED} as contaminated", "coalesce(longest.n, 0) as longest_words", "-longest.place as longest_at"
     )

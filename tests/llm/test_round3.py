@@ -225,3 +225,68 @@ def test_whitening_odd_inputs(spark):
 def test_deviations_beyond_longs():
     fit = whitening.Fit(2, 3 * 10**9, [3 * 10**9, 5])
     assert fit.deviations(np.array([[1, 0], [2, 0], [4, 0]])) == [25, 9 * 10**18 + 25, None]
+
+
+# --- decontamination ---------------------------------------------------------------------------------------------------
+
+
+def covered_by_brute_force(text, items, window=13):
+    ws = divergence_words(text)
+    hit, found = [False] * len(ws), set()
+    for i, t in items:
+        theirs = divergence_words(t)
+        n = min(window, len(theirs))
+        for q in range(len(theirs) - n + 1 if n else 0):
+            for p in range(len(ws) - n + 1):
+                if ws[p : p + n] == theirs[q : q + n]:
+                    hit[p : p + n] = [True] * n
+                    found.add("" if i is None else str(i))
+    return len(ws), sum(hit), sorted(found)
+
+
+def divergence_words(text):
+    import re
+
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+@pytest.mark.parametrize("block,shard", [(16 << 20, 2 << 20), (60, 2 << 20), (16 << 20, 150)])
+def test_coverage_of_repetitive_texts_equals_brute_force(spark, monkeypatch, block, shard):
+    from brindle.llm import suffix
+
+    prepared(spark)
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffix, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix, "TOGETHER", 7)
+    monkeypatch.setattr(suffix, "LOOKED_UP", 5)
+    r = random.Random(11)
+    say = lambda n: " ".join(r.choice(["go", "Yes", "no"] if r.random() < 0.5 else ["go"]) for _ in range(n))
+    items = [(i, say(r.choice([1, 2, 5, 13, 20, 40]))) for i in range(12)] + [(3, "yes"), (None, "go"), (50, None), (51, "..."), (52, "absent"), (53, "yes")]
+    docs = [(i, say(r.randint(0, 60))) for i in range(25)] + [(None, None), (7, "yes"), (7, "yes"), (9, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' as content", "1 as n_hit", "2 as of", "3 as __content")
+    want = sorted(repr((i, *covered_by_brute_force(t, items))) for i, t in docs)
+    found = suffix.coverage(rows, bench).collect()
+    assert sorted(repr((x.doc_id, x.n_words, x.n_hit, sorted(x["items"]))) for x in found) == want
+    assert all(x.n_hit == len({k for p in x.passages for k in range(p.doc_pos, p.doc_pos + p.n_words)}) for x in found)
+    left = suffix.decontaminated(rows, bench)
+    assert left.columns == rows.columns
+    clean = [(i, t) for i, t in docs for n, hit, _ in [covered_by_brute_force(t, items)] if not (hit and 20 * hit >= n)]
+    assert sorted(map(repr, ((x.doc_id, x.text) for x in left.collect()))) == sorted(map(repr, clean))
+
+
+def test_coverage_takes_each_range_once():
+    """One word over and over, in items and texts, and ten thousand items of one word: time and memory do not grow with their product."""
+    import resource
+    import time
+
+    from brindle.llm import suffix, words
+
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    raw = [b"go " * 500_000, b"yes " * 5_000]
+    found = words.split(raw, words.ALNUM)
+    tests = suffix.Tests([("long", "go " * 5_000), *((str(i), "yes") for i in range(10_000))], 13)
+    n_hit, passages, items = suffix.shard_coverage(found, suffix.Shard(suffix.sequence_of(found), 13), tests)
+    assert n_hit.tolist() == [500_000, 5_000] and passages.to_pylist() == [[{"doc_pos": 0, "n_words": 500_000}], [{"doc_pos": 0, "n_words": 5_000}]]
+    assert items[0].as_py() == ["long"] and len(items[1]) == 10_000
+    assert time.time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
