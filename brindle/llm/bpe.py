@@ -18,10 +18,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from brindle.llm.pretokens import splitter
 from brindle.llm.shared import digest_hex, documents, texts
 
-#: Splits text before the merges: what a tokenizer file means by a pre-tokenizer ByteLevel with use_regex, which does not spell it out.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NEVER = 1 << 60
 #: Words (and bytes of words) whose encodings a worker keeps; beyond that it forgets all and begins anew.
 CACHE_WORDS, CACHE_BYTES = 250_000, 16 << 20
@@ -127,8 +126,8 @@ class Tokenizer:
 
     def __init__(self, content: str):
         spec = json.loads(content)
-        splitter = spec["pre_tokenizer"]
-        if splitter["type"] != "ByteLevel" or not splitter.get("use_regex", True) or splitter["add_prefix_space"] or spec["normalizer"]:
+        before = spec["pre_tokenizer"]
+        if before["type"] != "ByteLevel" or not before.get("use_regex", True) or before["add_prefix_space"] or spec["normalizer"]:
             raise ValueError("only files with a plain ByteLevel pre-tokenizer and no normalizer are understood")
         alphabet = byte_alphabet()
         to_bytes = lambda t: bytes(alphabet[c] for c in t)
@@ -136,8 +135,8 @@ class Tokenizer:
         self.automaton = Automaton({to_bytes(t): i for t, i in spec["model"]["vocab"].items()}, [(to_bytes(a), to_bytes(b)) for a, b in merges])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels = self.automaton.labels | {i: t.encode() for t, i in self.special.items()}
-        pattern = regex.compile(PATTERN)
-        self.split, self.finditer = pattern.findall, pattern.finditer
+        self.pattern = splitter().of
+        self.split = splitter().findall
         by_length = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
         self.numerals = {i: str(i) for i in self.labels}
@@ -178,10 +177,11 @@ class Tokenizer:
 
     def pieces(self, text: str, begin: int = 0) -> Iterator[tuple[int, str]]:
         """(place, string) of the pre-tokens from place `begin` on, special tokens' strings among them; `begin` is where one starts."""
+        finditer = self.pattern(text).finditer
         while True:
             special = self.specials.search(text, begin) if self.specials else None
             end = special.start() if special else len(text)
-            for match in self.finditer(text, begin, end):
+            for match in finditer(text, begin, end):
                 yield match.start(), match.group()
             if not special:
                 return

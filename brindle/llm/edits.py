@@ -1,8 +1,13 @@
-"""Token counts that follow edits: a segment tree over each document's pre-tokens."""
+"""Token counts that follow edits: a segment tree over each document's pre-tokens.
+
+A leaf stands for a run of pre-tokens and holds how many characters, tokens and pre-tokens it has; inner nodes hold sums. The pre-tokens of a leaf are
+found again by splitting its part of the text, so a stored tree is a few numbers for every 64 pre-tokens, and an edit looks only at the leaves
+where it begins and ends.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,74 +16,78 @@ from pyspark.sql import DataFrame
 from brindle.llm.bpe import Tokenizer, compiled, tokenizer_file
 from brindle.llm.shared import documents, texts, written
 
-#: Pre-tokens in a leaf; a leaf of more than GROWN times as many has the tree built anew.
+#: Pre-tokens in a leaf; a leaf of more than GROWN times as many is divided.
 LEAF, GROWN = 64, 8
+_SUMS = ("chars", "tokens", "pieces")
+#: Columns of a stored tree: each an array of inner nodes and leaves, node n over 2 n and 2 n + 1.
+STORED = [f"__{s}" for s in _SUMS]
 
 
 class CountTree:
-    """Characters and tokens of a text's pre-tokens, summed up a binary tree whose leaves hold runs of pre-tokens."""
-
-    def __init__(self, sizes: list[int] | np.ndarray, counts: list[int] | np.ndarray):
-        self._build(sizes, counts)
-
-    def _build(self, sizes: list[int] | np.ndarray, counts: list[int] | np.ndarray) -> None:
-        """Stored leaves stay slices of their array until an edit touches them."""
-        self.sizes = [sizes[i : i + LEAF] for i in range(0, len(sizes), LEAF)] or [[]]
-        self.counts = [counts[i : i + LEAF] for i in range(0, len(counts), LEAF)] or [[]]
-        self.width = 1 << (len(self.sizes) - 1).bit_length()
-        rest = [0] * (self.width - len(self.sizes))
-        self.chars = [0] * self.width + self._sums(sizes) + rest
-        self.tokens = [0] * self.width + self._sums(counts) + rest
-        for node in range(self.width - 1, 0, -1):
-            self._sum(node)
-
-    @staticmethod
-    def _sums(values: list[int] | np.ndarray) -> list[int]:
-        if not len(values):
-            return [0]
-        if isinstance(values, np.ndarray):
-            return np.add.reduceat(values, np.arange(0, len(values), LEAF), dtype=np.int64).tolist()
-        return [sum(values[i : i + LEAF]) for i in range(0, len(values), LEAF)]
-
-    def _sum(self, node: int) -> None:
-        self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-        self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
+    """Characters, tokens and pre-tokens of runs of a text, summed up a binary tree: three arrays of twice the width, leaves in the second half."""
+
+    def __init__(self, nodes: tuple[np.ndarray, np.ndarray, np.ndarray], shared: bool = False):
+        self.nodes, self._shared = nodes, shared
+
+    @classmethod
+    def of(cls, leaves: np.ndarray) -> CountTree:
+        """`leaves`: a row each of characters, tokens and pre-tokens."""
+        width = 1 << max(0, leaves.shape[1] - 1).bit_length()
+        nodes = np.zeros((3, 2 * width), dtype=np.int64)
+        nodes[:, width : width + leaves.shape[1]] = leaves
+        low = width
+        while low > 1:
+            low //= 2
+            nodes[:, low : 2 * low] = nodes[:, 2 * low : 4 * low].reshape(3, low, 2).sum(axis=2)
+        return cls(tuple(nodes))
+
+    @classmethod
+    def counted(cls, sizes: list[int], counts: list[int]) -> CountTree:
+        """From the characters and tokens of all pre-tokens."""
+        if not sizes:
+            return cls.of(np.zeros((3, 1), dtype=np.int64))
+        at = np.arange(0, len(sizes), LEAF)
+        return cls.of(np.stack([np.add.reduceat(np.array(sizes, dtype=np.int64), at), np.add.reduceat(np.array(counts, dtype=np.int64), at), np.diff(np.append(at, len(sizes)))]))
 
     @property
-    def n_chars(self) -> int:
-        return self.chars[1]
+    def width(self) -> int:
+        return len(self.nodes[0]) // 2
 
-    @property
-    def n_tokens(self) -> int:
-        return self.tokens[1]
+    n_chars = property(lambda self: int(self.nodes[0][1]))
+    n_tokens = property(lambda self: int(self.nodes[1][1]))
+    n_pieces = property(lambda self: int(self.nodes[2][1]))
 
     def leaf_at(self, place: int) -> tuple[int, int]:
         """The leaf that holds character `place` (the last one with any, beyond the end) and where it begins."""
-        node, before = 1, 0
+        chars, node, before = self.nodes[0], 1, 0
         while node < self.width:
             node *= 2
-            if before + self.chars[node] <= place and self.chars[node + 1]:
-                before += self.chars[node]
+            if before + chars[node] <= place and chars[node + 1]:
+                before += int(chars[node])
                 node += 1
         return node - self.width, before
 
-    def replace(self, first: tuple[int, int], last: tuple[int, int], sizes: list[int], counts: list[int]) -> None:
-        """Puts new pre-tokens in the place of those from `first` up to, without, `last` (leaf, index)."""
-        (a, i), (b, j) = first, last
-        new_sizes, new_counts = ([*map(int, x[a][:i]), *new, *map(int, x[b][j:])] for x, new in ((self.sizes, sizes), (self.counts, counts)))
-        for leaf in range(a, b + 1):
-            self.sizes[leaf], self.counts[leaf] = [], []
-        self.sizes[a], self.counts[a] = new_sizes, new_counts
-        if len(new_sizes) > GROWN * LEAF:
-            self._build([int(x) for leaf in self.sizes for x in leaf], [int(x) for leaf in self.counts for x in leaf])
-            return
-        for leaf in range(a, b + 1):
-            self.chars[self.width + leaf], self.tokens[self.width + leaf] = sum(self.sizes[leaf]), sum(self.counts[leaf])
-        low, high = self.width + a, self.width + b
-        while low > 1:
-            low, high = low >> 1, high >> 1
-            for node in range(low, high + 1):
-                self._sum(node)
+    def end_of(self, leaf: int, begin: int) -> int:
+        return begin + int(self.nodes[0][self.width + leaf])
+
+    def replace(self, first: int, last: int, values: tuple[int, int, int]) -> None:
+        """Leaf `first` stands for all up to and with `last`; their sums, and those above them, follow."""
+        if self._shared:
+            self.nodes, self._shared = tuple(n.astype(np.int64) for n in self.nodes), False
+        low, high = self.width + first, self.width + last
+        for nodes, value in zip(self.nodes, values):
+            nodes[low : high + 1] = 0
+            nodes[low] = value
+            a, b = low, high
+            while a > 1:
+                a, b = a >> 1, b >> 1
+                nodes[a : b + 1] = nodes[2 * a : 2 * b + 2 : 2] + nodes[2 * a + 1 : 2 * b + 2 : 2]
+
+    def divided(self, leaf: int, sizes: list[int], counts: list[int]) -> CountTree:
+        """A leaf's pre-tokens as leaves of their own."""
+        inside, old = CountTree.counted(sizes, counts), [n[self.width :] for n in self.nodes]
+        new = [n[inside.width :] for n in inside.nodes]
+        return CountTree.of(np.stack([np.concatenate([o[:leaf], n, o[leaf + 1 :]]) for o, n in zip(old, new)]))
 
 
 def counted(text: str, tokenizer: Tokenizer) -> tuple[list[int], list[int]]:
@@ -88,117 +97,165 @@ def counted(text: str, tokenizer: Tokenizer) -> tuple[list[int], list[int]]:
     return list(map(len, found)), tokenizer.counts(found)
 
 
-def _slices(lists: pa.Array) -> list[np.ndarray]:
-    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
-    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+class _Leaves:
+    """A tree that also knows its text: `sizes` are the pre-tokens' lengths, leaf by leaf, by splitting."""
+
+    def __init__(self, owner: CountedText):
+        self._owner = owner
+
+    def __getattr__(self, name: str):
+        return getattr(self._owner.counts, name)
+
+    @property
+    def sizes(self) -> list[list[int]]:
+        owner, begin, out = self._owner, 0, []
+        for size in owner.counts.nodes[0][owner.counts.width :].tolist():
+            out.append([len(w) for w in owner.between(owner.text, begin, begin + size)])
+            begin += size
+        return out
 
 
 class CountedText:
     """A text with its tree. A special token's string is a pre-token of one token, as the encoder has it."""
 
-    def __init__(self, text: str, tokenizer: Tokenizer, sizes: np.ndarray | None = None, counts: np.ndarray | None = None):
-        self.text, self.tokenizer, self.reencoded = text, tokenizer, 0
-        if sizes is None or counts is None:
-            sizes, counts = counted(text, tokenizer)
-        self.tree = CountTree(sizes, counts)
+    def __init__(self, text: str, tokenizer: Tokenizer, nodes: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        self.text, self.tokenizer, self.reencoded, self.touched = text, tokenizer, 0, 0
+        self.counts = CountTree.counted(*counted(text, tokenizer)) if nodes is None else CountTree(nodes, shared=True)
+
+    @property
+    def tree(self) -> _Leaves:
+        return _Leaves(self)
+
+    def between(self, text: str, begin: int, end: int) -> list[str]:
+        """Pre-tokens of `text` from one that begins at `begin` to one that ends at `end`."""
+        out = []
+        if begin < end:
+            for at, piece in self.tokenizer.pieces(text, begin):
+                out.append(piece)
+                if at + len(piece) >= end:
+                    break
+        return out
 
     def edit(self, start: int, end: int, new: str) -> None:
-        """Replaces characters [start, end) by `new` and re-encodes the pre-tokens concerned.
+        """Replaces characters [start, end) by `new` and re-encodes the pre-tokens concerned, and those beside them in the leaves at both ends.
 
         Splitting looks at most at one character beyond the one after a pre-token, and a special token's string may come to be, or cease
         to, only where it meets the edit; pre-tokens that end farther before it than both reach stay.
         After the edit, splitting goes on until it meets an old boundary: from there on all is as before.
         """
-        n = len(self.text)
+        old, tree = self.text, self.counts
+        n = len(old)
         start = min(max(start, 0), n)
         end = min(max(end, start), n)
-        tree = self.tree
-        self.text = self.text[:start] + new + self.text[end:]
+        self.text = old[:start] + new + old[end:]
         if not tree.n_chars:
             sizes, counts = counted(self.text, self.tokenizer)
             self.reencoded += len(sizes)
-            self.tree = CountTree(sizes, counts)
+            self.touched += len(sizes)
+            self.counts = CountTree.counted(sizes, counts)
             return
         reach = max([2, *map(len, self.tokenizer.special)])
-        leaf, at = tree.leaf_at(max(0, start - reach))
-        index = 0
-        while index < len(tree.sizes[leaf]) and at + tree.sizes[leaf][index] <= start - reach:
-            at += tree.sizes[leaf][index]
-            index += 1
-        first, begin = (leaf, index), at
-        shift, fresh, old = start + len(new) - end, [], at
-        for here, piece in self.tokenizer.pieces(self.text, begin):
+        first, at = tree.leaf_at(max(0, start - reach))
+        before = []
+        for here, piece in self.tokenizer.pieces(old, at):
+            if here + len(piece) > start - reach:
+                at = here
+                break
+            before.append(piece)
+        else:
+            at = n
+        # old boundaries behind the edit, from the leaf that holds its end
+        last, begin = tree.leaf_at(end)
+        if last < first:
+            last, begin = first, at
+        shift = start + len(new) - end
+        places = (here for here, _ in self.tokenizer.pieces(old, begin))
+        place, fresh, met = next(places, n), [], n
+        for here, piece in self.tokenizer.pieces(self.text, at):
             if here >= start + len(new):
-                while old < here - shift and leaf < len(tree.sizes):
-                    leaf, index, old = _step(tree, leaf, index, old)
-                if old == here - shift:
+                while place < here - shift:
+                    place = next(places, n)
+                if place == here - shift:
+                    met = place
                     break
             fresh.append(piece)
+        after: list[str] = []
+        if met < n:
+            last, begin = tree.leaf_at(met)
+            if begin < met or last <= first:
+                after = self.between(old, met, tree.end_of(last, begin))
+            else:  # the leaf begins there: nothing of it changes
+                last -= 1
         else:
-            while old < n and leaf < len(tree.sizes):
-                leaf, index, old = _step(tree, leaf, index, old)
-        if leaf >= len(tree.sizes):
-            leaf, index = len(tree.sizes) - 1, len(tree.sizes[-1])
+            last = tree.width - 1
         self.reencoded += len(fresh)
-        tree.replace(first, (leaf, index), list(map(len, fresh)), self.tokenizer.counts(fresh))
+        pieces = [*before, *fresh, *after]
+        self.touched += len(pieces)
+        sizes, counts = list(map(len, pieces)), self.tokenizer.counts(pieces)
+        tree.replace(first, last, (sum(sizes), sum(counts), len(pieces)))
+        if len(pieces) > GROWN * LEAF:
+            self.counts = tree.divided(first, sizes, counts)
+
+
+def _lists(trees: list[CountTree]) -> list[pa.Array]:
+    """The three columns of stored trees."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum([2 * t.width for t in trees]))).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([t.nodes[k] for t in trees] or [np.empty(0)]).astype(np.int32))) for k in range(3)]
+
+
+def _slices(lists: pa.Array) -> list[np.ndarray]:
+    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
-def _step(tree: CountTree, leaf: int, index: int, at: int) -> tuple[int, int, int]:
-    """Past one old pre-token; (leaf, index) may be the end of a leaf."""
-    while leaf < len(tree.sizes) and index >= len(tree.sizes[leaf]):
-        leaf, index = leaf + 1, 0
-    if leaf >= len(tree.sizes):
-        return leaf, 0, at
-    return leaf, index + 1, at + tree.sizes[leaf][index]
+_DDL = ", ".join(f"{c} array<int>" for c in STORED)
 
 
 def trees(docs: DataFrame, content: str | None = None) -> DataFrame:
-    """The rows of `docs` with __sizes and __counts (characters and tokens of each pre-token): a tree's leaves to store."""
+    """The rows of `docs` with __chars, __tokens and __pieces: the nodes of each text's tree, inner ones too, to store."""
     shared = docs.sparkSession.sparkContext.broadcast(content or tokenizer_file())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = compiled(shared.value)
         for batch in batches:
-            found, offsets = ([], []), [0]
-            for t in texts(batch.column("text")):
-                for values, more in zip(found, counted(t.decode(), tokenizer)):
-                    values += more
-                offsets.append(len(found[0]))
-            leaves = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(values, dtype=np.int32))) for values in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *leaves], [*batch.schema.names, "__sizes", "__counts"])
+            made = [CountTree.counted(*counted(t.decode(), tokenizer)) for t in texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_lists(made)], [*batch.schema.names, *STORED])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, __sizes array<int>, __counts array<int>")
+    return docs.mapInArrow(run, f"{schema}, {_DDL}")
 
 
 def recounted(rows: DataFrame, content: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_tokens_edited, n_pretokens, n_reencoded and the edited text of `rows`.
+    """doc_id, n_tokens, n_tokens_edited, n_pretokens, n_reencoded, the edited text, and the edited tree's columns, of `rows`.
 
     `rows`: doc_id, text, edits (array of start, end, text: applied one after another, in characters, cut to the
-    text) and, if the trees are stored, __sizes and __counts; else they are built first. Null texts count as
-    empty, null edits as none, a null replacement as empty; repeated rows are counted each; other columns are ignored.
+    text) and, if the trees are stored, their columns; else they are built first. With `edited` as `text`, the result can be stored and edited
+    again. Null texts count as empty, null edits as none, a null replacement as empty, a null start as 0 and a null end as the start; repeated rows are counted each; other columns are ignored.
     """
     shared = rows.sparkSession.sparkContext.broadcast(content or tokenizer_file())
-    stored = {"__sizes", "__counts"} <= set(rows.columns)
+    stored = set(STORED) <= set(rows.columns)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = compiled(shared.value)
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            leaves = [_slices(batch.column(n)) for n in ("__sizes", "__counts")] if stored else None
+            made: list[CountTree] = []
+            nodes = list(zip(*(_slices(batch.column(c)) for c in STORED))) if stored else None
             for i, (raw, edits) in enumerate(zip(texts(batch.column("text")), batch.column("edits").to_pylist())):
-                one = CountedText(raw.decode(), tokenizer, *(x[i] for x in leaves or ()))
-                before, pretokens = one.tree.n_tokens, sum(map(len, one.tree.sizes))
+                one = CountedText(raw.decode(), tokenizer, nodes[i] if nodes else None)
+                before, pretokens = one.counts.n_tokens, one.counts.n_pieces
                 for e in edits or ():
-                    one.edit(e["start"], e["end"], e["text"] or "")
-                for values, value in zip(out, (before, one.tree.n_tokens, pretokens, one.reencoded, one.text)):
+                    start = e["start"] or 0
+                    one.edit(start, start if e["end"] is None else e["end"], e["text"] or "")
+                made.append(one.counts)
+                for values, value in zip(out, (before, one.counts.n_tokens, pretokens, one.reencoded, one.text)):
                     values.append(value)
             kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(out, kinds))], ["doc_id", "n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded", "edited"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(out, kinds)), *_lists(made)], ["doc_id", "n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded", "edited", *STORED])
 
-    names = ["doc_id", "text", "edits", *(["__sizes", "__counts"] if stored else [])]
-    return rows.select(*names).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_tokens_edited long, n_pretokens long, n_reencoded long, edited string")
+    names = ["doc_id", "text", "edits", *(STORED if stored else [])]
+    return rows.select(*names).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_tokens_edited long, n_pretokens long, n_reencoded long, edited string, {_DDL}")
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
@@ -209,5 +266,5 @@ def op10_token_counts(spark, sf_dir: str) -> DataFrame:
     rows = kept.selectExpr("*", "length(text) as n").selectExpr("*", "int(greatest(n div 2 - 10, 0)) as a", "int(least(n div 2 + 10, n)) as b")
     rows = rows.selectExpr("*", f"int(greatest(n - (b - a) + {len(passage) + len(note) - 16}, 0)) as tail")
     edits = f"array(named_struct('start', a, 'end', b, 'text', '{passage}'), named_struct('start', 0, 'end', 0, 'text', '{note}'), named_struct('start', tail, 'end', {2**31 - 1}, 'text', ''))"
-    counted = recounted(rows.selectExpr("doc_id", "text", "__sizes", "__counts", f"{edits} as edits"))
+    counted = recounted(rows.selectExpr("doc_id", "text", *STORED, f"{edits} as edits"))
     return counted.selectExpr("doc_id", "n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded", "sha2(edited, 256) as edited_sha256")

@@ -7,7 +7,8 @@ from functools import lru_cache
 
 import regex
 
-#: The pattern of the public byte-level vocabularies, put together from its classes: letters, numbers and white space.
+#: Splits text before the merges, put together from its classes of letters, numbers and white space: the pattern of the public rank files, and what a tokenizer file
+#: means by a pre-tokenizer ByteLevel with use_regex, which does not spell it out.
 SHAPE = r"'(?:s|t|re|ve|m|ll|d)| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 _BMP = 0x10000
 

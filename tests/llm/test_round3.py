@@ -290,3 +290,38 @@ def test_coverage_takes_each_range_once():
     assert n_hit.tolist() == [500_000, 5_000] and passages.to_pylist() == [[{"doc_pos": 0, "n_words": 500_000}], [{"doc_pos": 0, "n_words": 5_000}]]
     assert items[0].as_py() == ["long"] and len(items[1]) == 10_000
     assert time.time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+
+
+# --- token counts ------------------------------------------------------------------------------------------------------
+
+
+def test_stored_trees_are_edited_again(spark):
+    """Two batches of edits: the second works on what the first stored, and counts only what it touched."""
+    from brindle.llm import bpe, edits
+    from brindle.llm.shared import written
+
+    prepared(spark)
+    r = random.Random(12)
+    pieces = ["word ", "it's", " 12", "\n\n", "é", "<|endoftext|>", "<|endof", "text|>", "𝒳 ", "  ", "longer words here "]
+    raw = [("".join(r.choices(pieces, k=r.choice([0, 1, 9, 4000])))) for _ in range(40)] + [None]
+    rows = spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string")
+    change = lambda a, b, new: f"array(named_struct('start', {a}, 'end', {b}, 'text', '{new}'))"
+    first = written(edits.recounted(edits.trees(rows).selectExpr("*", f"{change('int(length(text) / 3)', 'int(length(text) / 3) + 7', '<|endo')} as edits")), "first")
+    again = first.selectExpr("doc_id", "edited as text", *edits.STORED, f"{change('int(length(edited) / 2)', 'int(length(edited) / 2) + 2000', 'x')} as edits")
+    tokenizer = bpe.compiled(bpe.tokenizer_file())
+    before = {x.doc_id: x.edited for x in first.collect()}
+    for x in edits.recounted(again).collect():
+        assert x.n_tokens == len(tokenizer.encode(before[x.doc_id])) and x.n_tokens_edited == len(tokenizer.encode(x.edited))
+        assert x.n_pretokens == sum(1 for _ in tokenizer.pieces(before[x.doc_id])) and x.n_reencoded < 60
+        n, at = len(before[x.doc_id]), len(before[x.doc_id]) // 2
+        assert x.edited == before[x.doc_id][:at] + "x" + before[x.doc_id][min(at + 2000, n) :]
+
+
+def test_an_edit_touches_two_leaves_of_a_long_text():
+    from brindle.llm import bpe, edits
+
+    one = edits.CountedText("some words " * 100_000, bpe.compiled(bpe.tokenizer_file()))
+    one.edit(300_000, 700_000, "thing")  # thousands of leaves go without being looked at
+    assert one.touched < 3 * edits.LEAF and one.counts.n_tokens == len(one.tokenizer.encode(one.text))
+    one.edit(0, 0, "new words " * 5_000)
+    assert one.counts.n_tokens == len(one.tokenizer.encode(one.text)) and max(one.counts.nodes[2][one.counts.width :]) <= edits.GROWN * edits.LEAF
