@@ -51,6 +51,22 @@ def key_matches(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return joined.withColumn("reason", confirm_reason(F.col("key"), F.col("key_class"), F.col("peer_class"))).where("reason is not null").select("source", "source_id", "peer_source", "peer_id", "key", "reason")
 
 
+def best_matches(keys: DataFrame) -> DataFrame:
+    """For each listing, key and class of other listings with that key the first of these: the rows of `key_matches(keys, keys)` that can be best, without pairs.
+
+    A key's first two listings of each class are minima, combined before the shuffle; the first that is not the listing itself is its peer. A reason depends on the key and
+    both classes only, so reasons and best peers are those of all pairs. `keys`: one row a listing and key.
+    """
+    who = F.struct("source", "source_id")
+    first = keys.groupBy("key", F.col("key_class").alias("peer_class")).agg(F.min(who).alias("lo"))
+    same = (F.col("k.key") == F.col("f.key")) & (F.col("k.key_class") == F.col("f.peer_class"))
+    others = keys.alias("k").join(first.alias("f"), same).select("f.key", "f.peer_class", "f.lo", F.struct("k.source", "k.source_id").alias("own"))
+    two = others.groupBy("key", "peer_class").agg(F.first("lo").alias("lo"), F.min(F.when(F.col("own") != F.col("lo"), F.col("own"))).alias("next"))
+    joined = keys.join(two, "key").withColumn("peer", F.when(F.col("lo") != who, F.col("lo")).otherwise(F.col("next"))).where("peer is not null")
+    found = joined.withColumn("reason", confirm_reason(F.col("key"), F.col("key_class"), F.col("peer_class"))).where("reason is not null")
+    return found.select("source", "source_id", F.col("peer.source").alias("peer_source"), F.col("peer.source_id").alias("peer_id"), "key", "reason")
+
+
 def verdicts(listings: DataFrame, matches: DataFrame, overlaps: DataFrame) -> DataFrame:
     """verdict, best peer and reasons (best first) of every listing: confirmed_duplicate, possible_duplicate or unique."""
     rank = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason"))

@@ -162,7 +162,7 @@ def channel_pauses(events: DataFrame, channel: str, order: list[str], failed: Co
     """
     rows = events.withColumn("__at", F.struct(*order)).withColumn("__failed", failed)
     last = rows.groupBy(channel).agg(F.max(F.when(~F.col("__failed"), F.col("__at"))).alias("__ok"), F.max(order[0]).alias("at"))
-    counts = rows.join(F.broadcast(last), channel).groupBy(channel).agg(F.count_if(F.col("__failed") & (F.col("__ok").isNull() | (F.col("__at") > F.col("__ok")))).alias("failures"), F.max("at").alias("at"))
+    counts = rows.join(last, channel).groupBy(channel).agg(F.count_if(F.col("__failed") & (F.col("__ok").isNull() | (F.col("__at") > F.col("__ok")))).alias("failures"), F.max("at").alias("at"))
     return counts.withColumn("delay_ms", F.when(F.col("failures") > 0, backoff_ms(F.col("failures"), F.lit(None), base=600_000)))
 
 

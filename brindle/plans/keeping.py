@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions import texts
 from brindle.operators import coverage, matching, ordered, profiles, state
-from brindle.plans.base import bound, plain, query, scratch, table
+from brindle.plans.base import L, bound, listings, plain, query, scratch, table
+from brindle.plans.records import _CLS, _FACTS, _HEAD, _LABEL, _MONEY, assessed, facts, headline
 
 stamp = lambda s: F.expr(f"cast('{s}' as timestamp_ntz)")
 
@@ -174,3 +176,59 @@ def win4_trace_selection(spark, sf):
     spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
     rows = bound(spark, sf, _TRACES.replace("//", "div"))
     return ordered.consuming_round_robin(rows, "first", "source", "pos", ["source", "source_id", "stage"], _CAP).select("pos", "rank")
+
+
+# --- messages --------------------------------------------------------------------------------------------------------
+
+_CUT = 400
+
+
+@query(
+    f"""WITH RECURSIVE r AS (SELECT doc_id, 0 AS n, text AS rest, NULL::VARCHAR AS part FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, n + 1, CASE WHEN length(rest) <= {_CUT} THEN NULL ELSE regexp_replace(rest[cut + 1:], '^\n', '') END, CASE WHEN length(rest) <= {_CUT} THEN rest ELSE rest[1:cut] END
+  FROM (SELECT *, CASE WHEN line IS NULL OR line < {_CUT // 2} THEN {_CUT} ELSE line END AS cut FROM (SELECT *, {_CUT + 1} - nullif(strpos(reverse(rest[1:{_CUT + 1}]), chr(10)), 0) AS line FROM r WHERE rest IS NOT NULL AND (rest <> '' OR n = 0))))
+SELECT doc_id, count(*) AS n_parts, md5(string_agg(part, chr(1) ORDER BY n)) AS parts_md5 FROM r WHERE n > 0 GROUP BY doc_id"""
+)
+def snk4_split_message(spark, sf):
+    """Texts in parts that a message holds, cut at line breaks where that leaves at least half."""
+    parts = table(spark, sf, "documents").where("text is not null").select("doc_id", texts.split_message(F.col("text"), _CUT).alias("parts"))
+    return parts.select("doc_id", F.size("parts").cast("bigint").alias("n_parts"), F.md5(F.array_join("parts", "\u0001")).alias("parts_md5"))
+
+
+_SHIFTED = "(published_at + INTERVAL 25 YEARS + (pos % 1440) * INTERVAL 1 MINUTE)"
+_NOWS = f"({_SHIFTED} + (pos % 4) * INTERVAL 9 HOURS)"
+#: Clocks go forward at 1 o'clock UTC on the last Sunday of March and back on that of October.
+_SUNDAY = lambda t, m: f"(make_date(year({t}), {m}, 31) - CAST(dayofweek(make_date(year({t}), {m}, 31)) AS INT) + INTERVAL 1 HOUR)"
+_LOCAL = lambda t: f"({t} + CASE WHEN {t} >= {_SUNDAY(t, 3)} AND {t} < {_SUNDAY(t, 10)} THEN INTERVAL 3 HOURS ELSE INTERVAL 2 HOURS END)"
+_DAY = lambda t: f"(year({t}) * 372 + month({t}) * 31 + day({t}))"
+_SAID = f"""CASE WHEN {_DAY('here')} = {_DAY('there')} THEN 'сьогодні' WHEN {_DAY('here')} = {_DAY('there')} - 1 THEN 'вчора' ELSE CAST(day(here) AS VARCHAR) || ' ' || ({texts.MONTHS!r})[month(here)] END || ', ' || strftime(here, '%H:%M')"""
+_DATED = f"l2 AS (SELECT *, {_LOCAL('p')} AS here, {_LOCAL('q')} AS there FROM (SELECT *, {_SHIFTED} AS p, {_NOWS} AS q FROM {{src}}))"
+
+
+@query(L + "," + _DATED.replace("{src}", "l") + f" SELECT pos, {_SAID} AS label FROM l2 WHERE published_at IS NOT NULL")
+def fn17_zone_label(spark, sf):
+    """Dates as they are shown in a zone with summer time, against a now of the same to the next day."""
+    rows = listings(spark, sf).where("published_at is not null").withColumns({"p": F.expr(_SHIFTED), "q": F.expr(_NOWS)})
+    return rows.select("pos", texts.local_label(F.col("p"), F.col("q")).alias("label"))
+
+
+_ESCAPED = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_SITE = "CASE source " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in texts.SITES.items()) + " END"
+_OWNER = "CASE WHEN seller_type = 'owner' AND level = 'platform_confirmed' THEN '{0}' ELSE '{1}' END"
+_HTML = (
+    f"'🏠 <b>' || {_HEAD} || '</b>' || chr(10) || chr(10) || '💰 <b>' || {_LABEL} || '</b>' || chr(10) || '📐 ' || {_FACTS} || chr(10) || '👤 ' || {_OWNER.format(texts.CONFIRMED[0], texts.UNCONFIRMED[0])} || chr(10) || '🛡 ' || {_OWNER.format(texts.CONFIRMED[1], texts.UNCONFIRMED[1])} || chr(10) || chr(10) || '🕒 ' || "
+    f"coalesce('Опубліковано: ' || {_SAID}, '{texts.UNDATED}') || chr(10) || '🌐 ' || {_SITE} || chr(10) || chr(10) || '🔗 <a href=\"' || {_ESCAPED('url || seller_mark')} || '\">{texts.LINK}</a>'"
+)
+
+
+@query(
+    L + "," + _MONEY + "," + _CLS.replace("{src}", "f") + "," + _DATED.replace("{src}", "(SELECT *, CASE WHEN pos % 6 = 0 THEN '?a=1&b=<2>' ELSE '' END AS seller_mark FROM rj)")
+    + f", msg AS (SELECT pos, {_HTML} AS html FROM l2) SELECT pos, html, regexp_replace(replace(replace(html, '<b>', ''), '</b>', ''), '<a href=\"([^\"]*)\">([^<]*)</a>', '\\2 \\1', 'g') AS plain FROM msg"
+)
+def snk3_fn19_html_message(spark, sf):
+    """Messages in HTML with the seller's lines and the local date, and without markup."""
+    rows = assessed(listings(spark, sf)).withColumns({"p": F.expr(_SHIFTED), "q": F.expr(_NOWS), "link": F.concat("url", F.expr("if(pos % 6 = 0, '?a=1&b=<2>', '')"))})
+    confirmed = F.expr("seller_type = 'owner' and level = 'platform_confirmed'")
+    c = F.col
+    html = texts.html_message(headline(c("property_type"), c("rooms")), texts.price_label(c("amount"), c("currency"), c("period")), facts(c("area"), c("rooms")), confirmed, c("p"), c("q"), c("source"), c("link"))
+    return rows.select("pos", html.alias("html")).withColumn("plain", texts.plain_message(F.col("html")))

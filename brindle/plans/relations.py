@@ -275,9 +275,9 @@ _RANK = "list_position(['explicit_external_listing_id', 'explicit_external_url',
 )
 def win11_cls12_duplicate_verdict(spark, sf):
     rows = _rounded(listings(spark, sf)).select("pos", "source", "source_id", "rooms", "area", "amount", "cur")
-    keys = identity_keys(listings(spark, sf))
+    keys = identity_keys(listings(spark, sf)).drop("pos")
     overlaps = matching.attribute_overlap(rows, ["rooms", "area", "amount", "cur"], ["source_id"], F.expr("rooms > 0 and area > 0 and amount is not null and cur is not null"))
-    return matching.verdicts(rows, matching.key_matches(keys.drop("pos"), keys), overlaps).select("pos", "duplicate_of", "reasons", "verdict")
+    return matching.verdicts(rows, matching.best_matches(keys), overlaps).select("pos", "duplicate_of", "reasons", "verdict")
 
 
 @query(_MATCHES + ", bad AS (SELECT source, source_id FROM l WHERE platform_agent), p AS (SELECT mt.source, mt.source_id, min(peer_source || '/' || peer_id) AS peer FROM mt JOIN bad ON bad.source = peer_source AND bad.source_id = peer_id WHERE reason LIKE 'explicit%' GROUP BY 1, 2) SELECT l.pos, p.peer, p.peer IS NOT NULL AS dropped FROM l LEFT JOIN p ON p.source = l.source AND p.source_id = l.source_id")

@@ -95,7 +95,7 @@ def record_with_role(raw: Column, wanted: Column, key: str, role: str) -> Column
         for v, want in zip(values, ids):
             try:
                 out.append(visit(json.loads(v), [], str(want)) if v else (False, None))
-            except ValueError:
+            except (ValueError, RecursionError):  # nested too deeply to be a page's data
                 out.append((False, None))
         return pd.DataFrame(out, columns=["found", "role"])
 
@@ -130,7 +130,7 @@ class OfferLike:
     def eval(self, raw: str, most: int):
         try:
             stack = [(json.loads(raw), 0)] if raw else []
-        except ValueError:
+        except (ValueError, RecursionError):  # nested too deeply to be a page's data
             return
         found = 0
         while stack and found < most:
