@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
@@ -303,7 +304,7 @@ def deduplicated(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float
     names = ["d0", "d1"]
     prints = written(prefixes(_rows(docs), shingle, similarity), "sets")
     first = F.struct("doc_id", "content")
-    nodes = written(prints.groupBy(*names).agg(F.min(first).alias("least")).withColumn("node", F.expr(f"xxhash64({', '.join(names)})")), "nodes")
+    nodes = written(prints.groupBy(*names).agg(F.min(first).alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers, fixed as they are written
     sets = prints.join(nodes, names).where(first == F.col("least")).select("node", "size", "rarest").dropDuplicates(["node"])
     sets = written(sets, "rarest")
     roots = similar_components(docs, nodes, sets, shingle, similarity).join(nodes.select("node", "least"), "node")
@@ -312,11 +313,14 @@ def deduplicated(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float
     # whole nodes that go, and of the others all but the first
     gone = prints.join(nodes, names).join(later.withColumn("late", F.lit(True)), "node", "left").where(F.col("late") | (first != F.col("least")))
     gone = written(gone.select("doc_id", "content").distinct(), "gone")
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__content": F.xxhash64("text")})
-    gone_keys = gone.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"))
-    left = keyed.join(F.broadcast(gone_keys) if small_or_none(gone) else gone_keys, ["__id", "__content"], "left_anti")
+    same = lambda rows: (docs["doc_id"].cast("bigint") == rows["of"]) & (F.xxhash64(docs["text"]) == rows["content"])
+    gone_keys = gone.select(F.col("doc_id").alias("of"), "content")
+    gone_keys = F.broadcast(gone_keys) if small_or_none(gone) else gone_keys
+    left = docs.join(gone_keys, same(gone_keys), "left_anti")
     if not prints.groupBy("doc_id", "content").count().where("count > 1").isEmpty():
-        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["__id", "__content"]))
+        one, text = (f"__{uuid.uuid4().hex}" for _ in range(2))  # names that no table has
+        keyed = left.withColumns({one: F.col("doc_id").cast("bigint"), text: F.xxhash64("text")})
+        left = keyed.where("doc_id is null").unionByName(keyed.where("doc_id is not null").dropDuplicates([one, text]))
     return left.select(*docs.columns)
 
 
