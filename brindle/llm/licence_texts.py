@@ -131,6 +131,44 @@ PARAGRAPHS: list[tuple[str, str, tuple[str, ...]]] = [
         """All rights reserved. No part of this publication may be reproduced""",
         ("no part of this publication may be reproduced",),
     ),
+    (
+        "mit",
+        """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+        FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+        IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        ("be liable for any claim damages or other liability",),
+    ),
+    (
+        "bsd",
+        """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY
+        DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS
+        OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+        NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+        ("procurement of substitute goods or services",),
+    ),
+    (
+        "bsd",
+        """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without
+        specific prior written permission.""",
+        ("may be used to endorse or promote products derived from this software",),
+    ),
+    (
+        "apache-2",
+        """"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. "Licensor" shall
+        mean the copyright owner or entity authorized by the copyright owner that is granting the License.""",
+        ("as defined by sections 1 through 9 of this document",),
+    ),
+    (
+        "gpl",
+        """The GNU General Public License is a free, copyleft license for software and other kinds of works.""",
+        ("copyleft license for software and other kinds of works",),
+    ),
+    (
+        "mpl-2",
+        """"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.""",
+        ("contributes to the creation of or owns covered software",),
+    ),
 ]
 # End of the fixed values.
 #: So many of the paragraphs are phrases of which every place counts.

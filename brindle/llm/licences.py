@@ -20,6 +20,10 @@ LEAST_SCORE = 0.6
 #: A template is looked up by so many of its words of highest IDF; in a licence text AGREEING of them at their relative positions
 #: will do, as copies differ here and there, in a base phrase all must stand.
 RARE_WORDS, AGREEING = 4, 2
+#: Words that may be put in or left out before a word of a template, as a share of the template's length: places need only be near.
+SHIFT = 0.1
+#: Candidates aligned together.
+ALIGNED = 500
 
 
 @dataclass
@@ -57,23 +61,34 @@ class Index:
         at = next(i for i in range(len(template)) if template[i : i + len(phrase)] == phrase)
         return np.arange(at, at + len(phrase))
 
+    def gap(self, template: int) -> int:
+        """By how many words a template's places may be off; base phrases, and short templates, stand as they are."""
+        return 0 if template < PHRASES else int(len(self.words[template]) * SHIFT)
+
     def candidates(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(template, starts, owners): where enough of its rare words, each at its relative position, agree that it begins, and in which text."""
+        """(template, starts, owners): where enough of its rare words, each near its relative position, agree that it begins, and in which text."""
         place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         hits = np.flatnonzero(self.keys[place] == h)
-        starts: dict[int, list[np.ndarray]] = defaultdict(list)
+        starts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         for key in np.unique(place[hits]):
             at = hits[place[hits] == key]
             for template, position in self.postings[key]:
-                starts[template].append(np.stack([at - position, doc[at]]))
+                starts[template].append((at - position, doc[at]))
         for template, found in starts.items():
             if len(found) < self.need[template]:
                 continue
-            # a posting gives a start once, so a start's count is that of the rare words that stand right
-            both, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
-            kept = both[:, n >= self.need[template]]
-            if kept.shape[1]:
-                yield template, *kept
+            gap, apart = self.gap(template), len(h) + 2 * len(self.words[template])
+            # one number a start and text, so that only starts in the same text are near each other
+            numbers = [owner * apart + start for start, owner in found]
+            every = np.unique(np.concatenate(numbers))
+            agree = np.zeros(len(every), dtype=np.int64)
+            for own in numbers:
+                own = np.sort(own)
+                agree += np.searchsorted(own, every + gap, side="right") > np.searchsorted(own, every - gap, side="left")
+            kept = every[agree >= self.need[template]]
+            if len(kept):
+                owner = (kept + len(self.words[template])) // apart  # starts may lie before the text by a template's length
+                yield template, kept - owner * apart, owner
 
 
 def _split(text: str) -> list[bytes]:
@@ -93,18 +108,38 @@ def scan(rows: list[bytes], index: Index) -> tuple[np.ndarray, list[list[tuple[i
         return np.diff(found.first), out
     h, doc = found.hashes(), found.doc()
     for template, starts, owner in index.candidates(h, doc):
-        mine, n = index.hashes[template], len(index.words[template])
-        at = starts[:, None] + np.arange(n)
-        inside = (at >= 0) & (at < len(h))
-        safe = np.clip(at, 0, len(h) - 1)
-        same = inside & (h[safe] == mine) & (doc[safe] == owner[:, None])
-        score = (same * index.weights[template]).sum(axis=1) / index.mass[template]
-        whole = np.all([same[:, p].all(axis=1) for p in index.phrases[template]], axis=0)
-        for k in np.flatnonzero(whole & (score >= LEAST_SCORE)).tolist():
-            must = {int(p) for places in index.phrases[template] for p in places}
-            if all(found.word(int(at[k, p])) == index.words[template][p] for p in must):
-                out[owner[k]].append((template, int(starts[k] - found.first[owner[k]]), min(1.0, float(score[k]))))
-    return np.diff(found.first), out
+        for lo in range(0, len(starts), ALIGNED):
+            for start, text, score in _aligned(found, h, doc, index, template, starts[lo : lo + ALIGNED], owner[lo : lo + ALIGNED]):
+                out[text].append((template, start, score))
+    return np.diff(found.first), [_best(f, index) for f in out]
+
+
+def _aligned(found: words.Words, h: np.ndarray, doc: np.ndarray, index: Index, template: int, starts: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(first word, text, score) of the candidates whose key phrases stand near their places, word for word, and whose other words do by enough of their weight."""
+    mine, n, gap = index.hashes[template], len(index.words[template]), index.gap(template)
+    shifts = np.arange(-gap, gap + 1)
+    at = starts[:, None, None] + shifts[None, :, None] + np.arange(n)
+    safe = np.clip(at, 0, len(h) - 1)
+    same = (at == safe) & (h[safe] == mine) & (doc[safe] == owner[:, None, None])
+    score = (same.any(axis=1) * index.weights[template]).sum(axis=1) / index.mass[template]
+    standing = [same[:, :, p].all(axis=2) for p in index.phrases[template]]
+    whole = np.all([s.any(axis=1) for s in standing], axis=0)
+    for k in np.flatnonzero(whole & (score >= LEAST_SCORE)).tolist():
+        by_word = lambda shift, places: all(found.word(int(starts[k] + shift + p)) == index.words[template][p] for p in places)
+        if all(any(by_word(shifts[x], places) for x in np.flatnonzero(s[k])) for s, places in zip(standing, index.phrases[template])):
+            yield max(0, int(starts[k] - found.first[owner[k]])), int(owner[k]), min(1.0, float(score[k])) - 1e-9 * int(n - same[k, gap].sum())
+
+
+def _best(finds: list[tuple[int, int, float]], index: Index) -> list[tuple[int, int, float]]:
+    """Of finds of one template that begin within its shift of each other, which are one copy, the one that fits best (words in place count by a billionth)."""
+    kept: list[tuple[int, int, float]] = []
+    for template, start, score in sorted(finds):
+        if kept and kept[-1][0] == template and start - kept[-1][1] <= 2 * index.gap(template):
+            if score > kept[-1][2]:
+                kept[-1] = (template, start, score)
+        else:
+            kept.append((template, start, score))
+    return kept
 
 
 def document_frequencies(docs: DataFrame, templates: list[tuple[str, str, tuple[str, ...]]]) -> tuple[dict[int, int], int]:

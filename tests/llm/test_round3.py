@@ -325,3 +325,29 @@ def test_an_edit_touches_two_leaves_of_a_long_text():
     assert one.touched < 3 * edits.LEAF and one.counts.n_tokens == len(one.tokenizer.encode(one.text))
     one.edit(0, 0, "new words " * 5_000)
     assert one.counts.n_tokens == len(one.tokenizer.encode(one.text)) and max(one.counts.nodes[2][one.counts.width :]) <= edits.GROWN * edits.LEAF
+
+
+# --- licences ----------------------------------------------------------------------------------------------------------
+
+
+def test_words_put_in_or_left_out_do_not_hide_a_licence(spark):
+    from brindle.llm import licences
+    from brindle.llm.licence_texts import PARAGRAPHS
+
+    r = random.Random(21)
+    rows, long = [], [(i, label, text.split()) for i, (label, text, phrases) in enumerate(PARAGRAPHS) if len(text.split()) >= 30]
+    rows.append((0, "", "Permission is hereby granted, free of charge, to any person or company obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute"))
+    for i, label, ws in long:
+        phrase = {w for p in PARAGRAPHS[i][2] for w in p.split()}
+        for n in range(6):  # one word in twenty is changed, put in or left out; key phrases stay
+            out = []
+            for w in ws:
+                fixed = "".join(c for c in w.lower() if c.isalnum()) in phrase
+                what = r.random()
+                out += [w] if fixed or what > 0.05 else [] if what < 0.015 else [f"q{r.getrandbits(20)}"] if what < 0.035 else [w, f"q{r.getrandbits(20)}"]
+            rows.append((100 * (i + 1) + n, label, "some words before it " * r.randint(0, 3) + " ".join(out) + " and some after"))
+    shuffled = [(10**6 + i, "", " ".join(r.sample(ws, len(ws)))) for i, _, ws in long]
+    found = {x.doc_id: {f.label for f in x.finds} for x in licences.scanned(prepared(spark).createDataFrame([(i, t) for i, _, t in rows + shuffled], "doc_id long, text string")).collect()}
+    assert "mit" in found[0]
+    assert [i for i, label, _ in rows[1:] if label not in found[i]] == []
+    assert all(not found[i] for i, _, _ in shuffled)
