@@ -45,14 +45,48 @@ class Scheme:
         return [f"f{i}" for i in range(self.bits // 64)]
 
 
-#: Ways to find all pairs within four bits: few probes into tables of short segments, or many into those of long ones.
+    @property
+    def probes(self) -> list[int]:
+        """Probes of a fingerprint into the tables of each segment."""
+        return [sum(math.comb(width, k) for k in range(self.radius + 1)) for width in self.segments]
+
+
+@dataclass(frozen=True)
+class Unions(Scheme):
+    """The same with keys of several segments together: fingerprints that differ in at most `distance` bits have at least len(segments) - distance segments that are equal, so every
+    choice of that many is a table, and each is probed at the fingerprint itself, a ball of radius 0."""
+
+    segments: tuple[int, ...] = (8,) * 8
+    radius: int = 0
+
+    @property
+    def masks(self) -> list[int]:
+        """The bits of each table's key, as signed longs."""
+        ends = np.cumsum(self.segments).tolist()
+        one = [((1 << width) - 1) << (64 - end) for width, end in zip(self.segments, ends)]
+        chosen = [sum(one[k] for k in c) for c in combinations(range(len(one)), len(one) - self.distance)]
+        return [m - (1 << 64) if m >> 63 else m for m in chosen]
+
+
+#: Ways to find all pairs within four bits by single segments: few probes into tables of short ones, or many into those of long ones.
 SCHEMES = (Scheme(), Scheme(segments=(32, 32), radius=2))
 
 
+def work(scheme: Scheme, count: int) -> float:
+    """Probes of a fingerprint among so many, and the rows that each of them meets by chance."""
+    if isinstance(scheme, Unions):
+        return len(scheme.masks) * (2 + count / 2 ** (scheme.bits * (len(scheme.segments) - scheme.distance) // len(scheme.segments)))
+    return sum(n * (1 + count / 2**w) for n, w in zip(scheme.probes, scheme.segments))
+
+
 def scheme_for(count: int) -> Scheme:
-    """The one with the least work for so many fingerprints: probes, and the rows that each of them meets by chance. All find the same pairs."""
-    probes = lambda width, radius: sum(math.comb(width, k) for k in range(radius + 1))
-    return min(SCHEMES, key=lambda s: sum(probes(w, s.radius) * (1 + count / 2**w) for w in s.segments))
+    """Of SCHEMES the one with the least work. All find the same pairs."""
+    return min(SCHEMES, key=lambda s: work(s, count))
+
+
+def search_for(count: int) -> Scheme:
+    """The way with the least work for so many fingerprints, single segments or unions of them: some 70 probes for small tables and for large ones."""
+    return min((scheme_for(count), Unions()), key=lambda s: work(s, count))
 
 
 def fingerprint(text: bytes, shingle: int, bits: int = 64) -> bytes:
@@ -95,15 +129,15 @@ def ball(width: int, radius: int) -> Iterator[int]:
             yield sum(1 << p for p in places)
 
 
-def links(prints: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs (a, b) of nodes whose fingerprints differ in at most `scheme.distance` bits.
-
-    `prints`: node and the fingerprint columns, a row for each different fingerprint. Its segments are the
-    tables; each fingerprint probes the ball around each of its segments, and the complete distance is part of
-    the join's condition, so that no farther pair leaves the join. A frequent segment value is a skewed
-    join key, which adaptive execution splits.
-    """
+def _sides(prints: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """(table, probes) of `prints` (node, component, fingerprint columns), by key: rows of all tables as b, and of all probes as a."""
     names = scheme.columns
+    literal = lambda xs: F.explode(F.expr(f"array({', '.join(f'{x}L' for x in xs)})"))
+    side = lambda x: [f"node as {x}", f"component as component_{x}", *(f"{f} as {x}_{f}" for f in names)]
+    if isinstance(scheme, Unions):
+        keyed = prints.withColumn("mask", literal(scheme.masks))
+        key = "xxhash64(mask, f0 & mask) as key"  # keys that fall together only meet rows in vain
+        return keyed.selectExpr(key, *side("b")), keyed.selectExpr(key, *side("a"))
     cases, masks, place = [], [], 0
     for i, width in enumerate(scheme.segments):
         word, low = place // 64, 64 - place % 64 - width
@@ -111,15 +145,47 @@ def links(prints: DataFrame, scheme: Scheme) -> DataFrame:
         masks += [(i << 32) | x for x in ball(width, scheme.radius)]
         place += width
     value = "case seg " + " ".join(cases) + " end"
-    literal = lambda xs: F.explode(F.expr(f"array({', '.join(f'{x}L' for x in xs)})"))
-    table = prints.withColumn("seg", literal(range(len(scheme.segments)))).selectExpr(f"{value} as key", "node as b", *(f"{x} as b_{x}" for x in names))
-    probes = (
-        prints.withColumn("probe", literal(masks))
-        .withColumn("seg", F.expr("shiftright(probe, 32)"))
-        .selectExpr(f"({value}) ^ (probe & 4294967295L) as key", "node as a", *(f"{x} as a_{x}" for x in names))
-    )
-    apart = " + ".join(f"bit_count(a_{x} ^ b_{x})" for x in names)
-    return probes.join(table.hint("shuffle_merge"), "key").where(f"a < b and {apart} <= {scheme.distance}").select("a", "b").distinct()
+    table = prints.withColumn("seg", literal(range(len(scheme.segments)))).selectExpr(f"{value} as key", *side("b"))
+    probes = prints.withColumn("probe", literal(masks)).withColumn("seg", F.expr("shiftright(probe, 32)")).selectExpr(f"({value}) ^ (probe & 4294967295L) as key", *side("a"))
+    return table, probes
+
+
+def _near(scheme: Scheme) -> str:
+    return " + ".join(f"bit_count(a_{x} ^ b_{x})" for x in scheme.columns) + f" <= {scheme.distance}"
+
+
+def links(prints: DataFrame, scheme: Scheme) -> DataFrame:
+    """All pairs (a, b) of nodes whose fingerprints differ in at most `scheme.distance` bits.
+
+    `prints`: node and the fingerprint columns, a row for each different fingerprint. Its segments are the
+    tables; each fingerprint probes the ball around each of its segments, and the complete distance is part of
+    the join's condition, so that no farther pair leaves the join. A frequent segment value is a skewed
+    join key, which adaptive execution splits.
+    """
+    table, probes = _sides(prints.withColumn("component", F.col("node")), scheme)
+    return probes.join(table.hint("shuffle_merge"), "key").where(f"a < b and {_near(scheme)}").select("a", "b").distinct()
+
+
+def linked(prints: DataFrame, scheme: Scheme) -> DataFrame:
+    """(node, root) of the nodes of `prints` (node, fingerprint columns) that a link ties to another.
+
+    First a probe meets only the first row of a table's key: as many pairs as probes, which tie nearly all of a group of near copies together. Then what is left in different components
+    is compared at the keys that several components have, so no link between components is missed and a group makes no pairs within itself.
+    """
+    alone = prints.withColumn("component", F.col("node"))
+    table, probes = _sides(alone, scheme)
+    names = [c for c in table.columns if c != "key"]
+    hubs = table.groupBy("key").agg(F.min(F.struct(*names)).alias("hub")).select("key", "hub.*")
+    first = written(probes.join(hubs.hint("shuffle_merge"), "key").where(f"a <> b and {_near(scheme)}").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct(), "links")
+    roots = written(components(first), "roots")
+    marked = written(prints.join(F.broadcast(roots) if small_or_none(roots) else roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root"), "marked")
+    table, probes = _sides(marked, scheme)
+    # a probe matters where a table row of another component has its key; of a table's key, the lowest and the highest component tell
+    ends = table.groupBy("key").agg(F.min("component_b").alias("low"), F.max("component_b").alias("high"))
+    asking = written(probes.join(ends.hint("shuffle_merge"), "key").where("component_a <> low or component_a <> high").drop("low", "high"), "asking")
+    answers = table.join(asking.select("key").distinct(), "key", "left_semi")
+    rest = asking.join(answers.hint("shuffle_merge"), "key").where(f"component_a <> component_b and {_near(scheme)}").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
+    return components(first.union(rest))
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
@@ -133,11 +199,11 @@ def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     node = "f0" if len(names) == 1 else f"xxhash64({', '.join(names)})"
     prints = written(fingerprints(docs, scheme or SCHEMES[0]), "fingerprints")
     nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", F.expr(node)), "nodes")
-    roots = components(links(nodes.select("node", *names), scheme or scheme_for(nodes.count())))
+    roots = linked(nodes.select("node", *names), scheme or search_for(nodes.count()))
     joined = roots.join(nodes.select("node", "least"), "node")
     lowest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = written(roots.join(lowest, "root").select("node", "component_id"), "linked")
-    labels = nodes.join(linked, "node", "left").select(*names, F.coalesce("component_id", "least").alias("component_id"))
+    labelled = written(roots.join(lowest, "root").select("node", "component_id"), "linked")
+    labels = nodes.join(labelled, "node", "left").select(*names, F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(labels, names).select("doc_id", *names, "component_id")
 
 

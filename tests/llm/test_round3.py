@@ -351,3 +351,30 @@ def test_words_put_in_or_left_out_do_not_hide_a_licence(spark):
     assert "mit" in found[0]
     assert [i for i, label, _ in rows[1:] if label not in found[i]] == []
     assert all(not found[i] for i, _, _ in shuffled)
+
+
+# --- SimHash -------------------------------------------------------------------------------------------------------------
+
+
+def test_links_by_unions_of_segments_and_through_hubs(spark):
+    from brindle.llm import simhash
+
+    prepared(spark)
+    r = random.Random(17)
+    base = [r.getrandbits(64) for _ in range(5)]
+    values = sorted({b ^ sum(1 << p for p in r.sample(range(64), k)) for b in base for k in range(8) for _ in range(5)} | {0, 2**64 - 1, 1 << 63})
+    # a large group of near copies, and a chain whose ends are far apart
+    values = sorted({*values, *(sum(1 << p for p in (40, *r.sample(range(40), 2))) for _ in range(60)), *((1 << 4 * k) - 1 for k in range(16))})
+    n = len(values)
+    df = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)], "node long, f0 long")
+    want = {(a, b) for b in range(n) for a in range(b) if (values[a] ^ values[b]).bit_count() <= 4}
+    assert {tuple(x) for x in simhash.links(df, simhash.Unions()).collect()} == want
+    root = list(range(n))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in sorted(want):
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    tied = {(x, find(x)) for pair in want for x in pair}
+    for scheme in (*simhash.SCHEMES, simhash.Unions()):
+        assert {tuple(x) for x in simhash.linked(df, scheme).collect()} == tied
+    assert len(simhash.Unions().masks) == 70 and [type(simhash.search_for(k)).__name__ for k in (0, 10**6, 10**9, 10**10)] == ["Scheme", "Scheme", "Unions", "Unions"]
+    assert all(simhash.work(simhash.search_for(k), k) < 400 for k in (10**6, 10**9))
