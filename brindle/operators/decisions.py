@@ -182,6 +182,23 @@ def linked_outcome(target: Column, peer: Column, cached: Column, halted: Column,
     )
 
 
+#: Counters of what became of linked listings' sellers, by where the verdict came from.
+COUNTERS = {
+    "same_cycle": ["confirmed_agent", "registration_year_excluded", "inventory_limit", "mass_inventory", "resolved"],
+    "cache": ["confirmed_agent", "confirmed_owner", "registration_year_excluded", "inventory_limit", "mass_inventory", "unknown"],
+    "detail": ["confirmed_agent", "confirmed_owner", "profile_likely", "registration_year_excluded", "inventory_limit", "mass_inventory", "unknown", "rate_limited", "transport_failure", "parser_failure", "capacity_deferred"],
+    "skipped": ["after_rate_limit"],
+    "not": ["required"],
+}
+# End of the fixed values.
+
+
+def verification_counter(target: Column, peer: Column, cached: Column, halted: Column, rank: Column, cap: int, detail: Column) -> Column:
+    """The counter of a linked listing: by its peer, the cache, the halt after a 429, the cap on requests, or what the request gave."""
+    of = lambda where, verdict: F.concat(F.lit(f"{where}_"), verdict)
+    return first_rule([(~target, "not_required"), (peer.isNotNull(), of("same_cycle", peer)), (cached.isNotNull(), of("cache", cached)), (halted, "skipped_after_rate_limit"), (rank > cap, "detail_capacity_deferred")], of("detail", detail))
+
+
 def wait_ms(elapsed_ms: Column, interval_ms: int) -> Column:
     """Polls do not overlap: the rest of the interval is waited; the whole of it where the time that passed is not known."""
     if interval_ms <= 0:

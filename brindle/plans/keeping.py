@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import texts
-from brindle.operators import coverage, matching, ordered, profiles, state
+from brindle.operators import coverage, decisions, matching, ordered, profiles, state
 from brindle.plans.base import L, bound, listings, plain, query, scratch, table
 from brindle.plans.records import _CLS, _FACTS, _HEAD, _LABEL, _MONEY, assessed, facts, headline
+from brindle.sources import pages
 
 stamp = lambda s: F.expr(f"cast('{s}' as timestamp_ntz)")
 
@@ -232,3 +233,41 @@ def snk3_fn19_html_message(spark, sf):
     c = F.col
     html = texts.html_message(headline(c("property_type"), c("rooms")), texts.price_label(c("amount"), c("currency"), c("period")), facts(c("area"), c("rooms")), confirmed, c("p"), c("q"), c("source"), c("link"))
     return rows.select("pos", html.alias("html")).withColumn("plain", texts.plain_message(F.col("html")))
+
+
+# --- counters and batches ----------------------------------------------------------------------------------------------
+
+_SAYS = {where: f"CASE o_orderkey % {m} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(decisions.COUNTERS[where][: 10 if where == "detail" else None])) + " END" for where, m in (("same_cycle", 17), ("cache", 13), ("detail", 10))}
+_LINKED = f"SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS cycle, o_orderkey % 4 <> 0 AS target, {_SAYS['same_cycle']} AS peer, {_SAYS['cache']} AS cached, {_SAYS['detail']} AS detail FROM {{orders}}"
+_NAMES = [f"{where}_{v}" for where, verdicts in decisions.COUNTERS.items() for v in verdicts]
+_CAP_CHECKS = 3
+
+
+@query(
+    f"""WITH c AS ({plain(_LINKED)}), n AS (SELECT *, target AND peer IS NULL AND cached IS NULL AS needs FROM c), r AS (SELECT *, count(*) FILTER (WHERE needs) OVER (PARTITION BY cycle ORDER BY id) AS place, count(*) FILTER (WHERE needs AND detail = 'rate_limited') OVER (PARTITION BY cycle ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS halted FROM n),
+o AS (SELECT CASE WHEN NOT target THEN 'not_required' WHEN peer IS NOT NULL THEN 'same_cycle_' || peer WHEN cached IS NOT NULL THEN 'cache_' || cached WHEN halted THEN 'skipped_after_rate_limit' WHEN place > {_CAP_CHECKS} THEN 'detail_capacity_deferred' ELSE 'detail_' || detail END AS counter, needs AND NOT halted AND place <= {_CAP_CHECKS} AS asked FROM r),
+k AS (SELECT unnest({_NAMES!r}) AS counter) SELECT k.counter, count(o.counter) AS n FROM k LEFT JOIN o ON o.counter = k.counter GROUP BY k.counter UNION ALL SELECT 'detail_requests', count(*) FILTER (WHERE asked) FROM o"""
+)
+def agg24_verification_counters(spark, sf):
+    """All counters of linked sellers' verification over all cycles, those that nothing came to as well, and the requests made."""
+    needs = F.expr("target and peer is null and cached is null")
+    upto = Window.partitionBy("cycle").orderBy("id")
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    rows = bound(spark, sf, _LINKED).withColumn("place", F.count_if(needs).over(upto)).withColumn("halted", F.coalesce(F.count_if(needs & (F.col("detail") == "rate_limited")).over(before) > 0, F.lit(False)))
+    counter = decisions.verification_counter(F.col("target"), F.col("peer"), F.col("cached"), F.col("halted"), F.col("place"), _CAP_CHECKS, F.col("detail"))
+    asked = needs & ~F.col("halted") & (F.col("place") <= _CAP_CHECKS)
+    sums = rows.withColumn("counter", counter).agg(*(F.count_if(F.col("counter") == n).alias(n) for n in _NAMES), F.count_if(asked).alias("detail_requests"))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(n).alias("counter"), F.col(n).alias("n")) for n in sums.columns))).alias("c")).select("c.*")
+
+
+_OFFERS = """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '{"title":"no id"}' ELSE '{"id":"' || CAST(event_id // 3 AS STRING) || '","title":"T' || event_type || '"}' END AS raw FROM {events}"""
+
+
+@query("WITH o AS (SELECT event_id, event_id % 7 = 0 AS bad, CAST(event_id // 3 AS STRING) AS id FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY bad, id ORDER BY event_id) AS k FROM o) SELECT event_id, CASE WHEN bad THEN 'no_id' WHEN k > 1 THEN 'duplicate' ELSE 'accepted' END AS outcome FROM f")
+def src5_batch_with_duplicates(spark, sf):
+    """A batch of offers: rejected with their reason, and of those that are accepted the first of each id."""
+    rows = pages.parsed_offers(bound(spark, sf, _OFFERS.replace("//", "div")), "raw").select("event_id", "offer.id", "reject_reason")
+    good = rows.where("reject_reason is null")
+    first = good.groupBy("id").agg(F.min("event_id").alias("event_id")).select("event_id", F.lit(True).alias("first"))
+    told = F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason")).when(F.col("first"), "accepted").otherwise("duplicate")
+    return rows.join(first, "event_id", "left").select("event_id", told.alias("outcome"))
