@@ -1,7 +1,7 @@
 """Token counts that follow edits: a segment tree over each document's pre-tokens.
 
 A leaf stands for a run of pre-tokens and holds how many characters, tokens and pre-tokens it has; inner nodes hold sums. The pre-tokens of a leaf are
-found again by splitting its part of the text, so a stored tree is a few numbers for every 64 pre-tokens, and an edit looks only at the leaves
+found again by splitting its part of the text, so a stored tree is a few numbers for every 16 pre-tokens, and an edit looks only at the leaves
 where it begins and ends.
 """
 
@@ -17,7 +17,9 @@ from brindle.llm.bpe import Tokenizer, compiled, tokenizer_file
 from brindle.llm.shared import documents, texts, written
 
 #: Pre-tokens in a leaf; a leaf of more than GROWN times as many is divided.
-LEAF, GROWN = 64, 8
+LEAF, GROWN = 16, 8
+#: Characters of an edited stretch up to which its old pre-tokens are counted again; of a longer one the leaves' ends are.
+NEAR = 2000
 _SUMS = ("chars", "tokens", "pieces")
 #: Columns of a stored tree: each an array of inner nodes and leaves, node n over 2 n and 2 n + 1.
 STORED = [f"__{s}" for s in _SUMS]
@@ -179,22 +181,31 @@ class CountedText:
                     met = place
                     break
             fresh.append(piece)
-        after: list[str] = []
         if met < n:
             last, begin = tree.leaf_at(met)
-            if begin < met or last <= first:
-                after = self.between(old, met, tree.end_of(last, begin))
-            else:  # the leaf begins there: nothing of it changes
-                last -= 1
+            end_of_last = tree.end_of(last, begin)
+            if begin == met and last > first:  # the leaf begins there: nothing of it changes
+                last, end_of_last = last - 1, met
         else:
-            last = tree.width - 1
+            last, end_of_last = tree.width - 1, n
         self.reencoded += len(fresh)
-        pieces = [*before, *fresh, *after]
-        self.touched += len(pieces)
-        sizes, counts = list(map(len, pieces)), self.tokenizer.counts(pieces)
-        tree.replace(first, last, (sum(sizes), sum(counts), len(pieces)))
-        if len(pieces) > GROWN * LEAF:
-            self.counts = tree.divided(first, sizes, counts)
+        count = self.tokenizer.counts
+        if met - at <= NEAR:
+            gone = self.between(old, at, met)
+            low, high = tree.width + first, tree.width + last + 1
+            chars, tokens, pieces = (int(x[low:high].sum()) for x in tree.nodes)
+            values = (chars + len(self.text) - n, tokens - sum(count(gone)) + sum(count(fresh)), pieces - len(gone) + len(fresh))
+            self.touched += len(gone) + len(fresh)
+        else:
+            made = [*before, *fresh, *self.between(old, met, end_of_last)]
+            values = (sum(map(len, made)), sum(count(made)), len(made))
+            self.touched += len(made)
+        tree.replace(first, last, values)
+        if values[2] > GROWN * LEAF:
+            leaf, begin = first, int(tree.nodes[0][tree.width : tree.width + first].sum())
+            made = self.between(self.text, begin, begin + values[0])
+            self.touched += len(made)
+            self.counts = tree.divided(leaf, list(map(len, made)), count(made))
 
 
 def _lists(trees: list[CountTree]) -> list[pa.Array]:
