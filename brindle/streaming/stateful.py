@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -88,6 +88,7 @@ class Folding(StatefulProcessor):
     """Folds each key's rows, in the order of (at, tie) within a micro-batch, into a state of named values; subclasses say how."""
 
     STATE = ""
+    OUT: Row  # the names of the columns that go out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -100,28 +101,49 @@ class Folding(StatefulProcessor):
         """The next state and the rows that go out."""
         raise NotImplementedError
 
-    def result(self, key: tuple, state: tuple, out: list[tuple]) -> pd.DataFrame:
-        raise NotImplementedError
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = tuple(self.state.get()) if self.state.exists() else self.begin()
-        out: list[tuple] = []
-        for row in pd.concat(list(rows)).sort_values(["at", "tie"]).itertuples(index=False):
+    def result(self, key: tuple, state: tuple, out: list[tuple]) -> list[tuple]:
+        """The rows that go out after a micro-batch, without the key."""
+        return out
+
+    def deadline(self, state: tuple) -> int:
+        """When a timer is to go off for a key in this state; -1: none."""
+        return -1
+
+    def settle(self, before: int, state: tuple) -> None:
+        """The key's one timer, moved only if its time has changed: every call goes to the JVM and back."""
+        after = self.deadline(state)
+        if before != after:
+            if before >= 0:
+                self.handle.deleteTimer(before)
+            if after >= 0:
+                self.handle.registerTimer(after)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        kept = self.state.get()
+        state = self.begin() if kept is None else tuple(kept)
+        before, out = self.deadline(state), []
+        for row in sorted(rows, key=in_order):
             state, more = self.step(state, row)
             out += more
         self.state.update(state)
-        frame = self.result(key, state, out)
-        if len(frame):  # Arrow makes no string array of an empty column
-            yield frame
+        self.settle(before, state)
+        for values in self.result(key, state, out):
+            yield self.OUT(key[0], *values)
 
     def close(self) -> None:
         pass
 
 
+def in_order(row: Row) -> tuple:
+    """The order of (at, tie), nulls last."""
+    return row.at is None, row.at, row.tie is None, row.tie
+
+
 class SourceHealth(Folding):
     """Streaks, attempts, incidents opened at `threshold` failures in a row, and recoveries that end them; rows have `ok`."""
 
     STATE = "streak bigint, attempts bigint, opened bigint, recovered bigint"
+    OUT = Row("key", "consecutive_failures", "n_attempts", "opened", "recovered")
     threshold = 3
 
     def begin(self) -> tuple:
@@ -133,8 +155,8 @@ class SourceHealth(Folding):
             return (0, attempts + 1, opened, recovered + (streak >= self.threshold)), []
         return (streak + 1, attempts + 1, opened + (streak + 1 == self.threshold), recovered), []
 
-    def result(self, key: tuple, state: tuple, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "consecutive_failures": [state[0]], "n_attempts": [state[1]], "opened": [state[2]], "recovered": [state[3]]})
+    def result(self, key: tuple, state: tuple, out: list[tuple]) -> list[tuple]:
+        return [state]
 
 
 #: What each event makes of each status of an outbox row; all else changes nothing.
@@ -145,6 +167,7 @@ class Outbox(Folding):
     """Compare-and-set transitions of an outbox row; rows have `event`."""
 
     STATE = "status string, n bigint"
+    OUT = Row("key", "status", "n_events")
 
     def begin(self) -> tuple:
         return "pending", 0
@@ -152,8 +175,8 @@ class Outbox(Folding):
     def step(self, state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
         return (TRANSITIONS.get((state[0], row.event), state[0]), state[1] + 1), []
 
-    def result(self, key: tuple, state: tuple, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "status": [state[0]], "n_events": [state[1]]})
+    def result(self, key: tuple, state: tuple, out: list[tuple]) -> list[tuple]:
+        return [state]
 
 
 class Holds(Folding):
@@ -164,6 +187,7 @@ class Holds(Folding):
     """
 
     STATE = "deadline bigint"
+    OUT = Row("key", "at", "outcome")
     span_ms = 0
 
     def begin(self) -> tuple:
@@ -178,29 +202,21 @@ class Holds(Folding):
             return (row.at + self.span_ms if deadline < 0 else deadline,), out
         return (-1,), [*out, (row.at, "sent" if row.verdict == "allow" else "dropped")]
 
-    def result(self, key: tuple, state: tuple, out: list[tuple]) -> pd.DataFrame:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if state[0] >= 0:
-            self.handle.registerTimer(state[0])
-        return self._frame(key, out)
+    def deadline(self, state: tuple) -> int:
+        return state[0]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        deadline = self.state.get()[0] if self.state.exists() else -1
-        if deadline >= 0:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        kept = self.state.get()
+        if kept is not None and kept[0] >= 0:
             self.state.clear()
-            yield self._frame(key, [(deadline, "expired")])
-
-    @staticmethod
-    def _frame(key: tuple, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]] * len(out), "at": [x[0] for x in out], "outcome": [x[1] for x in out]}).astype({"at": "int64"})
+            yield self.OUT(key[0], kept[0], "expired")
 
 
 def _folded(rows: DataFrame, processor: StatefulProcessor, output: str, mode: str, time: str) -> DataFrame:
     """Keyed state in RocksDB, which is snapshotted to the checkpoint: it outlives executors and restarts."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=f"key {kind}, {output}", outputMode=mode, timeMode=time)
+    return rows.groupBy("key").transformWithState(statefulProcessor=processor, outputStructType=f"key {kind}, {output}", outputMode=mode, timeMode=time)
 
 
 def source_health(stream: DataFrame) -> DataFrame:
