@@ -279,6 +279,8 @@ def location_key(city: Column, district: Column, street: Column, precise: Column
     """struct(kind, key): precise with a building, coarse with a district or street, else insufficient."""
     from brindle.functions.texts import address
 
-    key = address(F.concat_ws(", ", address(city), address(district), address(street)))
-    kind = F.when(address(city).isNull(), "insufficient").when(address(street).isNotNull() & precise, "precise").when(address(district).isNotNull() | address(street).isNotNull(), "coarse").otherwise("insufficient")
-    return F.struct(kind.alias("kind"), F.when(kind != "insufficient", key).alias("key"))
+    def told(p: Column) -> Column:
+        kind = F.when(p["city"].isNull(), "insufficient").when(p["street"].isNotNull() & p["precise"], "precise").when(p["district"].isNotNull() | p["street"].isNotNull(), "coarse").otherwise("insufficient")
+        return bound(kind, lambda k: F.struct(k.alias("kind"), F.when(k != "insufficient", address(F.concat_ws(", ", p["city"], p["district"], p["street"]))).alias("key")))
+
+    return bound(F.struct(address(city).alias("city"), address(district).alias("district"), address(street).alias("street"), precise.alias("precise")), told)

@@ -343,14 +343,15 @@ def src27_profile_inventory(spark, sf):
     listed = bound(spark, sf, _PROFILES).select("seller", F.to_json(ad).alias("ad")).groupBy("seller").agg(F.array_join(F.collect_list("ad"), ",").alias("ads"), F.count("*").alias("n"))
     total = F.when(F.expr("seller % 6 = 0"), '"x"').otherwise(F.col("n").cast("string"))
     raw = F.concat(F.lit('{"userListing":{"userListing":{"totalPages":1,"totalElements":'), total, F.lit(',"ads":['), F.col("ads"), F.lit("]}}}"))
-    pages_ = listed.select("seller", sites.profile_inventory(F.try_parse_json(raw)).alias("p"))
-    where = lambda a: sellers.location_key(sites.text(a, "$.city"), sites.text(a, "$.district"), sites.text(a, "$.street"), sites.text(a, "$.street").isNotNull())
-    ads = pages_.where("p.acquired").select("seller", F.explode("p.ads").alias("a")).select("seller", (sites.text(F.col("a"), "$.category.type") == "real_estate").alias("estate"), where(F.col("a")).alias("k"))
-    counts = ads.groupBy("seller").agg(
-        F.count("*").alias("visible_ads"), F.count_if("estate").alias("real_estate_ads"), F.count_distinct(F.expr("if(estate and k.kind = 'precise', k.key, null)")).alias("n_precise"), F.count_distinct(F.expr("if(estate and k.kind = 'coarse', k.key, null)")).alias("n_coarse")
-    )
-    joined = pages_.select("seller", "p.acquired", F.expr("if(p.acquired, p.total_pages, null)").alias("total_pages")).join(counts, "seller", "left")
-    return joined.na.fill(0, ["visible_ads", "real_estate_ads", "n_precise", "n_coarse"])
+    read = listed.select("seller", F.try_parse_json(raw).alias("state")).select("seller", sites.profile_inventory(F.col("state")).alias("p"))
+    fields = lambda a: F.struct(sites.text(a, "$.category.type").alias("type"), *(sites.text(a, f"$.{c}").alias(c) for c in ("city", "district", "street")))
+    place = lambda f: F.struct(F.coalesce(f["type"] == "real_estate", F.lit(False)).alias("estate"), sellers.location_key(f["city"], f["district"], f["street"], f["street"].isNotNull()).alias("k"))
+    # a page is one row, so its ads are read and counted where they are, once each
+    ads = F.when(F.col("p.acquired"), F.transform("p.ads", lambda a: sellers.bound(fields(a), place)))
+    read = read.select("seller", "p.acquired", F.when(F.col("p.acquired"), F.col("p.total_pages")).alias("total_pages"), ads.alias("ads"))
+    places = lambda kind: F.size(F.array_distinct(F.transform(F.filter("ads", lambda a: a["estate"] & (a["k"]["kind"] == kind)), lambda a: a["k"]["key"])))
+    counts = {"visible_ads": F.size("ads"), "real_estate_ads": F.size(F.filter("ads", lambda a: a["estate"])), "n_precise": places("precise"), "n_coarse": places("coarse")}
+    return read.select("seller", "acquired", "total_pages", *(F.coalesce(F.when(F.col("ads").isNotNull(), c), F.lit(0)).cast("bigint").alias(name) for name, c in counts.items()))
 
 
 _LINKS = """SELECT page_id, html || CASE page_id % 5 WHEN 0 THEN '<a href="/uk/list/user/Ab' || CAST(page_id AS STRING) || '">' WHEN 1 THEN '<a data-testid="seller-link" href="https://m.olx.ua/x"><a data-testid="user-profile-link" href="https://Shop' || CAST(page_id AS STRING) || '.olx.ua/uk/">'

@@ -27,9 +27,9 @@ def value(v: Column, path: str, kind: str = "string") -> Column:
 
 
 def text(v: Column, path: str) -> Column:
-    """The string at `path`; other kinds of values count as missing, and so does the empty string."""
-    found = F.try_variant_get(v, path, "variant")
-    return F.when(F.schema_of_variant(found) == "STRING", F.nullif(F.try_variant_get(v, path, "string"), F.lit("")))
+    """The string at `path`; other kinds of values count as missing, and so does the empty string. The path is looked up once."""
+    string = lambda x: F.when(F.schema_of_variant(x) == "STRING", x.cast("string"))
+    return sellers.bound(sellers.bound(F.try_variant_get(v, path, "variant"), string), lambda s: F.when(s != "", s))
 
 
 def photo_links(v: Column, path: str = "$.photos") -> Column:
