@@ -25,8 +25,17 @@ def query(sql: str | None = None):
     return register
 
 
+#: Rows and bytes of one Arrow batch at most, so that a Python worker holds a few megabytes of pages whatever their number and length; and what makes it give memory back.
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_ARENA_MAX": "2"}
+
+
 def shipped(spark: SparkSession) -> SparkSession:
-    """This package on the Python workers' path (on a cluster: --py-files or an image)."""
+    """This package on the Python workers' path (on a cluster: --py-files or an image), and small Arrow batches."""
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = [x for x in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if x]
     if home not in paths:
