@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.stored import stored
 #: Reasons that confirm a duplicate, best first, and the classes of identity keys, weakest first.
 REASONS = ["explicit_external_listing_id", "explicit_external_url", "same_platform_listing_id", "same_canonical_url", "lun_group_id"]
 CLASSES = ["lun_cluster", "own", "explicit_external"]
@@ -125,14 +126,14 @@ def first_come(keys: DataFrame) -> DataFrame:
     Rounds: a row that is the first of all its keys is kept, and those that share a key with it are not. Each round is a minimum a key, combined before the
     shuffle, and equi-joins; nothing gathers the rows of a key or of a component in one task. The first row left is always decided, so this ends.
     """
-    left, kept = keys.distinct().checkpoint(), []
+    left, kept = stored(keys.distinct()), []
     while not left.isEmpty():
         first = left.groupBy("key").agg(F.min("pos").alias("first"))
-        winners = left.join(first, "key").groupBy("pos").agg(F.bool_and(F.col("pos") == F.col("first")).alias("wins")).where("wins").select("pos").checkpoint()
+        winners = stored(left.join(first, "key").groupBy("pos").agg(F.bool_and(F.col("pos") == F.col("first")).alias("wins")).where("wins").select("pos"))
         kept.append(winners)
         taken = left.join(winners, "pos", "left_semi").select("key").distinct()
         decided = left.join(taken, "key", "left_semi").select("pos").distinct()
-        left = left.join(decided, "pos", "left_anti").checkpoint()
+        left = stored(left.join(decided, "pos", "left_anti"))
     return reduce(DataFrame.union, kept) if kept else left.select("pos")
 
 

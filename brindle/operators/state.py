@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.ordered import streaks
+from brindle.operators.stored import stored
 
 
 def merged(state: DataFrame, batch: DataFrame, key: list[str], latest: list[str], least: list[str] = [], most: list[str] = [], order: list[str] = []) -> DataFrame:  # noqa: B006
@@ -37,8 +38,8 @@ def merged_unique(state: DataFrame, batch: DataFrame, keys: list[str], latest: l
     own = F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in keys)))
     old = state.withColumns({"__new": F.lit(0), "aliases": F.array_union("aliases", own)})
     rows = old.unionByName(batch.withColumns({"__new": F.lit(1), "aliases": own}))
-    tied = rows.select("pos", F.explode("aliases").alias("key")).distinct().checkpoint()
-    found = rows.join(key_components(tied), "pos", "left").withColumn("component", F.coalesce("component", "pos")).checkpoint()
+    tied = stored(rows.select("pos", F.explode("aliases").alias("key")).distinct())
+    found = stored(rows.join(key_components(tied), "pos", "left").withColumn("component", F.coalesce("component", "pos")))
     order = F.struct("__new", "pos")
     known = found.select("component", F.explode("aliases").alias("alias")).groupBy("component").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
     folded = found.groupBy("component").agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions import sellers
 from brindle.operators import freshness as fresh
 from brindle.operators import matching
+from brindle.operators.stored import stored
 from brindle.plans.base import bound, listings, plain, query, scratch
 from brindle.plans.records import _CLS, _GEO, KEYS, flagged, identity_keys, provenance
 
@@ -150,7 +151,7 @@ def poll(state: CycleState, p: Poll, batch: DataFrame, replies: DataFrame, rules
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("source"))
     place = lambda r: p.number * F.lit(_STEP * 10) + r * F.lit(_STEP) + F.col("pos")
     batch = batch.where(~F.col("source").isin(p.failed)).withColumn("ord", place(rank))
-    keys = identity_keys(batch).checkpoint()
+    keys = stored(identity_keys(batch))
 
     # what is settled before the rows are looked at one after the other
     why = sellers.rejection_reason(F.col("seller_type"), F.col("level"))
@@ -158,12 +159,12 @@ def poll(state: CycleState, p: Poll, batch: DataFrame, replies: DataFrame, rules
     tied = matching.tied_to(keys, bad).withColumn("tied", F.lit(True))
     known = sources.select("source", F.lit(True).alias("established"))
     seen = state.read("seen").select("source", "source_id").distinct().withColumn("seen", F.lit(True))
-    live = state.current("holds").where("state = 'held'").checkpoint()
+    live = stored(state.current("holds").where("state = 'held'"))
     waits = live.select("source", "source_id", F.lit(True).alias("waits"))
     marked = batch.join(tied, ["source", "source_id"], "left").join(known, "source", "left").join(seen, ["source", "source_id"], "left").join(waits, ["source", "source_id"], "left")
     outcome = F.when(~F.coalesce("accepted", F.lit(False)), "filtered").when(F.col("tied"), "peer_rejected").when(F.col("established").isNull(), "baseline").when(F.col("seen"), "seen").when(F.col("waits"), "held")
     own = provenance(marked).withColumn("assessment", sellers.assessment(F.col("seller_type"), F.col("level"))["state"])
-    marked = own.select("pos", "ord", "source", "source_id", "published_at", "refreshed_at", "needs_check", "assessment", F.col("external_name").alias("origin"), "external_id", outcome.alias("outcome")).withColumnRenamed("external_id", "origin_id").checkpoint()
+    marked = stored(own.select("pos", "ord", "source", "source_id", "published_at", "refreshed_at", "needs_check", "assessment", F.col("external_name").alias("origin"), "external_id", outcome.alias("outcome")).withColumnRenamed("external_id", "origin_id"))
 
     # held rows and open ones in one order
     columns = ["pos", "ord", "source", "source_id", "published_at", "refreshed_at", "needs_check", "assessment", "origin", "origin_id"]
@@ -173,10 +174,10 @@ def poll(state: CycleState, p: Poll, batch: DataFrame, replies: DataFrame, rules
     boundary = fresh.monitoring_boundary(F.when(~F.col("hold"), F.col("complete_at")), F.col("established_at"), cutover_at)
     kind = fresh.freshness(F.col("published_at"), F.col("refreshed_at"), now, boundary, interval(rules.max_age), interval(rules.grace))
     check = F.when(F.col("needs_check"), F.coalesce("check", F.lit("unresolved"))).otherwise("allow")
-    row_keys = live.select(place(F.lit(0)).alias("ord"), F.explode("keys").alias("key")).union(fresh_rows.join(keys, "pos").select("ord", "key")).checkpoint()
+    row_keys = stored(live.select(place(F.lit(0)).alias("ord"), F.explode("keys").alias("key")).union(fresh_rows.join(keys, "pos").select("ord", "key")))
     twins = row_keys.join(state.read("identities").select("key").distinct(), "key", "left_semi").select("ord").distinct().withColumn("known", F.lit(True))
     rows = answered.withColumns({"kind": kind, "verdict": check, "fetch": F.col("needs_check") & ~F.coalesce("cached", F.lit(False))}).withColumn("deliverable", fresh.deliverable(F.col("kind"), strict=True))
-    rows = rows.join(twins, "ord", "left").withColumn("known", F.coalesce("known", F.lit(False))).drop("established_at", "complete_at", "poll").checkpoint()
+    rows = stored(rows.join(twins, "ord", "left").withColumn("known", F.coalesce("known", F.lit(False))).drop("established_at", "complete_at", "poll"))
 
     def met(end: int | None) -> tuple[DataFrame, DataFrame]:
         """Rows that are enqueued if no seller is looked up after `end`, and rows that share a key with one enqueued before them."""
@@ -193,13 +194,13 @@ def poll(state: CycleState, p: Poll, batch: DataFrame, replies: DataFrame, rules
     verdict = F.col("verdict") if end is None else F.when(F.col("fetch") & (F.col("ord") > end), "unresolved").otherwise(F.col("verdict"))
     gate = F.when(F.col("hold") & (verdict == "reject"), "hold_rejected").when(F.col("hold") & (verdict != "allow"), F.when(now >= F.col("release_at"), "hold_expired").otherwise("hold_kept"))
     told = F.coalesce(gate, F.when(F.col("known") | F.col("met"), "duplicate").when(~F.col("deliverable"), F.col("kind")).when(verdict == "reject", "rejected_seller").when(verdict != "allow", "held").otherwise("enqueued"))
-    settled = rows.join(later, "ord", "left").withColumn("outcome", told).checkpoint()
+    settled = stored(rows.join(later, "ord", "left").withColumn("outcome", told))
 
     owed = state.current("outbox").where("status in ('pending', 'failed')").orderBy("ord").limit(rules.retries).join(replies.select("pos", "send"), "pos", "left")
     first = settled.where("outcome = 'enqueued'").withColumn("attempts", F.lit(0))
     message = ["pos", "ord", "source", "source_id", "attempts", "assessment", "origin", "origin_id", F.coalesce("send", F.lit("error")).alias("send")]
-    sent = _sent(owed.select(*message, F.lit(True).alias("again")).unionByName(first.select(*message, F.lit(False).alias("again"))).checkpoint())
-    sent = sent.where("not (again and status = 'pending')").withColumn("attempts", F.when(F.col("status") == "pending", F.col("attempts")).otherwise(F.col("attempts") + 1)).checkpoint()
+    sent = _sent(stored(owed.select(*message, F.lit(True).alias("again")).unionByName(first.select(*message, F.lit(False).alias("again")))))
+    sent = stored(sent.where("not (again and status = 'pending')").withColumn("attempts", F.when(F.col("status") == "pending", F.col("attempts")).otherwise(F.col("attempts") + 1)))
     result = F.when(F.col("again"), F.when(F.col("status") == "sent", "retried").otherwise("retry_failed")).otherwise(F.when(F.col("status") == "sent", "delivered").when(F.col("status") == "failed", "delivery_failed").otherwise("queued"))
 
     done = settled.where("outcome not in ('held', 'hold_kept')").unionByName(marked.where("outcome = 'baseline'"), allowMissingColumns=True)
@@ -306,7 +307,7 @@ def _polled(spark: SparkSession, sf: str) -> CycleState:
         return CycleState(spark, _DONE[made])
     spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
     flags = flagged(spark, sf).withColumn("accepted", F.coalesce(F.expr("location_ok and property_ok and seller_ok"), F.lit(False))).select("pos", "accepted", "seller_type", "level")
-    rows = listings(spark, sf).join(flags, "pos").withColumn("needs_check", F.expr(_CHECKED)).checkpoint()
+    rows = stored(listings(spark, sf).join(flags, "pos").withColumn("needs_check", F.expr(_CHECKED)))
     path = scratch(spark, "cycle")
     for part, one in [*POLLS, POLLS[-1]]:
         poll(CycleState(spark, path), one, rows.where(part), bound(spark, sf, _REPLIES.replace("{n}", str(one.number))), RULES)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import texts
 from brindle.operators import coverage, decisions, matching, ordered, profiles, state
+from brindle.operators.stored import stored
 from brindle.plans.base import L, bound, listings, plain, query, scratch, table
 from brindle.plans.records import _CLS, _FACTS, _HEAD, _LABEL, _MONEY, assessed, facts, headline
 from brindle.sources import pages
@@ -30,7 +31,7 @@ def _folded(spark, sf) -> DataFrame:
     first, second = (rows.where(f"batch = {i}").drop("batch") for i in (0, 1))
     now = first.limit(0).withColumn("aliases", F.array().cast("array<string>"))
     for batch in (first, second, second):
-        now = state.merged_unique(now, batch, ["id", "url", "fingerprint"], ["published"], ["first_seen"], ["last_seen"]).checkpoint()
+        now = stored(state.merged_unique(now, batch, ["id", "url", "fingerprint"], ["published"], ["first_seen"], ["last_seen"]))
     return now
 
 

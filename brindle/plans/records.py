@@ -98,7 +98,7 @@ def identity_keys(df):
     )
     rank = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("k.key_class"))
     rows = provenance(df).select("pos", "source", "source_id", F.explode(keys).alias("k")).where("k.key is not null")
-    return rows.groupBy("pos", "source", "source_id", F.col("k.key").alias("key")).agg(F.max_by("k.key_class", rank).alias("key_class"))
+    return rows.groupBy("pos", "source", "source_id", F.col("k.key").alias("key")).agg(F.element_at(F.array(*map(F.lit, CLASSES)), F.max(rank).cast("int")).alias("key_class"))  # numbers are hashed, strings would be sorted
 
 
 KEYS = (
