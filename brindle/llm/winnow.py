@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import words
-from brindle.llm.shared import chunks, documents, small_or_none, texts, written
+from brindle.llm.shared import chunks, documents, texts, written
 
 #: Words of a line, and the fewest words that a repeated run must have to go.
 LINE_WORDS, RUN_WORDS = 16, 50
-#: So many 64-bit keys are sent to all tasks; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: So many 64-bit keys are sent to all tasks; more are joined by a shuffle, of the documents that `perhaps` lets through.
+BROADCAST_KEYS = 10_000
+#: Bits of that filter for each document asked for, and at most (4 MB).
+FILTER_BITS, MOST_BITS = 16, 1 << 25
 #: The key that says that a document repeats itself.
 OWN = np.uint64(0)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -108,12 +110,24 @@ def _known(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
+def perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`docs` with __perhaps: false for rows whose doc_id is certainly not among `ids` (doc_id), and for null ones.
+
+    A bitmap of hashed ids, of bounded size, goes to all tasks, so that only the texts concerned are dealt out, whatever the number of ids; with
+    very many of them more rows go through that need not.
+    """
+    n = min(MOST_BITS, max(64, FILTER_BITS * ids.count()))
+    at = lambda c: F.expr(f"pmod(xxhash64(cast({c} as bigint)), {n})")
+    words_ = ids.where("doc_id is not null").select(at("doc_id").alias("bit")).groupBy(F.expr("bit div 64").alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("__bits"))
+    rows = docs.withColumn("__bit", at("doc_id")).withColumn("__word", F.when(F.col("doc_id").isNotNull(), F.expr("__bit div 64")))
+    set_ = F.expr("coalesce(shiftright(__bits, cast(__bit % 64 as int)) & 1L, 0L) = 1L")
+    return rows.join(F.broadcast(words_), "__word", "left").withColumn("__perhaps", set_).drop("__bit", "__bits", "__word")
+
+
 def _asked(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc_id, text, keys) of the documents in `keys` (doc_id, keys)."""
-    rows = _known(docs)
-    if small_or_none(keys):  # then only the texts concerned are dealt out
-        rows = rows.join(F.broadcast(keys.select("doc_id")), "doc_id", "left_semi")
-    return rows.join(keys, "doc_id").select("doc_id", "text", "keys")
+    rows = perhaps(_known(docs), keys.select("doc_id")).where("__perhaps")
+    return rows.join(keys.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "keys")
 
 
 def _salted(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -223,8 +237,14 @@ def deduplicated(docs: DataFrame, line: int = LINE_WORDS, run: int = RUN_WORDS)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     total = gone.agg(F.sum(F.size("__keys") + 2)).first()[0] or 0
-    joined = docs.join(F.broadcast(gone) if total <= BROADCAST_KEYS else gone, docs["doc_id"] == gone["__of"], "left").select(*names, "__keys")
-    return joined.mapInArrow(made, f"{schema}, __runs {_RUNS_DDL}")
+    if total <= BROADCAST_KEYS:
+        joined = docs.join(F.broadcast(gone), docs["doc_id"] == gone["__of"], "left").select(*names, "__keys")
+        return joined.mapInArrow(made, f"{schema}, __runs {_RUNS_DDL}")
+    marked = perhaps(docs, gone.select(F.col("__of").alias("doc_id")))
+    whole = marked.where("not __perhaps").select(*names, F.lit(None).cast(_RUNS_DDL).alias("__runs"))
+    some = marked.where("__perhaps").select(*names)
+    joined = some.join(gone.hint("shuffle_merge"), some["doc_id"] == gone["__of"], "left").select(*names, "__keys")
+    return whole.unionByName(joined.mapInArrow(made, f"{schema}, __runs {_RUNS_DDL}"))
 
 
 def repeated_runs(docs: DataFrame, line: int = LINE_WORDS, run: int = RUN_WORDS) -> DataFrame:
