@@ -9,10 +9,11 @@ dense table of a 50,000-word vocabulary would have billions of cells.
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -22,8 +23,8 @@ from brindle.llm.pretokens import splitter
 from brindle.llm.shared import digest_hex, documents, texts
 
 _NEVER = 1 << 60
-#: Words (and bytes of words) whose encodings a worker keeps; beyond that it forgets all and begins anew.
-CACHE_WORDS, CACHE_BYTES = 250_000, 16 << 20
+#: Words (and bytes of words) whose encodings a worker keeps; beyond that it forgets all but the half that it met first, the frequent ones among them.
+CACHE_WORDS, CACHE_BYTES = 400_000, 16 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -48,20 +49,24 @@ class Automaton:
             if pair not in self.merged and whole not in self.born:
                 self.merged[pair] = rank
                 self.born[whole], self.parts[whole] = rank, pair
-        # the table of the tokens read backwards: node << 8 | byte -> node, and the token that ends at a node
+        # the table of the tokens read backwards: node << 8 | byte -> node; the longest token on the way to a node, and the next longest after each
         self._back: dict[int, int] = {}
         self._token: list[int] = [-1]
-        for token, i in vocabulary.items():
+        self._shorter: dict[int, int] = {-1: -1}
+        self._longest = 1
+        for token, i in sorted(vocabulary.items(), key=lambda item: len(item[0])):
             # bytes are there from the start; a gadget adds its token only if its arc was there to be taken away
             if len(token) > 1 and (i not in self.born or self.since(*self.parts[i]) != self.born[i]):
                 continue
             node = 0
             for byte in reversed(token):
-                key = node << 8 | byte
+                key, above = node << 8 | byte, node
                 if (node := self._back.get(key, 0)) == 0:
                     node = self._back[key] = len(self._token)
-                    self._token.append(-1)
-            self._token[node] = i
+                    self._token.append(self._token[above])
+            self._shorter[i], self._token[node] = self._token[node], i
+            self._longest = max(self._longest, len(token))
+        self._sizes = {i: len(t) for t, i in vocabulary.items()}
         self._arcs.clear()
 
     def since(self, a: int, b: int) -> int:
@@ -89,36 +94,45 @@ class Automaton:
     def encode(self, word: bytes) -> tuple[int, ...]:
         """Token ids of a pre-split word.
 
-        Every prefix is ended by exactly one token: one that may be read first if it is the whole prefix,
-        else one with an arc from the state of the prefix before it. The backward table gives the candidates.
+        Every stretch of a word has exactly one path that the automaton accepts. It is found from the word's end: the backward table gives the tokens that
+        end at a place, the longest first, and one is taken if there is an arc from it to the token after it. A place that none leads on from is
+        reached by no other path, so it is given up for good.
         """
-        n, back, token_at, arcs = len(word), self._back.get, self._token, self._arcs
-        state = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            node, at = 0, end
-            while at:
-                at -= 1
-                node = back(node << 8 | word[at], 0)
-                if not node:
-                    raise ValueError("a byte is not in the vocabulary")
-                token = token_at[node]
-                if token < 0:
-                    continue
-                if not at:
-                    state[end] = token
+        back, token_at, arcs, shorter, sizes, reach = word[::-1], self._token, self._arcs, self._shorter, self._sizes, self._longest
+        step, n, at, after = self._back.get, len(word), 0, -1  # places count from the end
+        found: list[int] = []
+        dead: set[int] = set()
+        while at < n:
+            node = 0
+            for byte in back[at : at + reach]:
+                if not (below := step(node << 8 | byte, 0)):
                     break
-                before = state[at]
-                arc = arcs.get((before, token))
-                if (self.since(before, token) if arc is None else arc) == _NEVER:
-                    state[end] = token
+                node = below
+            token = token_at[node]
+            while True:
+                while token >= 0:
+                    if after < 0:
+                        there = True
+                    else:
+                        arc = arcs.get((token, after))
+                        there = (self.since(token, after) if arc is None else arc) == _NEVER
+                    if there and at + sizes[token] not in dead:
+                        break
+                    token = shorter[token]
+                if token >= 0:
                     break
-            else:
-                raise ValueError("a byte is not in the vocabulary")
-        found, end = [], n
-        while end:
-            found.append(state[end])
-            end -= len(self.labels[state[end]])
-        return tuple(reversed(found))
+                if not found:
+                    raise ValueError("a byte is not in the vocabulary")
+                dead.add(at)
+                token = found.pop()
+                at -= sizes[token]
+                after = found[-1] if found else -1
+                token = shorter[token]
+            found.append(token)
+            at += sizes[token]
+            after = token
+        found.reverse()
+        return tuple(found)
 
 
 class Tokenizer:
@@ -142,15 +156,26 @@ class Tokenizer:
         self.numerals = {i: str(i) for i in self.labels}
         self._words: dict[str, tuple[int, ...]] = {}
         self._held = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        """Keeps half of the words at most, in number and bytes; special tokens' strings count as words of one token."""
+        kept = {s: (i,) for s, i in self.special.items()}
+        held = 0
+        for word, ids in islice(self._words.items(), CACHE_WORDS // 2):
+            if held > CACHE_BYTES // 2:
+                break
+            kept[word] = ids
+            held += len(word)
+        self._words, self._held = kept, held
+        self.automaton._arcs.clear()
 
     def word(self, word: str) -> tuple[int, ...]:
         found = self._words.get(word)
         if found is None:
             found = self.automaton.encode(word.encode())
             if len(self._words) >= CACHE_WORDS or self._held > CACHE_BYTES:
-                self._words.clear()
-                self.automaton._arcs.clear()
-                self._held = 0
+                self._forget()
             self._words[word] = found
             self._held += len(word)
         return found
@@ -178,8 +203,9 @@ class Tokenizer:
     def pieces(self, text: str, begin: int = 0) -> Iterator[tuple[int, str]]:
         """(place, string) of the pre-tokens from place `begin` on, special tokens' strings among them; `begin` is where one starts."""
         finditer = self.pattern(text).finditer
+        has_special = any(s in text for s in self.special)
         while True:
-            special = self.specials.search(text, begin) if self.specials else None
+            special = self.specials.search(text, begin) if has_special else None
             end = special.start() if special else len(text)
             for match in finditer(text, begin, end):
                 yield match.start(), match.group()
@@ -190,11 +216,10 @@ class Tokenizer:
 
     def counts(self, pieces: list[str]) -> list[int]:
         """Tokens of each of the pre-tokens."""
-        known = self._words
         try:
-            return [len(known[w]) for w in pieces]
+            return list(map(len, map(self._words.__getitem__, pieces)))
         except KeyError:
-            return [1 if w in self.special else len(self.word(w)) for w in pieces]
+            return [len(self.word(w)) for w in pieces]
 
     def decode(self, ids: list[int]) -> str:
         """The arcs' labels put together; broken UTF-8 gives U+FFFD."""
@@ -203,7 +228,9 @@ class Tokenizer:
 
 @lru_cache(maxsize=2)
 def compiled(content: str) -> Tokenizer:
-    return Tokenizer(content)
+    made = Tokenizer(content)
+    gc.freeze()  # its tables stay, so no collection need go through them
+    return made
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:

@@ -40,7 +40,7 @@ class CountTree:
         low = width
         while low > 1:
             low //= 2
-            nodes[:, low : 2 * low] = nodes[:, 2 * low : 4 * low].reshape(3, low, 2).sum(axis=2)
+            np.add(nodes[:, 2 * low : 4 * low : 2], nodes[:, 2 * low + 1 : 4 * low : 2], out=nodes[:, low : 2 * low])
         return cls(tuple(nodes))
 
     @classmethod
