@@ -40,9 +40,10 @@ def olx_pages(spark, sf):
     return listed.select("page", F.concat(F.lit('{"data":['), F.array_join("ads", ","), F.lit("]}")).alias("payload"))
 
 
-def olx_offers(spark, sf):
-    items = olx_pages(spark, sf).select("page", F.posexplode(F.try_variant_get(F.try_parse_json("payload"), "$.data", "array<variant>")).alias("n", "v"))
-    return items.select("page", "n", "v", sites.offer(F.col("v")).alias("o"))
+def olx_offers(spark, sf, only=None):
+    """(page, n, o): an offer is read inside its page's row, so it is a column from there on and no later step reads it again."""
+    items = F.try_variant_get(F.try_parse_json("payload"), "$.data", "array<variant>")
+    return olx_pages(spark, sf).select("page", F.posexplode(F.transform(items, lambda v: sites.offer(v, only))).alias("n", "o"))
 
 
 _HOME = "CASE WHEN category NOT IN (1760, 330) OR pos % 7 IN (0, 1, 2) THEN 'unknown' WHEN category = 1760 THEN 'apartment' ELSE 'house' END"
@@ -65,10 +66,11 @@ def src1_src2_src4_fn22_fn24_offers(spark, sf):
     f"SELECT reason, count(*) AS n, count(DISTINCT id) AS n_ids, count(*) FILTER (WHERE k <= 40) AS n_samples FROM n GROUP BY reason"
 )
 def src3_src5_flt10_reject_reasons(spark, sf):
-    """What becomes of the offers where one category is expected: reasons in their order, and a bounded number of samples."""
+    """What becomes of the offers where one category is expected: reasons in their order, and a bounded number of samples; offers are read once for both."""
     from brindle.operators.ordered import ranked
+    from brindle.operators.stored import stored
 
-    rows = olx_offers(spark, sf).select("page", "n", F.col("o.id").alias("id"), F.coalesce(sites.offer_reject(F.col("o"), sites.APARTMENTS), F.lit("accepted")).alias("reason"))
+    rows = stored(olx_offers(spark, sf, sites.JUDGED).select("page", "n", F.col("o.id").alias("id"), F.coalesce(sites.offer_reject(F.col("o"), sites.APARTMENTS), F.lit("accepted")).alias("reason")))
     samples = ranked(rows, ["reason"], ["page", "n"]).where("__rank <= 40").groupBy("reason").agg(F.count("*").alias("n_samples"))
     return rows.groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids")).join(samples, "reason")
 
@@ -98,11 +100,13 @@ def src12_catalog_page(spark, sf):
     html = F.concat(F.lit("<html><script>window.__STATE__ = "), F.when(kind == 0, state).when(kind == 1, quoted).otherwise(F.left(state, F.lit(60))), F.lit(";</script>"), script)
     read = olx_pages(spark, sf).select("page", html.alias("html")).withColumn("s", pages.decoded_state(pages.state_column(F.col("html"), "__STATE__"))).withColumn("next", pages.script_json(F.col("html"), "__NEXT_DATA__"))
     method = F.when(F.col("s.complete"), "state").when(F.try_parse_json("next").isNotNull(), "next_data").otherwise("none")
-    read = read.withColumn("method", method)
-    offers = read.where("method = 'state'").select("page", F.explode(F.try_variant_get("s.value", "$.listing.listing.ads", "array<variant>")).alias("v")).select("page", sites.offer_reject(sites.offer(F.col("v"))).isNull().alias("ok"))
-    walked = read.where("method = 'next_data'").lateralJoin(pages.OfferLike(F.col("next").outer(), F.lit(1000))).select("page", F.lit(True).alias("ok"))
-    counts = offers.unionByName(walked).groupBy("page").agg(F.count("*").alias("n_raw"), F.count_if("ok").alias("n_listings"))
-    return read.select("page", "method").join(counts, "page", "left").na.fill(0, ["n_raw", "n_listings"])
+    # a page is one row and its offers are counted in it, so that it is read once
+    ads = F.try_variant_get("s.value", "$.listing.listing.ads", "array<variant>")
+    oks = F.transform(ads, lambda v: sellers.bound(sites.offer(v, sites.JUDGED), lambda o: sites.offer_reject(o).isNull()))
+    read = read.select("page", method.alias("method"), oks.alias("oks"), "next")
+    read = read.withColumn("walked", pages.offers_like_count(F.when(F.col("method") == "next_data", F.col("next")), 1000))
+    counted = lambda c: F.when(F.col("method") == "state", F.coalesce(c, F.lit(0))).otherwise(F.col("walked")).cast("bigint")
+    return read.select("page", "method", counted(F.size("oks")).alias("n_raw"), counted(F.size(F.filter("oks", lambda ok: ok))).alias("n_listings"))
 
 
 # --- cards in pushed payloads ----------------------------------------------------------------------------------------

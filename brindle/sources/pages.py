@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,25 +13,23 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 
+#: A string literal, which may be cut off by the end of the text, or a brace or bracket.
+_STRUCTURE = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|[{}\[\]]', re.S)
+_BRACES = re.compile(r"[{}\[\]]")
+_LITERAL = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"', re.S)
+
+
 def balanced(text: str, start: int, strings: bool = True) -> str | None:
     """The braces or brackets that open at `start`, up to their end; with `strings`, those inside string literals do not count."""
-    depth, quoted, i = 0, False, start
-    while i < len(text):
-        c = text[i]
-        if quoted:
-            if c == "\\":
-                i += 1
-            elif c == '"':
-                quoted = False
-        elif c == '"' and strings:
-            quoted = True
-        elif c in "{[":
+    depth = 0
+    for found in (_STRUCTURE if strings else _BRACES).finditer(text, start):
+        c = text[found.start()]
+        if c in "{[":
             depth += 1
         elif c in "}]":
             depth -= 1
             if not depth:
-                return text[start : i + 1]
-        i += 1
+                return text[start : found.end()]
     return None
 
 
@@ -44,10 +44,8 @@ def state_blob(html: str | None, marker: str, strings: bool = True) -> str | Non
     if html[at] in "{[":
         return balanced(html, at, strings)
     if html[at] == '"':
-        end = at + 1
-        while end < len(html) and html[end] != '"':
-            end += 2 if html[end] == "\\" else 1
-        return html[at : end + 1] if end < len(html) else None
+        found = _LITERAL.match(html, at)
+        return found.group() if found else None
     return None
 
 
@@ -123,25 +121,40 @@ def json_ld(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))
 
 
+def offers_like(raw: str | None, most: int) -> Iterator[tuple[str, str, int]]:
+    """(id, title, depth) of objects with an id and a title, found by a bounded walk through nested JSON."""
+    try:
+        stack = [(json.loads(raw), 0)] if raw else []
+    except (ValueError, RecursionError):  # nested too deeply to be a page's data
+        return
+    found = 0
+    while stack and found < most:
+        node, depth = stack.pop()
+        if isinstance(node, dict):
+            if node.get("id") is not None and isinstance(node.get("title"), str):
+                found += 1
+                yield str(node["id"]), node["title"], depth
+            stack.extend((v, depth + 1) for v in reversed(list(node.values())) if isinstance(v, (dict, list)))
+        elif isinstance(node, list):
+            stack.extend((v, depth + 1) for v in reversed(node) if isinstance(v, (dict, list)))
+
+
 @udtf(returnType="id string, title string, depth int")
 class OfferLike:
-    """Objects with an id and a title, found by a bounded walk through nested JSON."""
+    """`offers_like` as rows."""
 
     def eval(self, raw: str, most: int):
-        try:
-            stack = [(json.loads(raw), 0)] if raw else []
-        except (ValueError, RecursionError):  # nested too deeply to be a page's data
-            return
-        found = 0
-        while stack and found < most:
-            node, depth = stack.pop()
-            if isinstance(node, dict):
-                if node.get("id") is not None and isinstance(node.get("title"), str):
-                    found += 1
-                    yield str(node["id"]), node["title"], depth
-                stack.extend((v, depth + 1) for v in reversed(list(node.values())) if isinstance(v, (dict, list)))
-            elif isinstance(node, list):
-                stack.extend((v, depth + 1) for v in reversed(node) if isinstance(v, (dict, list)))
+        yield from offers_like(raw, most)
+
+
+def offers_like_count(raw: Column, most: int) -> Column:
+    """How many rows `OfferLike` has, without a row for each."""
+
+    @pandas_udf("int")
+    def count(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: sum(1 for _ in offers_like(v, most))).astype("int32")
+
+    return count(raw)
 
 
 OFFER = T.StructType().add("id", "string").add("title", "string").add("price", T.StructType().add("amount", "double").add("currency", "string")).add("__bad", "string")

@@ -46,28 +46,33 @@ def absolute(url: Column, path: Column) -> Column:
     )
 
 
-def offer(v: Column) -> Column:
-    """An offer in either spelling of its keys: struct of the fields that a listing needs."""
+def offer(v: Column, only: tuple[str, ...] | None = None) -> Column:
+    """An offer in either spelling of its keys: struct of the fields that a listing needs, or of those in `only`."""
     priced = F.filter(F.try_variant_get(v, "$.params", "array<variant>"), lambda p: value(p, "$.key") == "price")[0]
     either = lambda *paths: F.coalesce(*(text(v, p) for p in paths))
-    return F.struct(
-        value(v, "$.id").alias("id"),
-        text(v, "$.title").alias("title"),
-        absolute(text(v, "$.url"), text(v, "$.urlPath")).alias("url"),
-        text(v, "$.description").alias("description"),
-        either("$.createdTime", "$.created_time").alias("created"),
-        either("$.lastRefreshTime", "$.last_refresh_time").alias("refreshed"),
-        F.coalesce(value(v, "$.isBusiness", "boolean"), value(v, "$.business", "boolean")).alias("business"),
-        either("$.location.city.name", "$.location.cityName", "$.location.city").alias("city"),
-        either("$.location.district.name", "$.location.districtName", "$.location.district").alias("district"),
-        F.coalesce(value(v, "$.map.lat", "double"), value(v, "$.location.lat", "double")).alias("latitude"),
-        F.coalesce(value(v, "$.map.lon", "double"), value(v, "$.location.lon", "double")).alias("longitude"),
-        F.coalesce(value(priced, "$.value.value", "double"), value(v, "$.price.regularPrice.value", "double")).alias("amount"),
-        F.coalesce(value(priced, "$.value.currency"), value(v, "$.price.regularPrice.currencyCode")).alias("currency"),
-        value(v, "$.category.id", "int").alias("category"),
-        value(v, "$.user.id").alias("user_id"),
-        photo_links(v).alias("images"),
-    )
+    fields = {
+        "id": value(v, "$.id"),
+        "title": text(v, "$.title"),
+        "url": absolute(text(v, "$.url"), text(v, "$.urlPath")),
+        "description": text(v, "$.description"),
+        "created": either("$.createdTime", "$.created_time"),
+        "refreshed": either("$.lastRefreshTime", "$.last_refresh_time"),
+        "business": F.coalesce(value(v, "$.isBusiness", "boolean"), value(v, "$.business", "boolean")),
+        "city": either("$.location.city.name", "$.location.cityName", "$.location.city"),
+        "district": either("$.location.district.name", "$.location.districtName", "$.location.district"),
+        "latitude": F.coalesce(value(v, "$.map.lat", "double"), value(v, "$.location.lat", "double")),
+        "longitude": F.coalesce(value(v, "$.map.lon", "double"), value(v, "$.location.lon", "double")),
+        "amount": F.coalesce(value(priced, "$.value.value", "double"), value(v, "$.price.regularPrice.value", "double")),
+        "currency": F.coalesce(value(priced, "$.value.currency"), value(v, "$.price.regularPrice.currencyCode")),
+        "category": value(v, "$.category.id", "int"),
+        "user_id": value(v, "$.user.id"),
+        "images": photo_links(v),
+    }
+    return F.struct(*(c.alias(name) for name, c in fields.items() if only is None or name in only))
+
+
+#: The fields of an offer that `offer_reject` asks for.
+JUDGED = ("id", "title", "city", "amount", "category")
 
 
 def offer_reject(o: Column, category: int | None = None) -> Column:
