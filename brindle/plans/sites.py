@@ -188,18 +188,19 @@ FROM {orders}
 
 
 def rieltor_pages(spark, sf):
-    """(page, url, html): cards, JSON-LD by URL, a declared count, recommended cards after the list; some pages of another place."""
-    item_url = F.concat(F.lit("https://rieltor.ua/flats/view/"), F.col("pos").cast("string"), F.lit("/"))
-    box = lambda extra: F.concat(
-        F.lit(sites.ITEM_CARD + ' data-catalog-item-id="'), F.col("pos").cast("string"), F.lit('" data-latitude="49,8" data-longitude="24.0">'), F.when(F.col("linked"), F.concat(F.lit('<a href="'), item_url, F.lit('">'))).otherwise("<a>"),
-        F.lit('</a><div class="catalog-card-address"><b>'), F.col("address"), F.lit('</b></div><div class="catalog-card-region"><i>x</i>'.replace("<i>x</i>", "")), F.lit("<span>"), F.col("region"), F.lit('</span></div><strong class="catalog-card-price-title">'), F.col("price").cast("string"),
-        F.lit(" грн</strong>"), F.when(F.col("role").isNotNull(), F.concat(F.lit('<div class="catalog-card-author-subtitle"><span> '), F.col("role"), F.lit(" </span></div>"))).otherwise(""), F.lit(extra + "</div>"),
+    """(page, url, html): cards, JSON-LD by URL, a declared count, recommended cards after the list; some pages of another place. Rows are grouped as they are; the page's text is made from its group."""
+    item_url = lambda r: F.concat(F.lit("https://rieltor.ua/flats/view/"), r["pos"].cast("string"), F.lit("/"))
+    box = lambda r: F.concat(
+        F.lit(sites.ITEM_CARD + ' data-catalog-item-id="'), r["pos"].cast("string"), F.lit('" data-latitude="49,8" data-longitude="24.0">'), F.when(r["linked"], F.concat(F.lit('<a href="'), item_url(r), F.lit('">'))).otherwise("<a>"),
+        F.lit('</a><div class="catalog-card-address"><b>'), r["address"], F.lit('</b></div><div class="catalog-card-region"><span>'), r["region"], F.lit('</span></div><strong class="catalog-card-price-title">'), r["price"].cast("string"),
+        F.lit(" грн</strong>"), F.when(r["role"].isNotNull(), F.concat(F.lit('<div class="catalog-card-author-subtitle"><span> '), r["role"], F.lit(" </span></div>"))).otherwise(""), F.lit("</div>"),
     )
-    item = F.to_json(F.struct(F.struct(F.regexp_replace(item_url, "/$", "").alias("url"), F.concat(F.lit("опис "), F.col("pos").cast("string")).alias("description")).alias("item")))
-    rows = bound(spark, sf, _BOXES).select("page", "kind", "pos", box("").alias("box"), F.when(F.col("enriched"), item).alias("item"))
-    listed = rows.groupBy("page", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", "box", "item"))).alias("x"))
-    kind, boxes = F.col("kind"), F.array_join(F.transform("x", lambda r: r["box"]), "")
-    items = F.array_join(F.filter(F.transform("x", lambda r: r["item"]), lambda e: e.isNotNull()), ",")
+    item = lambda r: F.to_json(F.struct(F.struct(F.regexp_replace(item_url(r), "/$", "").alias("url"), F.concat(F.lit("опис "), r["pos"].cast("string")).alias("description")).alias("item")))
+    # by number: a page takes many times the work of its rows, and partitions joined up by their bytes are few more than the cores, so a second round runs on some of them
+    rows = bound(spark, sf, _BOXES).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page", "kind")
+    listed = rows.groupBy("page", "kind").agg(F.sort_array(F.collect_list(F.struct("pos", "address", "region", "role", "enriched", "price", "linked"))).alias("x"))
+    listed = listed.select("page", "kind", F.array_join(F.transform("x", box), "").alias("boxes"), F.array_join(F.transform(F.filter("x", lambda r: r["enriched"]), item), ",").alias("items"))
+    kind, boxes, items = F.col("kind"), F.col("boxes"), F.col("items")
     count = F.when(kind == 1, "немає оголошень").otherwise("1 200 оголошень")
     body = F.when(kind == 2, "").when(kind == 1, "<div data-listing-items></div>").otherwise(F.concat(F.lit("<div data-listing-items>"), boxes, F.lit("<div data-listing-add-items>"), boxes, F.lit("</div></div>")))
     html = F.concat(
@@ -220,7 +221,7 @@ def rieltor_cards(spark, sf):
 )
 def src18_src20_src21_str23_card_pages(spark, sf):
     """Pages of HTML cards: whether they are about the place asked for, how many listings they declare and hold, and the kind of result."""
-    ok = F.coalesce(F.size(F.filter(F.transform("cards", sites.html_card), lambda c: c["id"].isNotNull() & c["url"].isNotNull())), F.lit(0))
+    ok = F.coalesce(F.size(F.filter(F.transform("cards", lambda c: sites.html_card(c)), sites.identified)), F.lit(0))
     read = rieltor_cards(spark, sf).withColumn("n_cards", F.coalesce(F.size("cards"), F.lit(0))).withColumn("n_listings", ok)
     kind = F.when(F.col("cards").isNull(), "parser_failure").when(F.col("n_listings") > 0, "ok").when(F.col("declared") == 0, "valid_empty").otherwise("parser_failure")
     return read.select("page", "resolved", "declared", "n_cards", "n_listings", kind.alias("result_kind"), F.expr("cards is not null and declared > n_listings").alias("truncated"))
@@ -231,15 +232,17 @@ def src18_src20_src21_str23_card_pages(spark, sf):
     f"CAST(price AS DOUBLE) AS amount, 49.8 AS latitude, CASE WHEN enriched THEN 'опис ' || {_text('pos')} END AS description FROM b WHERE linked AND kind NOT IN (0, 1, 2)"
 )
 def src19_jn11_fn23_cards_by_url(spark, sf):
-    """Cards of HTML with the JSON-LD item of the same normalised URL."""
+    """Cards of HTML with the JSON-LD item of the same normalised URL. Both stand on one page, so they meet in its row; what is exploded is made where it is exploded, since a filter on a name would make it again."""
     from brindle.functions.urls import canonical
 
-    read = rieltor_cards(spark, sf)
-    cards = read.select("page", F.explode("cards").alias("c")).select("page", sites.html_card(F.col("c")).alias("c")).where("c.id is not null and c.url is not null").select("page", "c.*").withColumn("url", canonical(F.col("url")))
-    items = F.try_variant_get(F.try_parse_json(pages.json_ld(F.col("html"))[0]), "$.itemListElement", "array<variant>")
-    extras = read.select("page", F.posexplode(items).alias("i", "v")).select("page", "i", canonical(sites.text(F.col("v"), "$.item.url")).alias("url"), sites.text(F.col("v"), "$.item.description").alias("description"))
-    last = extras.groupBy("page", "url").agg(F.max_by("description", "i").alias("description"))
-    return cards.join(last, ["page", "url"], "left").select("page", F.col("id").alias("source_id"), "url", "address", "city", "district", sites.role_of_label(F.col("role")).alias("seller"), "amount", "latitude", "description")
+    read = rieltor_cards(spark, sf).select("page", "cards", F.when(F.col("cards").isNotNull(), sites.linked_items(F.col("html"))).alias("items"))
+    listing = lambda c, url: F.struct(
+        c["id"].alias("source_id"), url.alias("url"), c["address"].alias("address"), c["place"]["city"].alias("city"), c["place"]["district"].alias("district"), sites.role_of_label(c["role"]).alias("seller"), c["amount"].alias("amount"), c["latitude"].alias("latitude"),
+        sites.item_of(F.col("items"), url)["description"].alias("description"),
+    )
+    wanted = (*sites.IDENTIFIED, "address", "place", "role", "amount", "latitude")
+    found = F.filter(F.transform("cards", lambda c: sites.html_card(c, wanted)), sites.identified)
+    return read.select("page", F.inline(F.transform(found, lambda c: sellers.bound(canonical(c["url"]), lambda url: listing(c, url)))))
 
 
 # --- catalogs in a page's state --------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
+from brindle.functions import sellers
 
 #: A string literal, which may be cut off by the end of the text, or a brace or bracket.
 _STRUCTURE = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|[{}\[\]]', re.S)
@@ -188,12 +189,16 @@ def cards(html: Column, start: str, stop: str) -> Column:
 
 def pieces(text: Column, start: str) -> Column:
     """What follows each `start`, which is taken as it is, up to the next one."""
-    parts = F.split(text, "\\Q" + start + "\\E")
-    return F.slice(parts, F.lit(2), F.size(parts))
+    return F.filter(F.split(text, "\\Q" + start + "\\E"), lambda _, i: i > 0)
+
+
+def full(c: Column) -> Column:
+    """A text, which is computed once (in a lambda, `nullif` computes it twice); null if it is empty."""
+    return sellers.bound(c, lambda s: F.when(s != "", s))
 
 
 def attribute(card: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(card, rf'{name}="([^"]*)"', 1), F.lit(""))
+    return full(F.regexp_extract(card, rf'{name}="([^"]*)"', 1))
 
 
 def clipped(text: Column, most: int) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brindle.functions import geo, sellers
+from brindle.functions.urls import canonical
 from brindle.sources import pages
 
 # Category ids of homes, site addresses, markers in pages, and roles by their code.
@@ -192,25 +193,43 @@ def main_cards(html: Column) -> Column:
 
 def card_text(card: Column, name: str) -> Column:
     inner = F.regexp_extract(card, rf'(?s)class="{name}".*?>(.*?)</', 1)
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(inner, "<[^>]+>", " "), r"\s+", " ")), F.lit(""))
+    return pages.full(F.trim(F.regexp_replace(F.regexp_replace(inner, "<[^>]+>", " "), r"\s+", " ")))
 
 
-def html_card(card: Column) -> Column:
-    """What stands in a card of HTML: struct; id and url null if it is none."""
-    href = F.nullif(F.regexp_extract(card, r'href="(https://rieltor\.ua/[^"]+/view/\d+/)"', 1), F.lit(""))
-    region = card_text(card, "catalog-card-region")
-    return F.struct(
-        F.coalesce(pages.attribute(card, "data-catalog-item-id"), F.nullif(F.regexp_extract(card, r"/view/(\d+)/", 1), F.lit(""))).alias("id"),
-        href.alias("url"),
-        card_text(card, "catalog-card-address").alias("address"),
-        region.alias("region"),
-        F.nullif(F.trim(F.split_part(region, F.lit(","), F.lit(1))), F.lit("")).alias("city"),
-        F.nullif(F.trim(F.split_part(region, F.lit(","), F.lit(2))), F.lit("")).alias("district"),
-        F.nullif(F.trim(F.regexp_extract(card, r'(?s)class="catalog-card-author-subtitle".*?<span>([^<]+)</span>', 1)), F.lit("")).alias("role"),
-        geo.number(pages.attribute(card, "data-latitude")).alias("latitude"),
-        geo.number(pages.attribute(card, "data-longitude")).alias("longitude"),
-        F.regexp_replace(card_text(card, "catalog-card-price-title"), r"[^\d]", "").try_cast("double").alias("amount"),
-    )
+def html_card(card: Column, only: tuple[str, ...] | None = None) -> Column:
+    """What stands in a card of HTML: struct of its fields, or of those in `only`; id and url null if it is none. Each is looked up once."""
+    of_region = lambda region, n: pages.full(F.trim(F.split_part(region, F.lit(","), F.lit(n))))
+    place = lambda region: F.struct(region.alias("region"), of_region(region, 1).alias("city"), of_region(region, 2).alias("district"))
+    fields = {
+        "id": F.coalesce(pages.attribute(card, "data-catalog-item-id"), pages.full(F.regexp_extract(card, r"/view/(\d+)/", 1))),
+        "url": pages.full(F.regexp_extract(card, r'href="(https://rieltor\.ua/[^"]+/view/\d+/)"', 1)),
+        "address": card_text(card, "catalog-card-address"),
+        "place": sellers.bound(card_text(card, "catalog-card-region"), place),
+        "role": pages.full(F.trim(F.regexp_extract(card, r'(?s)class="catalog-card-author-subtitle".*?<span>([^<]+)</span>', 1))),
+        "latitude": sellers.bound(pages.attribute(card, "data-latitude"), geo.number),
+        "longitude": sellers.bound(pages.attribute(card, "data-longitude"), geo.number),
+        "amount": F.regexp_replace(card_text(card, "catalog-card-price-title"), r"[^\d]", "").try_cast("double"),
+    }
+    return F.struct(*(c.alias(name) for name, c in fields.items() if only is None or name in only))
+
+
+#: The fields of a card of HTML without either of which it is none.
+IDENTIFIED = ("id", "url")
+
+
+def identified(card: Column) -> Column:
+    return card["id"].isNotNull() & card["url"].isNotNull()
+
+
+def linked_items(html: Column) -> Column:
+    """The items of a page's first JSON-LD, in order: array of struct(url, description), the URL normalised; null without a list."""
+    items = F.try_variant_get(F.try_parse_json(F.get(pages.json_ld(html), 0)), "$.itemListElement", "array<variant>")
+    return F.transform(items, lambda v: F.struct(sellers.bound(text(v, "$.item.url"), canonical).alias("url"), text(v, "$.item.description").alias("description")))
+
+
+def item_of(items: Column, url: Column) -> Column:
+    """The last item with that URL, or null. Both are of one page, which lists some dozens at most."""
+    return F.try_element_at(F.filter(items, lambda x: x["url"] == url), F.lit(-1))
 
 
 def role_of_label(role: Column) -> Column:
