@@ -221,7 +221,7 @@ def rieltor_cards(spark, sf):
 )
 def src18_src20_src21_str23_card_pages(spark, sf):
     """Pages of HTML cards: whether they are about the place asked for, how many listings they declare and hold, and the kind of result."""
-    ok = F.coalesce(F.size(F.filter(F.transform("cards", lambda c: sites.html_card(c)), sites.identified)), F.lit(0))
+    ok = F.coalesce(F.size(F.filter(F.transform("cards", lambda c: sites.html_card(c, sites.IDENTIFIED)), sites.identified)), F.lit(0))
     read = rieltor_cards(spark, sf).withColumn("n_cards", F.coalesce(F.size("cards"), F.lit(0))).withColumn("n_listings", ok)
     kind = F.when(F.col("cards").isNull(), "parser_failure").when(F.col("n_listings") > 0, "ok").when(F.col("declared") == 0, "valid_empty").otherwise("parser_failure")
     return read.select("page", "resolved", "declared", "n_cards", "n_listings", kind.alias("result_kind"), F.expr("cards is not null and declared > n_listings").alias("truncated"))
